@@ -8,6 +8,7 @@ batches of numpy over the model table.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -31,10 +32,8 @@ PARAMETERS: dict[str, tuple[str, ...]] = {
 LAWS = tuple(law for law in PARAMETERS if law != "gumbel")
 NUMPY_LAWS = ("beta", "gamma")
 
-# Lanczos coefficients (g = 7).
-LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313,
-           -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6,
-           1.5056327351493116e-7)
+# Stirling series of ln Gamma, in falling odd powers of 1 / y.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
 
 
 def law_params(law: str, *values: Column) -> Column:
@@ -56,15 +55,12 @@ def by_law(law: str | Column, branches: dict[str, Callable[[], Column]]) -> Colu
 
 
 def lgamma(x: Column) -> Column:
-    def positive(v: Column) -> Column:
-        total = F.lit(LANCZOS[0])
-        for i, c in enumerate(LANCZOS[1:]):
-            total = total + F.lit(c) / (v + F.lit(float(i)))
-        t = v + F.lit(6.5)
-        return F.lit(0.91893853320467274178) + (v - F.lit(0.5)) * F.ln(t) - t + F.ln(total)
-
-    mirrored = F.ln(F.lit(np.pi) / F.abs(F.sin(F.lit(np.pi) * x))) - positive(F.lit(1.0) - x)
-    return F.when(x < 0.5, mirrored).otherwise(positive(x))
+    """ln Gamma for x > 0: Stirling's series eight steps up, brought back by the recurrence."""
+    y = x + F.lit(8.0)
+    w = F.lit(1.0) / (y * y)
+    series = reduce(lambda acc, c: acc * w + F.lit(c), STIRLING[-2::-1], F.lit(STIRLING[-1])) / y
+    steps = reduce(lambda acc, i: acc * (x + F.lit(float(i))), range(1, 8), x)
+    return (y - F.lit(0.5)) * F.ln(y) - y + F.lit(0.91893853320467274178) + series - F.ln(steps)
 
 
 @F.pandas_udf("array<double>")
@@ -93,31 +89,25 @@ def _heavy_cdf(law: pd.Series, a: pd.Series, b: pd.Series, x: pd.Series) -> pd.S
     return pd.Series(out)
 
 
-def _normal_score(p: float | Column) -> Column:
-    if isinstance(p, Column):
-        return probit(p)
+def normal_score(p: float) -> float:
     edge = {0.0: float("-inf"), 1.0: float("inf")}
-    return F.lit(edge[p] if p in edge else NormalDist().inv_cdf(p))
+    return edge[p] if p in edge else NormalDist().inv_cdf(p)
 
 
-def _exp_score(p: float | Column) -> Column:
+def exp_score(p: float) -> float:
     """-ln(1 - p)."""
-    if isinstance(p, Column):
-        return F.when(p == 1.0, F.lit(float("inf"))).otherwise(-F.ln(F.lit(1.0) - p))
-    return F.lit(float("inf") if p == 1.0 else float(-np.log(1.0 - p)))
-
+    return float("inf") if p == 1.0 else float(-np.log(1.0 - p))
 
-def _closed_ppf(p: float | Column, params: Column) -> dict[str, Callable[[], Column]]:
-    def get(name: str) -> Column:
-        return params[name]
 
+def _at_score(law: str, params: Column) -> Callable[[Column], Column]:
+    """Quantile of a closed-form law from its standard score: normal, exponential or Gumbel's."""
     return {
-        "lognormal": lambda: F.exp(get("mulnx") + get("slnx") * _normal_score(p)),
-        "normal": lambda: get("mu") + get("sigma") * _normal_score(p),
-        "weibull": lambda: get("lambda_scale") * F.pow(_exp_score(p), F.try_divide(F.lit(1.0), get("beta_shape"))),
-        "exponential": lambda: get("lambda_inv") * _exp_score(p),
-        "gumbel": lambda: get("loc") - get("scale") * F.ln(-F.ln(p if isinstance(p, Column) else F.lit(p))),
-    }
+        "lognormal": lambda z: F.exp(params["mulnx"] + params["slnx"] * z),
+        "normal": lambda z: params["mu"] + params["sigma"] * z,
+        "weibull": lambda z: params["lambda_scale"] * F.pow(z, F.try_divide(F.lit(1.0), params["beta_shape"])),
+        "exponential": lambda z: params["lambda_inv"] * z,
+        "gumbel": lambda z: params["loc"] - params["scale"] * F.ln(z),
+    }[law]
 
 
 def _heavy_args(law: str | Column, params: Column) -> tuple[Column, Column, Column]:
@@ -133,10 +123,15 @@ def quantiles(law: str | Column, params: Column, ps: Sequence[float], low: Colum
     ``laws`` names what a ``law`` column can hold; without gamma and beta no Python runs.
     """
     wanted = (law,) if isinstance(law, str) else tuple(laws)
-    closed = [name for name in wanted if name not in NUMPY_LAWS]
+    closed = [name for name in wanted if name not in NUMPY_LAWS and name != "gumbel"]
     branches: dict[str, Callable[[], Column]] = {}
+    scores = {
+        "normal": F.array(*(F.lit(normal_score(float(p))) for p in ps)),
+        "exp": F.array(*(F.lit(exp_score(float(p))) for p in ps)),
+    }
     for name in closed:
-        branches[name] = lambda name=name: F.array(*(_closed_ppf(float(p), params)[name]() for p in ps))
+        kind = "normal" if name in ("normal", "lognormal") else "exp"
+        branches[name] = lambda name=name, kind=kind: F.transform(scores[kind], _at_score(name, params))
     if len(closed) < len(wanted):
         heavy = _heavy_quantiles(*_heavy_args(law, params), F.array(*(F.lit(float(p)) for p in ps)))
         branches["gamma"] = lambda: heavy
@@ -149,7 +144,13 @@ def ppf(law: str, p: Column, params: Column, low: Column | None = None, high: Co
     if law in NUMPY_LAWS:
         q = _heavy_quantiles(*_heavy_args(law, params), F.array(p))[0]
         return q if law == "gamma" or low is None else low + q * (high - low)
-    return _closed_ppf(p, params)[law]()
+    if law in ("normal", "lognormal"):
+        score = probit(p)
+    elif law == "gumbel":
+        score = -F.ln(p)
+    else:
+        score = F.when(p == 1.0, F.lit(float("inf"))).otherwise(-F.ln(F.lit(1.0) - p))
+    return _at_score(law, params)(score)
 
 
 def pdf(law: str | Column, x: Column, params: Column, low: Column | None = None,

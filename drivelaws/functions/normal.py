@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,8 +34,8 @@ ROOT_TWO_PI = 2.5066282746310002
 
 
 def poly(x: Column, coefficients: tuple[float, ...]) -> Column:
-    """Horner evaluation, highest power first."""
-    return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
+    """Horner evaluation, highest power first; folded over the coefficients, so x appears once."""
+    return F.aggregate(F.array(*(F.lit(c) for c in coefficients)), F.lit(0.0), lambda acc, c: acc * x + c)
 
 
 def probit(p: Column) -> Column:

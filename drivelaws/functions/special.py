@@ -76,7 +76,7 @@ def gamma_cdf(a, x, rounds: int = 2000):
             c = np.where(np.abs(c) < 1e-300, 1e-300, c)
             delta = d * c
             h = h * delta
-            if np.all(np.abs(delta - 1.0) < 1e-16):
+            if np.all(np.abs(delta - 1.0) < 1e-15):
                 break
         part[~low] = 1.0 - front[~low] * h
     out[ok] = part
@@ -114,23 +114,29 @@ def beta_cdf(a, b, x, rounds: int = 2000):
         d = 1.0 / guard(1.0 + odd * d)
         c = guard(1.0 + odd / c)
         h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-16):
+        if np.all(np.abs(d * c - 1.0) < 1e-15):
             break
     lower = front * h
     out[ok] = np.where(swap, 1.0 - lower, lower)
     return out
 
 
-def _bisect(cdf, p, low, high, rounds: int = 200):
-    """Monotone inverse by bisection on the bracket, stopping when it can shrink no more."""
+def _invert(cdf, slope, p, low, high, rounds: int = 400):
+    """Root of cdf(t) = p on a bracket: Newton steps, halving wherever one leaves the bracket."""
     low, high = low.copy(), high.copy()
+    t = 0.5 * (low + high)
     for _ in range(rounds):
-        mid = 0.5 * (low + high)
-        under = cdf(mid) < p
-        low, high = np.where(under, mid, low), np.where(under, high, mid)
-        if np.all((high - low) <= 1e-15 * np.abs(high)):
+        gap = cdf(t) - p
+        low, high = np.where(gap < 0, t, low), np.where(gap < 0, high, t)
+        rate = slope(t)
+        step = t - gap / np.where(rate > 0, rate, np.nan)
+        inside = (step > low) & (step < high)
+        following = np.where(inside, step, 0.5 * (low + high))
+        moved = np.abs(following - t)
+        t = following
+        if np.all(moved <= 4e-16 * (1.0 + np.abs(t))):
             break
-    return 0.5 * (low + high)
+    return t
 
 
 def gamma_ppf(a, p):
@@ -143,14 +149,19 @@ def gamma_ppf(a, p):
     ok = sane & (p > 0) & (p < 1)
     if ok.any():
         a_, p_ = a[ok], p[ok]
+        norm = lgamma(a_)
         # P(a, x) <= x^a / Gamma(a + 1) bounds the root from below
         low = (np.log(p_) + lgamma(a_ + 1.0)) / a_ - 1e-9
         high = np.log(a_ + 40.0 * np.sqrt(a_) + 60.0)
-        out[ok] = np.exp(_bisect(lambda t: gamma_cdf(a_, np.exp(t)), p_, np.minimum(low, high - 1.0), high))
+        out[ok] = np.exp(_invert(
+            lambda t: gamma_cdf(a_, np.exp(t)),
+            lambda t: np.exp(a_ * t - np.exp(t) - norm),
+            p_, np.minimum(low, high - 1.0), high))
     return out
 
 
 def beta_ppf(a, b, p):
+    """Quantile of the beta law, searched on logit x."""
     a, b, p = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(p, float))
     out = np.full(a.shape, np.nan)
     sane = (a > 0) & (b > 0) & np.isfinite(a) & np.isfinite(b)
@@ -159,7 +170,16 @@ def beta_ppf(a, b, p):
     ok = sane & (p > 0) & (p < 1)
     if ok.any():
         a_, b_, p_ = a[ok], b[ok], p[ok]
-        out[ok] = _bisect(lambda t: beta_cdf(a_, b_, t), p_, np.zeros(a_.shape), np.ones(a_.shape), 1100)
+        norm = lgamma(a_) + lgamma(b_) - lgamma(a_ + b_)
+
+        def unit(t):
+            return 1.0 / (1.0 + np.exp(-t))
+
+        edge = np.full(a_.shape, 700.0)
+        out[ok] = unit(_invert(
+            lambda t: beta_cdf(a_, b_, unit(t)),
+            lambda t: np.exp(-a_ * np.logaddexp(0.0, -t) - b_ * np.logaddexp(0.0, t) - norm),
+            p_, -edge, edge))
     return out
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.laws import LAWS, PARAMETERS, by_law, law_params, quantiles
+from ..functions.laws import LAWS, PARAMETERS, law_params, quantiles
 from ..functions.normal import probit
 from ..functions.scalars import minmax_clip, plotting_position
 from ..functions.special import beta_shapes
@@ -102,20 +102,19 @@ def fit_points(hist: DataFrame, law: str | Column, d: float = 0.0, first_extra:
     limit, shift = F.col("limit"), F.lit(float(d))
     rank = plotting_position(F.col("i_rank") + F.lit(first_extra), F.col("n"))
     width = F.col("data_max") - F.col("data_min")
-    x = by_law(law, {
-        "lognormal": lambda: F.ln(limit - shift),
-        "normal": lambda: limit - shift,
-        "beta": lambda: (limit - F.col("data_min")) / width,
-        "weibull": lambda: F.ln(limit),
-        "gamma": lambda: F.ln(limit),
-        "exponential": lambda: limit - shift,
-    })
+    name = F.lit(law) if isinstance(law, str) else law
+    x = (
+        F.when(name.isin("weibull", "gamma"), F.ln(limit))
+        .when(name == "lognormal", F.ln(limit - shift))
+        .when(name == "beta", (limit - F.col("data_min")) / width)
+        .otherwise(limit - shift)
+    )
     survival = F.lit(1.0) - F.col("F")
-    y = by_law(law, {
-        **{name: (lambda: probit(F.col("F"))) for name in ("lognormal", "normal", "beta", "gamma")},
-        "weibull": lambda: F.ln(-F.ln(survival)),
-        "exponential": lambda: -F.ln(survival),
-    })
+    y = (
+        F.when(name == "weibull", F.ln(-F.ln(survival)))
+        .when(name == "exponential", -F.ln(survival))
+        .otherwise(probit(F.col("F")))
+    )
     return (
         hist.filter(F.col("i") < F.col("class_index"))
         .withColumn("F", rank)
