@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .special import beta_cdf, beta_ppf, gamma_cdf, gamma_ppf
 from .normal import normal_cdf, normal_pdf, probit
@@ -63,7 +64,7 @@ def lgamma(x: Column) -> Column:
     return (y - F.lit(0.5)) * F.ln(y) - y + F.lit(0.91893853320467274178) + series - F.ln(steps)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _heavy_quantiles(law: pd.Series, a: pd.Series, b: pd.Series, ps: pd.Series) -> pd.Series:
     if law.empty:
         return pd.Series([], dtype=object)
@@ -78,7 +79,7 @@ def _heavy_quantiles(law: pd.Series, a: pd.Series, b: pd.Series, ps: pd.Series)
     return pd.Series([None if np.isnan(row).all() else row for row in out], dtype=object)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _heavy_cdf(law: pd.Series, a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
     shape, other, at = a.to_numpy(float), b.to_numpy(float), x.to_numpy(float)
     out = np.full(len(at), np.nan)

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.laws import LAWS, PARAMETERS, law_params, quantiles
 from ..functions.normal import probit
@@ -135,7 +136,7 @@ def recovered(law: str, slope: Column, intercept: Column) -> Column:
     return law_params(law, *values)
 
 
-@F.pandas_udf("alpha double, beta double")
+@F.pandas_udf(T.StructType([T.StructField("alpha", T.DoubleType()), T.StructField("beta", T.DoubleType())]))
 def _solve_beta(mean: pd.Series, var: pd.Series, ln_u: pd.Series, ln_rest: pd.Series) -> pd.DataFrame:
     a, b = beta_shapes(*(np.asarray(c, dtype=float) for c in (mean, var, ln_u, ln_rest)))
     return pd.DataFrame({"alpha": np.atleast_1d(a), "beta": np.atleast_1d(b)})

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scale import attach, null_safe, settle
 
@@ -21,7 +22,7 @@ def cell_of(value: Column, low: Column, high: Column) -> Column:
     return F.least(F.floor(scaled * CELLS), F.lit(CELLS - 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _gumbel_start(sizes: pd.Series, means: pd.Series) -> pd.Series:
     out = []
     for size, z in zip(sizes, means):
@@ -40,7 +41,7 @@ def _gumbel_start(sizes: pd.Series, means: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _weibull_start(sizes: pd.Series, means: pd.Series) -> pd.Series:
     """Shape from cells of ln(y), y scaled to at most 1."""
     out = []

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.laws import PARAMETERS, law_params, lgamma, pdf
 from ..functions.special import gamma_shape
@@ -23,7 +24,7 @@ FREE_PARAMETERS = {"normal": 2, "lognormal": 2, "beta": 2, "gamma": 2, "exponent
 UNRANKED_CHOICE = "lognormal"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _gamma_shape(gap: pd.Series) -> pd.Series:
     values = gap.to_numpy(float)
     out = np.full(len(values), np.nan)

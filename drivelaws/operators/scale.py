@@ -65,12 +65,14 @@ def running(df: DataFrame, by: Sequence[str], chunk: str, order_by: Sequence[str
     Sums start at 0, maxima at null.
     """
     sums, maxima = sums or {}, maxima or {}
-    pieces = [*by, chunk]
+    # one struct key is never null, so plain equi-joins keep the windows' partitioning
+    df = df.withColumn("__key", F.struct(*(F.col(f"`{k}`") for k in by)) if by else F.struct(F.lit(0)))
+    pieces = ["__key", chunk]
     totals = df.groupBy(*pieces).agg(
         *(F.sum(e).alias(f"__{n}") for n, e in sums.items()),
         *(F.max(e).alias(f"__{n}") for n, e in maxima.items()),
     )
-    earlier = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__key").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *pieces,
         *(F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums),
@@ -82,9 +84,9 @@ def running(df: DataFrame, by: Sequence[str], chunk: str, order_by: Sequence[str
         *(F.coalesce(F.sum(e).over(within), F.lit(0)).alias(n) for n, e in sums.items()),
         *(F.max(e).over(within).alias(n) for n, e in maxima.items()),
     )
-    joined = null_safe(local, offsets, pieces)
+    joined = local.join(offsets, pieces)
     for n in sums:
         joined = joined.withColumn(n, F.col(n) + F.col(f"__{n}"))
     for n in maxima:
         joined = joined.withColumn(n, F.greatest(n, f"__{n}"))
-    return joined.drop(*(f"__{n}" for n in [*sums, *maxima]))
+    return joined.select(*(f"`{c}`" for c in df.columns if c != "__key"), *sums, *maxima)
