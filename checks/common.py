@@ -43,16 +43,20 @@ def new_store(spark: SparkSession) -> tuple[Store, str]:
     return Store(spark), database
 
 
-def sig(column: Column | str) -> Column:
-    """Six significant digits: what two engines agree on for sums of floating-point numbers."""
+def sig(column: Column | str, digits: int = 6) -> Column:
+    """Significant digits that two engines agree on for floating-point results.
+
+    Six after sums and logarithms. Nine for plain interpolations of two-decimal data, which six
+    would leave on rounding ties.
+    """
     c = F.col(column) if isinstance(column, str) else column
-    return F.format_string("%.5e", c.cast("double")).try_cast("double")
+    return F.format_string(f"%.{digits - 1}e", c.cast("double")).try_cast("double")
 
 
-def sqlsig(expression: str) -> str:
-    return f"CAST(printf('%.5e', CAST({expression} AS DOUBLE)) AS DOUBLE)"
+def sqlsig(expression: str, digits: int = 6) -> str:
+    return f"CAST(printf('%.{digits - 1}e', CAST({expression} AS DOUBLE)) AS DOUBLE)"
 
 
-def rounded(df: DataFrame, exact: tuple[str, ...]) -> DataFrame:
-    """Every column but the exact ones to six significant digits."""
-    return df.select(*(F.col(f"`{c}`") if c in exact else sig(f"`{c}`").alias(c) for c in df.columns))
+def rounded(df: DataFrame, exact: tuple[str, ...], digits: int = 6) -> DataFrame:
+    """Every column but the exact ones to significant digits."""
+    return df.select(*(F.col(f"`{c}`") if c in exact else sig(f"`{c}`", digits).alias(c) for c in df.columns))

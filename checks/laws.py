@@ -44,11 +44,11 @@ def agg_sample_summary(spark, sf):
     return S.sample_summary(prices(spark, sf)).withColumn("data_mean", sig("data_mean"))
 
 
-PCT = ", ".join(f"{sqlsig(f'quantile_cont(x, {p})')} AS p{int(p * 100)}" for p in CUSTOMERS)
+PCT = ", ".join(f"{sqlsig(f'quantile_cont(x, {p})', 9)} AS p{int(p * 100)}" for p in CUSTOMERS)
 
 
 def customers(pct):
-    return pct.select("criteria", *(sig(F.col("pct")[i]).alias(f"p{int(p * 100)}") for i, p in enumerate(CUSTOMERS)))
+    return pct.select("criteria", *(sig(F.col("pct")[i], 9).alias(f"p{int(p * 100)}") for i, p in enumerate(CUSTOMERS)))
 
 
 @query("agg_percentiles", f"SELECT criteria, {PCT} FROM ({PRICES}) GROUP BY 1")
@@ -63,11 +63,11 @@ def agg_percentiles_hot(spark, sf):
 
 
 @query("agg_percentile_grid", f"""
-SELECT criteria, CAST(p AS INTEGER) AS p, {sqlsig('v')} AS value FROM (
+SELECT criteria, CAST(p AS INTEGER) AS p, {sqlsig('v', 9)} AS value FROM (
   SELECT criteria, unnest([{", ".join(str(m) for m in range(0, 100, 5))}]) AS p,
          unnest(quantile_cont(x, [{", ".join(map(str, MARKS))}])) AS v FROM ({VALUES}) GROUP BY 1)""")
 def agg_percentile_grid(spark, sf):
-    return S.percentile_grid(values(spark, sf)).withColumn("value", sig("value"))
+    return S.percentile_grid(values(spark, sf)).withColumn("value", sig("value", 9))
 
 
 @query("agg_moments", f"""
@@ -231,14 +231,14 @@ def model_summary(spark, sf):
 
 
 @query("gate_small_sample", f"""
-SELECT criteria, count(*) AS n, min(x) AS data_min, max(x) AS data_max, {sqlsig('avg(x)')} AS data_mean, 'Non modelisable' AS loi,
-  {", ".join(f'{sqlsig(f"quantile_cont(x, {p})")} AS "percentile_{int(p * 100)}%"' for p in CUSTOMERS)},
-  {", ".join(f'{sqlsig(f"quantile_cont(x, {p})")} AS "percentile_{int(p * 100)}%_emp"' for p in CUSTOMERS)},
+SELECT criteria, count(*) AS n, min(x) AS data_min, max(x) AS data_max, {sqlsig('avg(x)', 9)} AS data_mean, 'Non modelisable' AS loi,
+  {", ".join(f'{sqlsig(f"quantile_cont(x, {p})", 9)} AS "percentile_{int(p * 100)}%"' for p in CUSTOMERS)},
+  {", ".join(f'{sqlsig(f"quantile_cont(x, {p})", 9)} AS "percentile_{int(p * 100)}%_emp"' for p in CUSTOMERS)},
   0::DOUBLE AS "Mean relat diff" FROM ({BALANCES}) GROUP BY 1 HAVING count(*) < 30 OR max(x) <= min(x)""")
 def gate_small_sample(spark, sf):
     rows = G.gate_small_sample(balances(spark, sf)).drop(
         "class_index", "params", "R2", "MSE", "relat_diff_1%", "relat_diff_50%", "relat_diff_99%")
-    return rounded(rows, ("criteria", "n", "data_min", "data_max", "loi"))
+    return rounded(rows, ("criteria", "n", "data_min", "data_max", "loi"), 9)
 
 
 def estimate_sql(law: str, params: dict[str, str], quantile: str, marks, points=None) -> str:
@@ -332,15 +332,22 @@ def hist_rmse(spark, sf):
     return R.hist_rmse(sample, R.rank_laws(sample))
 
 
-@query("model_columns", f"""
-WITH {models_sql(VALUES, "weibull", N_MAX)},
-gt AS (SELECT criteria FROM m WHERE class_index >= 5 GROUP BY 1 HAVING NOT (min(abs(d0)) > 5 AND min(abs(d1)) > 5 AND min(abs(d2)) > 5)),
-bs AS (SELECT criteria, arg_min(class_index, abs(q0 - e0) + abs(q1 - e1) + abs(q2 - e2)) AS best FROM m WHERE class_index >= 5 GROUP BY 1)
-SELECT criteria, n, class_index, 'weibull' AS loi, 'class' AS method, class_index = best AS is_best, {sqlsig('q0')} AS "percentile_1%",
-  {sqlsig('q1')} AS "percentile_50%", {sqlsig('q2')} AS "percentile_99%", {sqlsig('mrd')} AS "Mean relat diff"
-FROM m JOIN gt USING (criteria) JOIN bs USING (criteria) WHERE class_index >= 5""")
+SWEEP = f"""
+WITH {models_sql(VALUES, "exponential", N_MAX)},
+gt AS (SELECT criteria, min(abs(d0)) > 2 AND min(abs(d1)) > 2 AND min(abs(d2)) > 2 AS over,
+              arg_min(class_index, abs(q0 - e0) + abs(q1 - e1) + abs(q2 - e2)) AS best FROM m WHERE class_index >= 5 GROUP BY 1),
+es AS (SELECT b.criteria, b.n, b.mean, {", ".join(f"{at('(mean * -ln(1 - {p}))', p)} AS q{j}" for j, p in enumerate(CUSTOMERS))}, em.* EXCLUDE (criteria)
+       FROM b JOIN em USING (criteria) JOIN gt USING (criteria) WHERE over)"""
+SIX = ", ".join(f'{sqlsig(f"q{j}")} AS "percentile_{int(p * 100)}%"' for j, p in enumerate(CUSTOMERS))
+
+
+@query("model_columns", f"""{SWEEP}
+SELECT criteria, n, class_index, 'exponential' AS loi, 'class' AS method, class_index = best AS is_best, {SIX}, {sqlsig('mrd')} AS "Mean relat diff"
+FROM m JOIN gt USING (criteria) WHERE class_index >= 5 AND NOT over
+UNION ALL SELECT criteria, n, NULL, 'exponential', 'estimation', true, {SIX},
+  {sqlsig('(abs(100 * (q0 - e0) / e0) + abs(100 * (q1 - e1) / e1) + abs(100 * (q2 - e2) / e2)) / 3')} FROM es""")
 def model_columns(spark, sf):
-    models = M.model_sample(values(spark, sf), N_MAX, "weibull", threshold=5.0)
+    models = M.model_sample(values(spark, sf), N_MAX, "exponential", threshold=2.0)
     kept = models.select("criteria", "n", "class_index", "loi", "method", "is_best", "percentile_1%", "percentile_50%",
                          "percentile_99%", "Mean relat diff")
     return rounded(kept, ("criteria", "n", "class_index", "loi", "method", "is_best"))

@@ -17,13 +17,13 @@ r AS (SELECT user_id, run, min(ts) AS a, max(ts) AS b, count(*) AS n FROM z WHER
 st AS (SELECT *, count(*) FILTER (n >= 2) OVER (PARTITION BY user_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stretch FROM r),
 ps AS (SELECT *, row_number() OVER (PARTITION BY user_id, stretch ORDER BY run) AS pos FROM st),
 pr AS (SELECT user_id, stretch, (pos - 1) // 2 AS pair, min(a) AS a, max(b) AS b, sum(n) AS n, max(run) AS run FROM ps GROUP BY 1, 2, 3)
-SELECT user_id, a AS "start", b AS "end", {sqlsig("date_diff('microsecond', a, b) / 1e6")} AS duree
+SELECT user_id, a AS "start", b AS "end", date_diff('microsecond', a, b) / 1e6 AS duree
 FROM pr JOIN t USING (user_id) WHERE n >= 2 AND run < last""")
 def win_state_runs(spark, sf):
     kind = F.col("event_type")
     state = F.when(kind.isin("click", "view", "purchase"), 1.0).when(kind == "error", 0.0)
     events = load(spark, sf, "events").withColumn("state", state)
-    return state_runs(events, "state", ["ts", "event_id"], ["user_id"]).withColumn("duree", sig("duree"))
+    return state_runs(events, "state", ["ts", "event_id"], ["user_id"])
 
 
 PS = {"P1": 0.01, "P10": 0.1, "P25": 0.25, "P50": 0.5, "P75": 0.75, "P90": 0.9, "P99": 0.99}
@@ -31,9 +31,9 @@ PS = {"P1": 0.01, "P10": 0.1, "P25": 0.25, "P50": 0.5, "P75": 0.75, "P90": 0.9,
 
 def kpi_sql(keys: str) -> str:
     return f"""
-SELECT {keys}, {sqlsig("date_diff('microsecond', min(ts), max(ts)) / 1e6")} AS "DUREE", count(*) AS "COUNT", {sqlsig('avg(value)')} AS "MEAN",
-  {sqlsig('stddev_samp(value)')} AS "STD", min(value) AS "MIN", max(value) AS "MAX", arg_min(value, (ts, event_id)) AS "FIRST",
-  arg_max(value, (ts, event_id)) AS "LAST", {", ".join(f'{sqlsig(f"quantile_cont(value, {p})")} AS "{n}"' for n, p in PS.items())}
+SELECT {keys}, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS "DUREE", count(*) AS "COUNT", {sqlsig('avg(value)', 9)} AS "MEAN",
+  {sqlsig('stddev_samp(value)', 9)} AS "STD", min(value) AS "MIN", max(value) AS "MAX", arg_min(value, (ts, event_id)) AS "FIRST",
+  arg_max(value, (ts, event_id)) AS "LAST", {", ".join(f'{sqlsig(f"quantile_cont(value, {p})", 9)} AS "{n}"' for n, p in PS.items())}
 FROM (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events) GROUP BY {keys}"""
 
 
@@ -41,13 +41,13 @@ FROM (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events) GROUP BY {
 def agg_signal_kpis(spark, sf):
     events = load(spark, sf, "events").withColumn("day", F.to_date("ts").cast("string"))
     by = ["user_id", "day", "event_type"]
-    return rounded(K.signal_kpis(events, by, "value", ["ts", "event_id"]), (*by, "COUNT", "MIN", "MAX", "FIRST", "LAST"))
+    return rounded(K.signal_kpis(events, by, "value", ["ts", "event_id"]), (*by, "DUREE", "COUNT", "MIN", "MAX", "FIRST", "LAST"), 9)
 
 
 @query("agg_signal_kpis_hot", kpi_sql("event_type"))
 def agg_signal_kpis_hot(spark, sf):
     kpis = K.signal_kpis(load(spark, sf, "events"), ["event_type"], "value", ["ts", "event_id"], hot_rows=500)
-    return rounded(kpis, ("event_type", "COUNT", "MIN", "MAX", "FIRST", "LAST"))
+    return rounded(kpis, ("event_type", "DUREE", "COUNT", "MIN", "MAX", "FIRST", "LAST"), 9)
 
 
 @query("agg_dim_counts", """SELECT CASE WHEN json_type(props) = 'OBJECT' THEN 'H1D' ELSE 'H0D' END AS "Dimension", count(*) AS "count" FROM events GROUP BY 1""")

@@ -68,26 +68,26 @@ def study_attach_matrix(spark, sf):
     return Y.attach_matrix(headers(spark, sf), matrices)
 
 
-ERRORS = """
-SELECT study, list_filter([
+ERRORS = f"""
+SELECT study, concat_ws('|',
   CASE WHEN dimension = 'H4D' THEN 'Invalid dimension ''H4D''' END,
   CASE WHEN "Vin_list" IS NULL THEN 'VIN list cannot be empty' END,
   CASE WHEN "Energy_category" IS NULL THEN 'Required field ''Energy_category'' is missing' END,
   CASE WHEN "Segment" IS NULL THEN 'Required field ''Segment'' is missing' END,
   CASE WHEN "region_country" IS NULL THEN 'Required field ''region_country'' is missing' END,
-  CASE WHEN "Vin_list" IS NULL THEN 'Required field ''Vin_list'' is missing' END], e -> e IS NOT NULL) AS e FROM ({body})"""
+  CASE WHEN "Vin_list" IS NULL THEN 'Required field ''Vin_list'' is missing' END) AS errors FROM ({BODY})"""
 
 
-@query("study_validate", f"SELECT study, array_to_string(e, '|') AS errors FROM ({ERRORS.format(body=BODY)})")
+@query("study_validate", ERRORS)
 def study_validate(spark, sf):
     return Y.validate(headers(spark, sf)).select("study", F.array_join("errors", "|").alias("errors"))
 
 
-@query("study_build", f"SELECT b.* FROM ({BODY}) b JOIN ({ERRORS.format(body=BODY)}) v USING (study) WHERE len(e) = 0")
+@query("study_build", f"SELECT b.* FROM ({BODY}) b JOIN ({ERRORS}) v USING (study) WHERE errors = ''")
 def study_build(spark, sf):
     return Y.build(headers(spark, sf))[0]
 
 
-@query("study_rejected", f"SELECT study, array_to_string(e, '|') AS errors FROM ({ERRORS.format(body=BODY)}) WHERE len(e) > 0")
+@query("study_rejected", f"SELECT * FROM ({ERRORS}) WHERE errors <> ''")
 def study_rejected(spark, sf):
     return Y.build(headers(spark, sf))[1].select("study", F.array_join("errors", "|").alias("errors"))

@@ -1,7 +1,8 @@
 """Scalar, map and matrix criteria to long tables and back.
 
-A cell is a scalar or JSON text. It is read as a variant and opened one level at a time, so a
-branch of another depth never spoils its neighbours.
+A cell is a scalar or JSON text. It is parsed once, to a variant, and its levels are opened as rows
+one after the other: a branch of another depth never spoils its neighbours, and no matrix is held
+as a whole beyond its own text.
 """
 
 from __future__ import annotations
@@ -65,56 +66,85 @@ def _text(df: DataFrame, name: str) -> Column:
     return F.to_json(column) if isinstance(kind, (T.MapType, T.StructType)) else column.cast("string")
 
 
-def opened(value: Column) -> Column:
-    """A variant's entries if it is an object, else null."""
-    return F.try_variant_get(value, "$", "map<string,variant>")
+def _listed(cell: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), cell, F.lit("]")))
 
 
-def as_number(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
+def _only(listed: Column) -> Column:
+    """The one value of a cell parsed as a list: text after a document makes it no document."""
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
+def _is_map(cell: Column, parsed: Column) -> Column:
+    """Valid JSON that starts with a brace is an object."""
+    return parsed.isNotNull() & cell.rlike(r"^\s*\{")
+
+
+def _number(leaf: Column) -> Column:
+    """Number of a leaf's JSON text, in quotes or not; null for anything else."""
+    return F.when(leaf == "true", F.lit(1.0)).when(leaf == "false", F.lit(0.0)).otherwise(
+        F.btrim(leaf, F.lit('"')).try_cast("double"))
+
+
+def _open(df: DataFrame, value: Column, key: str, leaf: str, keep: bool = False) -> DataFrame:
+    """One row per entry of an object: its key, its value ``__<leaf>`` and that value's JSON text.
+
+    ``keep`` leaves one row without entry where there is none.
+    """
+    entries = df.withColumn("__open", value)
+    functions = df.sparkSession.tvf
+    explode = functions.variant_explode_outer if keep else functions.variant_explode
+    opened = explode(F.col("__open").outer()).toDF("__pos", key, f"__{leaf}")
+    rows = entries.lateralJoin(opened).drop("__pos", "__open")
+    return rows.withColumn(leaf, F.to_json(f"__{leaf}"))
+
+
+def _map_dimension(parsed: Column) -> Column:
+    """H2D if a value of the object is an object. Only text that can hold one is looked at closely."""
+    values = F.map_values(F.try_variant_get(parsed, "$", "map<string,variant>"))
+    nested = F.exists(values, lambda v: F.to_json(v).startswith("{"))
+    return F.when(F.to_json(parsed).contains(":{"), F.when(nested, "H2D").otherwise("H1D")).otherwise("H1D")
 
 
 def cell_dimension(cell: Column) -> Column:
     """H0D for a scalar, H2D for a map that holds a map, else H1D (an empty map too)."""
-    level = opened(F.try_parse_json(cell))
-    nested = F.exists(F.map_values(level), lambda v: opened(v).isNotNull())
-    return F.when(level.isNull(), "H0D").when(nested, "H2D").otherwise("H1D")
+    parsed = _only(_listed(cell))
+    return F.when(_is_map(cell, parsed), _map_dimension(parsed)).otherwise("H0D")
 
 
 def _long(df: DataFrame, base: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """One row per (row, criterion), the cell parsed once."""
+    """One row per (row, criterion); ``parsed`` is null unless the cell is a map."""
     cells = F.array(*(F.struct(F.lit(c).alias("criteria"), _text(df, c).alias("cell")) for c in cols))
-    return df.select(*quoted(base), F.inline(cells)).withColumn("parsed", F.try_parse_json("cell"))
+    long = df.select(*quoted(base), F.inline(cells)).withColumn("listed", _listed(F.col("cell")))
+    long = long.withColumn("parsed", _only(F.col("listed"))).drop("listed")
+    return long.withColumn("parsed", F.when(_is_map(F.col("cell"), F.col("parsed")), F.col("parsed")))
 
 
 def melt_trips(df: DataFrame, base: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Wide trips to one row per (trip, criterion); a map keeps its canonical JSON text."""
-    long = _long(df, base, cols)
-    value = F.when(opened(F.col("parsed")).isNotNull(), F.to_json("parsed")).otherwise(F.col("cell"))
-    return long.select(*quoted(base), "criteria", cell_dimension(F.col("cell")).alias("dimension"),
-                       value.alias("correspondant_value"))
-
-
-def _row(dimension: str, a: Column, b: Column, c: Column, value: Column) -> Column:
-    return F.struct(F.lit(dimension).alias("dimension"), a.alias("classA"), b.alias("classB"), c.alias("classC"),
-                    value.alias("correspondant_value"))
+    parsed = F.col("parsed")
+    return _long(df, base, cols).select(
+        *quoted(base), "criteria",
+        F.when(parsed.isNull(), "H0D").otherwise(_map_dimension(parsed)).alias("dimension"),
+        F.when(parsed.isNull(), F.col("cell")).otherwise(F.to_json("parsed")).alias("correspondant_value"))
 
 
 def explode_drivers(df: DataFrame, base: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Wide drivers to one row per class. The dimension is that of each key, so a mixed map gives
     rows of both kinds; an empty map gives none; text that is no number gives a null value."""
+    outer = _open(_long(df, base, cols), F.col("parsed"), "keyA", "leafA", keep=True)
+    nested = F.col("leafA").startswith("{")
+    inner = _open(outer, F.when(nested, F.col("__leafA")), "keyB", "leafB", keep=True)
+    scalar, flat = F.col("parsed").isNull(), F.col("leafA").isNotNull() & ~nested
     none = F.lit(NONE)
-
-    def branch(entry: Column) -> Column:
-        inner = opened(entry["value"])
-        pairs = F.transform(F.map_entries(inner), lambda e: _row("H2D", entry["key"], e["key"], none, as_number(e["value"])))
-        return F.when(inner.isNotNull(), pairs).otherwise(
-            F.array(_row("H1D", entry["key"], none, none, as_number(entry["value"]))))
-
-    outer = opened(F.col("parsed"))
-    scalar = F.array(_row("H0D", none, none, none, F.col("cell").try_cast("double")))
-    rows = F.when(outer.isNull(), scalar).otherwise(F.flatten(F.transform(F.map_entries(outer), branch)))
-    return _long(df, base, cols).select(*quoted(base), "criteria", F.inline(rows))
+    # what is neither is an entry of an inner map, or an empty map's lack of one
+    return inner.filter(scalar | flat | F.col("keyB").isNotNull()).select(
+        *quoted(base), "criteria",
+        F.when(scalar, "H0D").when(flat, "H1D").otherwise("H2D").alias("dimension"),
+        F.coalesce("keyA", none).alias("classA"), F.coalesce("keyB", none).alias("classB"), none.alias("classC"),
+        F.when(scalar, F.col("cell").try_cast("double")).when(flat, _number(F.col("leafA")))
+        .otherwise(_number(F.col("leafB"))).alias("correspondant_value"),
+    )
 
 
 def class_dimension(a: Column, b: Column, c: Column) -> Column:
@@ -142,25 +172,22 @@ def matrix_boundaries(wrapper: Column) -> Column:
 def explode_matrix(df: DataFrame, json_col: str, ref: str, label: str) -> DataFrame:
     """Three-level matrices to long rows; branches that are no map and leaves that are no number
     are left out."""
-    level = opened(F.try_variant_get(F.col("wrapper"), "$.matrix", "variant"))
-
-    def rows_of(a: Column, b: Column) -> Column:
-        return F.transform(F.map_entries(opened(b["value"])), lambda c: F.struct(
-            a["key"].alias("ClassA"), b["key"].alias("ClassB"), c["key"].alias("ClassC"),
-            as_number(c["value"]).alias("Correspondant_value")))
-
-    def below(a: Column) -> Column:
-        kept = F.filter(F.map_entries(opened(a["value"])), lambda b: opened(b["value"]).isNotNull())
-        return F.flatten(F.transform(kept, lambda b: rows_of(a, b)))
-
-    branches = F.filter(F.map_entries(level), lambda a: opened(a["value"]).isNotNull())
-    leaves = F.filter(F.flatten(F.transform(branches, below)), lambda r: r["Correspondant_value"].isNotNull())
-    parsed = df.select(F.col(quoted([ref])[0]).alias("Study_ref"), F.col(quoted([label])[0]).alias("Criteria_label"),
-                       F.try_parse_json(quoted([json_col])[0]).alias("wrapper"))
-    return parsed.select(
-        "Study_ref", "Criteria_label", matrix_boundaries(F.col("wrapper")).alias("Dimensions_boudaries"),
-        F.inline(leaves),
-    ).select(
+    wrapper = F.col("wrapper")
+    # the header becomes text before the levels open, so no cell carries the document
+    level = df.select(
+        F.col(quoted([ref])[0]).alias("Study_ref"), F.col(quoted([label])[0]).alias("Criteria_label"),
+        _listed(F.col(quoted([json_col])[0])).alias("listed"),
+    ).select("Study_ref", "Criteria_label", _only(F.col("listed")).alias("wrapper")).select(
+        "Study_ref", "Criteria_label", matrix_boundaries(wrapper).alias("Dimensions_boudaries"),
+        F.try_variant_get(wrapper, "$.matrix", "variant").alias("value"))
+    kept = ["Study_ref", "Criteria_label", "Dimensions_boudaries"]
+    for name in ("ClassA", "ClassB", "ClassC"):
+        # entries of an array have no key and are no branch
+        level = _open(level, F.col("value"), name, "leaf").filter(F.col(name).isNotNull())
+        kept.append(name)
+        level = level.select(*kept, F.col("__leaf").alias("value"), "leaf")
+    return level.select(*kept, _number(F.col("leaf")).alias("Correspondant_value")).filter(
+        F.col("Correspondant_value").isNotNull()).select(
         "Study_ref", "Criteria_label",
         class_dimension(F.col("ClassA"), F.col("ClassB"), F.col("ClassC")).alias("Dimension"),
         "Dimensions_boudaries", "ClassA", "ClassB", "ClassC", "Correspondant_value",

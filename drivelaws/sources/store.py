@@ -65,6 +65,16 @@ class Store:
             (F.col(quoted([f.name])[0]) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields))
 
+    def _insert_over(self, rows: DataFrame, table: str, mode: str) -> None:
+        """Overwrite all of a table (static) or the partitions of the rows (dynamic)."""
+        name = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, mode)  # inserts into a table follow the session, not the writer
+        try:
+            rows.select(*quoted(self.read(table).columns)).write.insertInto(table, overwrite=True)
+        finally:
+            self.spark.conf.set(name, before)
+
     def append(self, df: DataFrame, table: str) -> None:
         self._aligned(df, table).write.insertInto(table)
 
@@ -73,8 +83,7 @@ class Store:
         if not self.exists(table):
             self.create(df, table)
             return
-        rows = cut_lineage(self._aligned(df, table))
-        rows.write.option("partitionOverwriteMode", "static").insertInto(table, overwrite=True)
+        self._insert_over(cut_lineage(self._aligned(df, table)), table, "static")
 
     def replace_slice(self, df: DataFrame, table: str, keys: Sequence[str]) -> None:
         """Replace the rows whose key is in ``df``, rewriting only the partitions concerned."""
@@ -82,15 +91,14 @@ class Store:
         parts = self.partition_columns(table)
         old = self.read(table)
         if not parts:
-            rows = cut_lineage(anti_replace(old, new, keys))
-            rows.write.insertInto(table, overwrite=True)
+            self._insert_over(cut_lineage(anti_replace(old, new, keys)), table, "static")
             return
         taken = new.select(*quoted(keys)).distinct()
         touched = settle(
             old.join(taken, list(keys), "left_semi").select(*quoted(parts))
             .unionByName(new.select(*quoted(parts))).distinct())
         rows = cut_lineage(anti_replace(null_safe(old, touched, parts, "left_semi"), new, keys))
-        rows.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+        self._insert_over(rows, table, "dynamic")
         # partitions left without rows are not overwritten; there are at most as many as touched
         emptied = null_safe(touched, rows.select(*quoted(parts)).distinct(), parts, "left_anti")
         for row in emptied.toLocalIterator():
