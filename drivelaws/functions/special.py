@@ -10,11 +10,9 @@ import math
 
 import numpy as np
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-
 def lgamma(x):
-    return _lgamma(np.asarray(x, dtype=float))
+    x = np.asarray(x, dtype=float)
+    return np.array([math.lgamma(v) for v in x.ravel()]).reshape(x.shape)
 
 
 def digamma(x):
