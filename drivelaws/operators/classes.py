@@ -142,15 +142,21 @@ def _solve_beta(mean: pd.Series, var: pd.Series, ln_u: pd.Series, ln_rest: pd.Se
     return pd.DataFrame({"alpha": np.atleast_1d(a), "beta": np.atleast_1d(b)})
 
 
-def beta_mle(sample: DataFrame, summary: DataFrame) -> DataFrame:
-    """(criteria, alpha, beta) by maximum likelihood on the scaled, clipped sample."""
+def beta_fit(sample: DataFrame, summary: DataFrame) -> DataFrame:
+    """(criteria, alpha, beta) by maximum likelihood on the scaled, clipped sample, with the means
+    of ln u and ln(1 - u) that the likelihood is made of."""
     bounds = summary.filter("data_max > data_min").select("criteria", "data_min", "data_max")
     u = minmax_clip(F.col("x"), F.col("data_min"), F.col("data_max"))
     stats = attach(sample, bounds, ["criteria"], 128).select("criteria", u.alias("u")).groupBy("criteria").agg(
         F.avg("u").alias("m"), F.var_pop("u").alias("v"),
         F.avg(F.ln("u")).alias("ln_u"), F.avg(F.ln(F.lit(1.0) - F.col("u"))).alias("ln_rest"),
     )
-    return stats.select("criteria", _solve_beta("m", "v", "ln_u", "ln_rest").alias("fit")).select("criteria", "fit.*")
+    solved = stats.select("criteria", "ln_u", "ln_rest", _solve_beta("m", "v", "ln_u", "ln_rest").alias("fit"))
+    return solved.select("criteria", "fit.*", "ln_u", "ln_rest")
+
+
+def beta_mle(sample: DataFrame, summary: DataFrame) -> DataFrame:
+    return beta_fit(sample, summary).select("criteria", "alpha", "beta")
 
 
 def grid_marks(grid_from: int = 0) -> list[float]:

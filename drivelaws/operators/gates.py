@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .classes import DIFF_COLUMNS, EMP_COLUMNS, FIT_COLUMNS, MODEL_COLUMNS
 from .sample import percentiles, sample_summary
-from .scale import null_safe, settle
+from .scale import attach, null_safe, settle
 
 # Sample size below which nothing is fitted, the name such rows carry, the default
 # threshold (in percent).
@@ -49,9 +49,9 @@ def gate_small_sample(sample: DataFrame, n_min: int = MIN_SAMPLE, summary: DataF
     Their fitted customers are the empirical ones, with no difference.
     """
     summary = settle(sample_summary(sample)) if summary is None else summary
-    small = summary.filter((F.col("n") < n_min) | (F.col("data_max") <= F.col("data_min"))).select(
-        "criteria", "n", "data_min", "data_max", "data_mean")
-    rows = null_safe(sample, small.select("criteria"), ["criteria"], "left_semi")
+    small = settle(summary.filter((F.col("n") < n_min) | (F.col("data_max") <= F.col("data_min"))).select(
+        "criteria", "n", "data_min", "data_max", "data_mean"))
+    rows = attach(sample, small.select("criteria"), ["criteria"], 64)
     pct = percentiles(rows, sizes=small.select("criteria", "n"))
     nothing = F.lit(None).cast("double")
     return null_safe(small, pct, ["criteria"]).select(

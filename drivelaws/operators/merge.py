@@ -38,7 +38,14 @@ def merge_columns(old: DataFrame, new: DataFrame, keys: Sequence[str], prefer: s
         second = second.withColumnsRenamed({c: f"__other_{c}" for c in shared})
     else:
         second = drop_common(first, second, keys)
-    joined = first.join(second, list(keys), how)
+    if how == "left":
+        joined = first.join(second, list(keys), "left")
+    else:
+        # a full join cannot be split at a hot key; these two can, on the stored side and the new one
+        stored, added = (second, first) if prefer == "new" else (first, second)
+        known = old.select(*quoted(keys)).distinct()
+        joined = stored.join(added, list(keys), "left").unionByName(
+            added.join(known, list(keys), "left_anti"), allowMissingColumns=True)
     return joined.select(*(
         F.coalesce(quoted([c])[0], quoted([f"__other_{c}"])[0]).alias(c) if fill_nulls and c in shared
         else F.col(quoted([c])[0])

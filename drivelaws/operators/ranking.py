@@ -12,11 +12,10 @@ from pyspark.sql import types as T
 
 from ..functions.laws import PARAMETERS, law_params, lgamma, pdf
 from ..functions.special import gamma_shape
-from .classes import beta_mle
+from .classes import beta_fit
 from .likelihood import gumbel_mle
 from .sample import percentiles
 from .scale import attach, null_safe, settle
-from ..functions.scalars import minmax_clip
 
 # The candidates, and the free parameters each likelihood counts.
 DEFAULT_LAWS = ("normal", "lognormal", "beta", "gamma", "exponential", "gumbel")
@@ -73,15 +72,11 @@ def _closed(law: str, stats: DataFrame) -> DataFrame:
 
 def _beta(sample: DataFrame, stats: DataFrame) -> DataFrame:
     bounds = stats.filter("data_max > data_min")
-    fits = settle(null_safe(bounds.select("criteria", "n", "data_min", "data_max"), beta_mle(sample, bounds), ["criteria"]))
-    u = minmax_clip(F.col("x"), F.col("data_min"), F.col("data_max"))
-    keys = fits.columns
-    sums = attach(sample, fits, ["criteria"], 128).groupBy(*keys).agg(
-        F.sum(F.ln(u)).alias("ln_u"), F.sum(F.ln(F.lit(1.0) - u)).alias("ln_rest"))
+    fits = null_safe(bounds.select("criteria", "n", "data_min", "data_max"), beta_fit(sample, bounds), ["criteria"])
     a, b, n = F.col("alpha"), F.col("beta"), F.col("n").cast("double")
     norm = lgamma(a) + lgamma(b) - lgamma(a + b) + F.ln(F.col("data_max") - F.col("data_min"))
-    loglik = (a - F.lit(1.0)) * F.col("ln_u") + (b - F.lit(1.0)) * F.col("ln_rest") - n * norm
-    return sums.select("criteria", "n", F.lit("beta").alias("law"), loglik.alias("loglik"), law_params("beta", a, b).alias("params"))
+    loglik = n * ((a - F.lit(1.0)) * F.col("ln_u") + (b - F.lit(1.0)) * F.col("ln_rest") - norm)
+    return fits.select("criteria", "n", F.lit("beta").alias("law"), loglik.alias("loglik"), law_params("beta", a, b).alias("params"))
 
 
 def rank_laws(sample: DataFrame, laws: Sequence[str] = DEFAULT_LAWS, stats: DataFrame | None = None) -> DataFrame:

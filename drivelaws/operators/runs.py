@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scale import running
+from .scale import running, settle
 
 RUNS_PER_CHUNK = 65_536
 BEFORE_ALL = -(2 ** 62)
@@ -74,7 +74,8 @@ def state_runs(df: DataFrame, state: str, order_by: Sequence[str], partition_by:
         .groupBy("trip", "chunk", "zeros")
         .agg(F.min(order[0]).alias("start"), F.max(order[0]).alias("end"), F.count(F.lit(1)).alias("ones"))
     )
-    runs = (
+    # far fewer than the rows; made once, as several passes below read them
+    runs = settle(
         folded.join(offsets, ["trip", "chunk"])
         .withColumn("run", F.col("zeros") + F.col("zeros_before"))
         .groupBy("trip", "run")

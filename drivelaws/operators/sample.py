@@ -11,7 +11,10 @@ from .scale import attach, is_small, null_safe, settle
 
 # Groups above this many rows leave the one-task percentile for the bracketed search.
 HOT_ROWS = 500_000
-SKETCH_ACCURACY = 10_000
+# Quantile sketch error is 1 / accuracy; larger groups get finer sketches, so that the rows left to
+# order stay near RANGE_ROWS.
+SKETCH_ACCURACY = (10_000, 1_000_000)
+RANGE_ROWS = 1_000_000
 CUSTOMER_PS = (0.01, 0.5, 0.99)
 
 
@@ -120,7 +123,7 @@ def _hot_percentiles(rows: DataFrame, ps: Sequence[float], by: list[str], accura
 
 
 def percentiles(rows: DataFrame, ps: Sequence[float] = CUSTOMER_PS, by: Sequence[str] = ("criteria",),
-                value: str = "x", hot_rows: int = HOT_ROWS, accuracy: int = SKETCH_ACCURACY,
+                value: str = "x", hot_rows: int = HOT_ROWS, accuracy: int | None = None,
                 sizes: DataFrame | None = None) -> DataFrame:
     """Exact linearly interpolated percentiles per group as ``(*by, pct array<double>)``.
 
@@ -132,15 +135,20 @@ def percentiles(rows: DataFrame, ps: Sequence[float] = CUSTOMER_PS, by: Sequence
         F.col("x").isNotNull() & ~F.isnan("x"))
     if sizes is None:
         sizes = settle(rows.groupBy(*by).agg(F.count("x").alias("n")))
-    hot = settle(sizes.filter(F.col("n") > hot_rows).select(*by))
+    hot = settle(sizes.filter(F.col("n") > hot_rows).select(*by, "n"))
 
     def direct(part: DataFrame) -> DataFrame:
         ordered = part.groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("values"))
         n = F.size("values")
         return ordered.select(*by, _interpolate(n, lambda r: F.col("values")[r.cast("int")], ps).alias("pct"))
 
-    if hot.isEmpty():
+    largest = hot.agg(F.max("n")).first()[0]
+    if largest is None:
         return direct(rows)
+    if accuracy is None:
+        least, most = SKETCH_ACCURACY
+        accuracy = min(max(least, 4 * largest // RANGE_ROWS), most)
+    hot = hot.select(*by)
     small = F.broadcast(hot) if is_small(hot, 64) else hot
     cold = direct(null_safe(rows, small, by, "left_anti"))
     return cold.unionByName(_hot_percentiles(attach(rows, hot, by, 64), ps, by, accuracy))

@@ -31,7 +31,7 @@ def model_summary(sample: DataFrame, n_max: int, threshold: float, law: str = "l
 def _sweep(sample: DataFrame, summary: DataFrame, chosen: DataFrame, laws: tuple[str, ...], n_max: int,
            grid_from: int, hot_rows: int) -> DataFrame:
     """Class sweep in which every criterion follows its own law."""
-    hist = null_safe(class_histogram(sample, n_max, summary=summary), F.broadcast(chosen), ["criteria"])
+    hist = attach(class_histogram(sample, n_max, summary=summary), chosen, ["criteria"], 64)
     by = ["criteria", "n", "data_min", "data_max", "data_mean", "loi", "class_index"]
     lines = ols(fit_points(hist, F.col("loi")), "y", "x", by)
     line = {law: (lambda law=law: F.lit(None).cast("map<string,double>") if law == "beta" else recovered(
@@ -60,14 +60,16 @@ def model_sample(sample: DataFrame, n_max: int, choice: str = "auto", threshold:
         rows = attach(sample, summary.select("criteria"), ["criteria"], 64)
         ranking = rank_laws(rows, stats=summary) if choice == "auto" else summary
         chosen = settle(choose_law(ranking, choice))
-        laws = tuple(law for law in LAWS if not chosen.filter(F.col("loi") == law).isEmpty())
+        present = {row.loi for row in chosen.select("loi").distinct().collect()}  # at most the six laws
+        laws = tuple(law for law in LAWS if law in present)
         models = settle(drop_first_classes(_sweep(rows, summary, chosen, laws, n_max, grid_from, hot_rows)))
         gate = settle(gate_mrd(models, threshold).select("criteria", "use_fallback"))
         fallen = settle(null_safe(chosen, gate.filter("use_fallback").select("criteria"), ["criteria"], "left_semi"))
+        gone = {row.loi for row in fallen.select("loi").distinct().collect()}
         direct = [
             estimate(attach(rows, settle(fallen.filter(F.col("loi") == law).select("criteria")), ["criteria"], 64),
                      law, grid_from=grid_from, hot_rows=hot_rows)
-            for law in laws if not fallen.filter(F.col("loi") == law).isEmpty()
+            for law in laws if law in gone
         ]
         replaced = None
         if direct:

@@ -45,12 +45,11 @@ class Store:
         return [c.name for c in self.spark.catalog.listColumns(table) if c.isPartition]
 
     def create(self, df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
-        """New table; rows are gathered by partition first, so each has few files."""
+        """New table; rows are gathered by partition first, so each has few files. The rebalance
+        splits a large partition over as many tasks as its measured size asks for."""
         parts = list(partition_by)
         if parts:
-            # the row hash lets a large partition spread over several tasks
-            spread = F.pmod(F.xxhash64(*quoted(df.columns)), F.lit(8))
-            df = df.repartition(*(F.col(q) for q in quoted(parts)), spread)
+            df = df.hint("rebalance", *(F.col(q) for q in quoted(parts)))
         df.write.format(self.format).partitionBy(*parts).mode("overwrite").saveAsTable(table)
 
     def _aligned(self, df: DataFrame, table: str) -> DataFrame:
