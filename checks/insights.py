@@ -47,13 +47,29 @@ def explode_drivers(spark, sf):
     return H.explode_drivers(trips(spark, sf).withColumn("mixed", mixed), ["event_id"], ["props", "mixed", "value", "kind"])
 
 
-@query("schema_trips")
+NO_TRIP = ", ".join(f'NULL::{kind} AS "{name}"' for name, kind in (
+    ("VIN", "VARCHAR"), ("TRIP_ID", "DOUBLE"), ("month", "INTEGER"), ("year", "INTEGER"), ("trip_start", "TIMESTAMP"),
+    ("trip_end", "TIMESTAMP"), ("duration_trip_h", "DOUBLE"), ("distance_trip_integral_km", "DOUBLE"), ("sum_distance_CITY_km", "DOUBLE"),
+    ("sum_distance_ROAD_km", "DOUBLE"), ("sum_distance_HIGHWAY_km", "DOUBLE"), ("trip_quality_flag", "INTEGER")))
+NO_DRIVER = ", ".join(f'NULL::{kind} AS "{name}"' for name, kind in (
+    ("VIN", "VARCHAR"), ("month", "INTEGER"), ("year", "INTEGER"), ("first_trip", "TIMESTAMP"), ("last_trip", "TIMESTAMP"),
+    ("total_trips", "INTEGER"), ("valid_trips", "INTEGER"), ("dist_tot_integ_km", "DOUBLE"), ("total_duration_h", "DOUBLE"),
+    ("sum_distance_driver_year_month_CITY_km", "DOUBLE"), ("sum_distance_driver_year_month_ROAD_km", "DOUBLE"),
+    ("sum_distance_driver_year_month_HIGHWAY_km", "DOUBLE"), ("valid_client", "INTEGER")))
+
+
+@query("schema_trips", f"""
+SELECT CAST(user_id AS VARCHAR) AS "DRIVER_ID", {NO_TRIP}, 'props' AS criteria, 'H1D' AS dimension, CAST(json(props) AS VARCHAR) AS correspondant_value FROM events
+UNION ALL SELECT CAST(user_id AS VARCHAR), {NO_TRIP}, 'kind', 'H0D', event_type FROM events""")
 def schema_trips(spark, sf):
-    melted = H.melt_trips(trips(spark, sf), ["DRIVER_ID"], ["props", "value"])
+    melted = H.melt_trips(trips(spark, sf), ["DRIVER_ID"], ["props", "kind"])
     return H.conform(melted, H.schema_trips())
 
 
-@query("schema_drivers")
+@query("schema_drivers", f"""
+SELECT CAST(user_id AS VARCHAR) AS "DRIVER_ID", {NO_DRIVER}, 'props' AS criteria, 'H1D' AS dimension, 'k' AS "classA", 'none' AS "classB",
+  'none' AS "classC", CAST(json_extract(props, '$.k') AS DOUBLE) AS correspondant_value FROM events
+UNION ALL SELECT CAST(user_id AS VARCHAR), {NO_DRIVER}, 'value', 'H0D', 'none', 'none', 'none', value FROM events""")
 def schema_drivers(spark, sf):
     return H.conform(H.explode_drivers(trips(spark, sf), ["DRIVER_ID"], ["props", "value"]), H.schema_drivers())
 
@@ -106,7 +122,13 @@ def matrix_boundaries(spark, sf):
     return wrapped.select("Study_ref", H.matrix_boundaries(F.try_parse_json("dfmatrix")).alias("text"))
 
 
-@query("matrix_wrap")
+@query("matrix_wrap", f"""
+WITH c AS ({CELLS}),
+c2 AS (SELECT "ClassA", "ClassB", string_agg('"' || "ClassC" || '":' || CAST(CAST(c AS DOUBLE) AS VARCHAR), ',' ORDER BY "ClassC") AS t FROM c GROUP BY 1, 2),
+c1 AS (SELECT "ClassA", string_agg('"' || "ClassB" || '":{{' || t || '}}', ',' ORDER BY "ClassB") AS t FROM c2 GROUP BY 1)
+SELECT 'R1' AS "Study_ref", 'lines' AS "Criteria_label", '{{"x_axis":"flag","y_axis":"unknown","x_bins":"min=0;max='
+  || (SELECT max(l_linenumber) FROM lineitem) || ';step=1","y_bins":"","matrix":{{' || string_agg('"' || "ClassA" || '":{{' || t || '}}', ',' ORDER BY "ClassA")
+  || '}}}}' AS dfmatrix FROM c1""")
 def matrix_wrap(spark, sf):
     return H.wrap_matrix(cells(spark, sf), bounds(spark, sf))
 

@@ -384,3 +384,73 @@ p AS (SELECT criteria, CAST(k AS INTEGER) AS point, lo + (hi - lo) * k / 999.0::
 SELECT criteria, 'exponential' AS loi, point, {sqlsig('x')} AS x, {sqlsig('exp(-x / m) / m')} AS pdf, {sqlsig('1 - exp(-x / m)')} AS cdf FROM p""")
 def curve_points(spark, sf):
     return rounded(M.curve_points(E.estimate(values(spark, sf), "exponential")).drop("class_index"), ("criteria", "loi", "point"))
+
+
+@query("fit_class_gamma_line", f"""
+WITH {classes_sql(VALUES, N_MAX)},
+xy AS (SELECT *, ln(c) AS px, {probit_sql("((i_rank - 0.3::DOUBLE) / (n + 0.4::DOUBLE))")} AS py FROM h),
+ln AS (SELECT criteria, class_index, regr_slope(py, px) AS b1, regr_intercept(py, px) AS b0, regr_r2(py, px) AS r2 FROM xy GROUP BY 1, 2)
+SELECT criteria, class_index, {sqlsig('1 / (b1 * b1)')} AS k_shape, {sqlsig('exp(-b0 * b1)')} AS theta_scale, {sqlsig('r2')} AS "R2" FROM ln""")
+def fit_class_gamma_line(spark, sf):
+    lines = C.fit_lines(C.class_histogram(values(spark, sf), N_MAX), "gamma")
+    p = F.col("params")
+    return rounded(lines.select("criteria", "class_index", p["k_shape"].alias("k_shape"), p["theta_scale"].alias("theta_scale"), "R2"),
+                   ("criteria", "class_index"))
+
+
+@query("fit_class_beta_line", f"""
+WITH {classes_sql(PRICES, N_MAX)},
+xy AS (SELECT *, (c - lo) / (hi - lo) AS px, {probit_sql("((i_rank - 0.3::DOUBLE) / (n + 0.4::DOUBLE))")} AS py FROM h)
+SELECT criteria, class_index, {sqlsig('regr_r2(py, px)')} AS "R2" FROM xy GROUP BY 1, 2""")
+def fit_class_beta_line(spark, sf):
+    lines = C.fit_lines(C.class_histogram(prices(spark, sf), N_MAX), "beta")
+    return rounded(lines.select("criteria", "class_index", "R2"), ("criteria", "class_index"))
+
+
+@query("est_gamma_params", f"""
+SELECT criteria, {sqlsig('avg(x) * avg(x) / var_samp(x)')} AS k_shape, {sqlsig('var_samp(x) / avg(x)')} AS theta_scale FROM ({VALUES}) GROUP BY 1""")
+def est_gamma_params(spark, sf):
+    p = F.col("params")
+    return rounded(E.estimate(values(spark, sf), "gamma").select(
+        "criteria", p["k_shape"].alias("k_shape"), p["theta_scale"].alias("theta_scale")), ("criteria",))
+
+
+@query("est_beta_params", f"""
+WITH s AS ({PRICES}), b AS (SELECT criteria, min(x) AS lo, max(x) AS hi FROM s GROUP BY 1),
+u AS (SELECT criteria, greatest(least((x - lo) / (hi - lo), 1 - 1e-6), 1e-6) AS u FROM s JOIN b USING (criteria)),
+m AS (SELECT criteria, avg(u) AS m, avg(u) * (1 - avg(u)) / var_samp(u) - 1 AS k FROM u GROUP BY 1)
+SELECT criteria, {sqlsig('m * k')} AS alpha, {sqlsig('(1 - m) * k')} AS beta FROM m""")
+def est_beta_params(spark, sf):
+    p = F.col("params")
+    return rounded(E.estimate(prices(spark, sf), "beta").select("criteria", p["alpha"].alias("alpha"), p["beta"].alias("beta")), ("criteria",))
+
+
+@query("hist_rmse_closed", f"""
+WITH s AS ({VALUES}),
+b AS (SELECT criteria, count(*) AS n, min(x) AS lo, max(x) - min(x) AS w, avg(x) AS m, sqrt(var_pop(x)) AS sd,
+             2 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / cbrt(count(*)) AS fd FROM s GROUP BY 1),
+k AS (SELECT *, CAST(ceil(w / least(greatest(fd, w / sqrt(n) / 2), w / (log2(n) + 1))) AS BIGINT) AS bins FROM b),
+c AS (SELECT criteria, CAST(least(floor((x - lo) / w * bins), bins - 1) AS BIGINT) AS bin, count(*) AS f FROM s JOIN k USING (criteria) GROUP BY 1, 2),
+e AS (SELECT k.*, unnest(range(0, bins)) AS bin FROM k),
+d AS (SELECT e.criteria, m, sd, lo, lo + (bin + 0.5) * w / bins AS x, coalesce(f, 0) * bins / (n * w) AS y FROM e LEFT JOIN c USING (criteria, bin))
+SELECT criteria, 'normal' AS law, {sqlsig("sqrt(avg(pow(y - exp(-(x - m) * (x - m) / (2 * sd * sd)) / (sd * 2.5066282746310002), 2)))")} AS rmse FROM d GROUP BY 1
+UNION ALL SELECT criteria, 'exponential', {sqlsig("sqrt(avg(pow(y - exp(-(x - lo) / (m - lo)) / (m - lo), 2)))")} FROM d GROUP BY 1""")
+def hist_rmse_closed(spark, sf):
+    sample = values(spark, sf)
+    return R.hist_rmse(sample, R.rank_laws(sample, ("normal", "exponential"))).withColumn("rmse", sig("rmse"))
+
+
+@query("model_table_rows", f"""{SWEEP}, mt AS (
+  SELECT criteria, class_index, 'class' AS method, class_index = best AS is_best, lambda_inv, data_mean, r2, q0, q1, q2, e0, e1, e2
+  FROM m JOIN gt USING (criteria) WHERE class_index >= 5 AND NOT over
+  UNION ALL SELECT criteria, NULL, 'estimation', true, mean, mean, NULL, q0, q1, q2, e0, e1, e2 FROM es)
+SELECT '[USAGE] event values' AS study_title, '{{"table": "events"}}' AS sample_description, criteria, 'exponential' AS loi, class_index, method, is_best,
+  {sqlsig('lambda_inv')} AS lambda_inv, {sqlsig('data_mean')} AS data_mean, {sqlsig('r2')} AS "R2", {sqlsig('q0')} AS "client1%",
+  {sqlsig('q1')} AS "client50%", {sqlsig('q2')} AS "client99%", {sqlsig('e0')} AS "sample_client1%", {sqlsig('e1')} AS "sample_client50%",
+  {sqlsig('e2')} AS "sample_client99%" FROM mt""")
+def model_table_rows(spark, sf):
+    models = M.model_sample(values(spark, sf), N_MAX, "exponential", threshold=2.0)
+    table = M.model_table(models, "[USAGE] event values", {"table": "events"})
+    lambda_inv = F.get_json_object("parameters", "$.lambda_inv").cast("double").alias("lambda_inv")
+    return rounded(table.select("*", lambda_inv).drop("parameters", "data_min", "data_max"),
+                   ("study_title", "sample_description", "criteria", "loi", "class_index", "method", "is_best"))

@@ -58,7 +58,12 @@ def study_attach_model(spark, sf):
     return Y.attach_model(headers(spark, sf), first_model_row(models))
 
 
-@query("study_attach_matrix")
+@query("study_attach_matrix", f"""
+WITH c AS (SELECT l_orderkey, l_returnflag AS a, l_linestatus AS b, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3),
+c1 AS (SELECT l_orderkey, a, string_agg('"' || b || '":{{"none":' || CAST(q AS VARCHAR) || '}}', ',' ORDER BY b) AS t FROM c GROUP BY 1, 2),
+m AS (SELECT l_orderkey, '{{"x_axis":"unknown","y_axis":"unknown","x_bins":"","y_bins":"","matrix":{{'
+        || string_agg('"' || a || '":{{' || t || '}}', ',' ORDER BY a) || '}}}}' AS dfmatrix FROM c1 GROUP BY 1)
+SELECT h.*, CASE WHEN dimension = 'H0D' THEN NULL ELSE dfmatrix END AS dfmatrix FROM ({BODY}) h LEFT JOIN m ON l_orderkey = study""")
 def study_attach_matrix(spark, sf):
     long = load(spark, sf, "lineitem").groupBy(
         F.col("l_orderkey").cast("string").alias("Study_ref"), F.lit("lines").alias("Criteria_label"),
