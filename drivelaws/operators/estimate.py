@@ -85,8 +85,9 @@ def estimate(sample: DataFrame, law: str, d: float = 0.0, grid_from: int = 0, ho
     both = null_safe(models, percentiles(sample, ps, hot_rows=hot_rows, sizes=stats.select("criteria", "n")), ["criteria"])
 
     k = len(CUSTOMER_PS)
-    points = range(k) if law == "lognormal" else range(k, len(ps))
-    square = sum(((F.col("pct")[i] - F.col("fit")[i]) * (F.col("pct")[i] - F.col("fit")[i]) for i in points), F.lit(0.0))
+    start, size = (1, k) if law == "lognormal" else (k + 1, len(ps) - k)
+    squares = F.zip_with(F.slice("pct", start, size), F.slice("fit", start, size), lambda e, f: (e - f) * (e - f))
+    square = F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v)
 
     def off(i: int) -> Column:
         gap = F.lit(100.0) * F.try_divide(F.col("fit")[i] - F.col("pct")[i], F.col("pct")[i])
@@ -99,7 +100,7 @@ def estimate(sample: DataFrame, law: str, d: float = 0.0, grid_from: int = 0, ho
         F.lit(None).cast("int").alias("class_index"), "params", F.lit(None).cast("double").alias("R2"),
         *(F.col("fit")[i].alias(c) for i, c in enumerate(FIT_COLUMNS)),
         *(F.col("pct")[i].alias(c) for i, c in enumerate(EMP_COLUMNS)),
-        (square / F.lit(float(len(points)))).alias("MSE"),
+        (square / F.lit(float(size))).alias("MSE"),
         F.when(some, total / F.lit(3.0)).alias("Mean relat diff"),
         *(off(i).alias(c) for i, c in enumerate(DIFF_COLUMNS)),
     ).select(*(f"`{c}`" for c in MODEL_COLUMNS))

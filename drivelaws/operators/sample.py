@@ -51,23 +51,27 @@ def moments(sample: DataFrame, ddof: int = 1) -> DataFrame:
     return sample.groupBy("criteria").agg(F.avg(x).alias("mean"), std(x).alias("std"), var(x).alias("var"))
 
 
+def _marks(ps: Sequence[float]) -> Column:
+    return F.array(*(F.lit(float(p)) for p in ps))
+
+
 def _ranks(n: Column, ps: Sequence[float]) -> Column:
     """Distinct 0-based ranks that interpolation at ``ps`` reads."""
-    ends = []
-    for p in ps:
-        at = (n - F.lit(1)) * F.lit(float(p))
-        ends += [F.floor(at), F.ceil(at)]
-    return F.array_distinct(F.array(*ends))
+    def ends(p: Column) -> Column:
+        at = (n - F.lit(1)) * p
+        return F.array(F.floor(at), F.ceil(at))
+
+    return F.array_distinct(F.flatten(F.transform(_marks(ps), ends)))
 
 
 def _interpolate(n: Column, value_at: Callable[[Column], Column], ps: Sequence[float]) -> Column:
     """Linear interpolation between order statistics looked up by 0-based rank."""
-    out = []
-    for p in ps:
-        at = (n - F.lit(1)) * F.lit(float(p))
+    def between(p: Column) -> Column:
+        at = (n - F.lit(1)) * p
         low, high = value_at(F.floor(at)), value_at(F.ceil(at))
-        out.append(low + (high - low) * (at - F.floor(at)))
-    return F.array(*out)
+        return low + (high - low) * (at - F.floor(at))
+
+    return F.transform(_marks(ps), between)
 
 
 def locate(rows: DataFrame, name: str, depth: int, reached: Callable[[Column], Column]) -> DataFrame:
