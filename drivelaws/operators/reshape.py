@@ -82,8 +82,8 @@ def _is_map(cell: Column, parsed: Column) -> Column:
 
 def _number(leaf: Column) -> Column:
     """Number of a leaf's JSON text, in quotes or not; null for anything else."""
-    return F.when(leaf == "true", F.lit(1.0)).when(leaf == "false", F.lit(0.0)).otherwise(
-        F.btrim(leaf, F.lit('"')).try_cast("double"))
+    return F.coalesce(F.btrim(leaf, F.lit('"')).try_cast("double"),
+                      F.when(leaf == "true", F.lit(1.0)).when(leaf == "false", F.lit(0.0)))
 
 
 def _open(df: DataFrame, value: Column, key: str, leaf: str, keep: bool = False) -> DataFrame:
