@@ -78,7 +78,7 @@ CELLS = """SELECT l_returnflag AS "ClassA", l_linestatus AS "ClassB", CAST(year(
 
 
 def cells(spark, sf):
-    """Line counts by flag, status and year: one matrix per priority of nothing but itself."""
+    """Line counts by flag, status and year, as one matrix."""
     return load(spark, sf, "lineitem").groupBy(
         F.lit("R1").alias("Study_ref"), F.lit("lines").alias("Criteria_label"), F.col("l_returnflag").alias("ClassA"),
         F.col("l_linestatus").alias("ClassB"), F.year("l_shipdate").cast("string").alias("ClassC")).agg(

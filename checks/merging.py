@@ -133,9 +133,7 @@ def upsert_ranked_meta(spark, sf):
     return M.ranked_union(*ranked_versions(spark, sf), ["user_id", "signal"])
 
 
-@query("win_rank_pick", ranked_sql("signal", 1).replace("SELECT signal, freq, unit", "SELECT signal, freq, unit", 1).replace(
-    "SELECT user_id, event_type AS signal", "SELECT event_type AS signal").replace(
-    "UNION ALL SELECT user_id, event_type,", "UNION ALL SELECT event_type,"))
+@query("win_rank_pick", ranked_sql("signal", 1))
 def win_rank_pick(spark, sf):
     old, new = ranked_versions(spark, sf)
     return M.ranked_union(old.drop("user_id"), new.drop("user_id"), ["signal"])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from drivelaws.operators import projections as P
 from drivelaws.operators.kpis import distinct_on
 from drivelaws.operators.merge import left_fold, merge_columns, merge_cycles
+from drivelaws.operators.sample import positive
 from drivelaws.sources import read as R
 from drivelaws.sources.store import cut_lineage, write_csv, write_parquet
 
@@ -137,9 +138,7 @@ def proj_keep_existing(spark, sf):
 
 @query("flt_positive", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
 def flt_positive(spark, sf):
-    # the filter of to_sample, with the key kept for the check
-    return load(spark, sf, "customer").select("c_custkey", "c_acctbal").filter(
-        (F.col("c_acctbal") > 0.0) & ~F.isnan("c_acctbal"))
+    return positive(load(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
 
 
 @query("flt_slice", "SELECT * FROM events WHERE user_id = 46 AND event_type = 'view'")
@@ -251,9 +250,8 @@ def agg_distinct(spark, sf):
 
 
 @query("agg_distinct_keys", """
-SELECT o_custkey, o_orderstatus, (min(ROW(o_orderkey, o_totalprice))).o_orderkey AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice
-FROM (SELECT o_custkey, o_orderstatus, o_orderkey, o_totalprice FROM orders) GROUP BY 1, 2""".replace(
-    "(min(ROW(o_orderkey, o_totalprice))).o_orderkey", "min(o_orderkey)"))
+SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice
+FROM orders GROUP BY 1, 2""")
 def agg_distinct_keys(spark, sf):
     return distinct_on(load(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderkey", "o_totalprice"),
                        ["o_custkey", "o_orderstatus"])

@@ -18,6 +18,12 @@ RANGE_ROWS = 1_000_000
 CUSTOMER_PS = (0.01, 0.5, 0.99)
 
 
+def positive(df: DataFrame, col: str) -> DataFrame:
+    """Rows whose value is a number above 0; NaN, which Spark orders above all numbers, is none."""
+    value = F.col(f"`{col}`")
+    return df.filter((value > 0.0) & ~F.isnan(value))
+
+
 def to_sample(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
     """``(criteria, x)`` with one row per value > 0; nulls and NaN are dropped.
 
@@ -32,7 +38,7 @@ def to_sample(df: DataFrame, cols: Sequence[str], group: str | None = None) -> D
     if group is not None:
         name = F.col("__group") if len(cols) == 1 else F.concat_ws("|", "criteria", "__group")
         long = long.select(name.alias("criteria"), "x")
-    return long.filter((F.col("x") > 0.0) & ~F.isnan("x"))
+    return positive(long, "x")
 
 
 def sample_summary(sample: DataFrame) -> DataFrame:
