@@ -9,7 +9,7 @@ from drivelaws.operators.runs import state_runs
 from .common import load, query, rounded, sig, sqlsig
 
 
-@query("win_state_runs", f"""
+RUNS = """
 WITH v AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 1 WHEN event_type = 'error' THEN 0 END AS v FROM events),
 z AS (SELECT *, count(*) FILTER (v = 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM v WHERE v IS NOT NULL),
 t AS (SELECT user_id, max(run) AS last FROM z GROUP BY 1),
@@ -18,12 +18,24 @@ st AS (SELECT *, count(*) FILTER (n >= 2) OVER (PARTITION BY user_id ORDER BY ru
 ps AS (SELECT *, row_number() OVER (PARTITION BY user_id, stretch ORDER BY run) AS pos FROM st),
 pr AS (SELECT user_id, stretch, (pos - 1) // 2 AS pair, min(a) AS a, max(b) AS b, sum(n) AS n, max(run) AS run FROM ps GROUP BY 1, 2, 3)
 SELECT user_id, a AS "start", b AS "end", date_diff('microsecond', a, b) / 1e6 AS duree
-FROM pr JOIN t USING (user_id) WHERE n >= 2 AND run < last""")
-def win_state_runs(spark, sf):
+FROM pr JOIN t USING (user_id) WHERE n >= 2 AND run < last"""
+
+
+def on_off(spark, sf):
     kind = F.col("event_type")
     state = F.when(kind.isin("click", "view", "purchase"), 1.0).when(kind == "error", 0.0)
-    events = load(spark, sf, "events").withColumn("state", state)
-    return state_runs(events, "state", ["ts", "event_id"], ["user_id"])
+    return load(spark, sf, "events").withColumn("state", state)
+
+
+@query("win_state_runs", RUNS)
+def win_state_runs(spark, sf):
+    return state_runs(on_off(spark, sf), "state", ["ts", "event_id"], ["user_id"])
+
+
+@query("win_state_runs_hot", RUNS)
+def win_state_runs_hot(spark, sf):
+    """The chunked way meant for trips too large for one task, here for all of them."""
+    return state_runs(on_off(spark, sf), "state", ["ts", "event_id"], ["user_id"], hot_rows=0)
 
 
 PS = {"P1": 0.01, "P10": 0.1, "P25": 0.25, "P50": 0.5, "P75": 0.75, "P90": 0.9, "P99": 0.99}

@@ -5,8 +5,9 @@ closed by the next 0; other values are ignored. So a lone 1 stays open across ze
 ones that follow, and a last period without a 0 after it is dropped.
 
 Stretches of ones between zeros are the runs. A run of two or more closes what is open; a run of
-one closes what is open or else opens. Which of the two depends only on counts of earlier runs,
-and those are running sums, so no trip is ever ordered in one task.
+one closes what is open or else opens. Which of the two depends only on counts of earlier runs. Those
+are window counts for trips of ordinary size; for a trip that holds a large part of all rows they
+are running sums over chunks, so that it is never ordered in one task.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scale import running, settle
+from .scale import is_small, running, settle
 
 RUNS_PER_CHUNK = 65_536
+HOT_TRIP_ROWS = 5_000_000
 BEFORE_ALL = -(2 ** 62)
 
 
@@ -43,21 +45,22 @@ def elapsed(kind: T.DataType, start: str, end: str) -> Column:
     return F.col(f"`{end}`") - F.col(f"`{start}`")
 
 
-def state_runs(df: DataFrame, state: str, order_by: Sequence[str], partition_by: Sequence[str] = (),
-               chunk_width: float = 3600.0) -> DataFrame:
-    """``(*partition_by, start, end, duree)``, one row per closed period.
+def _whole(ticks: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Periods of trips small enough to be ordered as they are: one shuffle in all."""
+    upto = Window.partitionBy("trip").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = ticks.select(
+        "trip", "on", F.col(order[0]).alias("at"), F.count_if(~F.col("on")).over(upto).alias("run"),
+        F.count_if(~F.col("on")).over(Window.partitionBy("trip")).alias("zeros_all"))
+    runs = counted.filter("on").groupBy("trip", "run").agg(
+        F.min("at").alias("start"), F.max("at").alias("end"), F.count(F.lit(1)).alias("ones"), F.max("zeros_all").alias("zeros_all"))
+    before = Window.partitionBy("trip").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    stretched = runs.withColumn("stretch", F.count_if(F.col("ones") > 1).over(before))
+    place = F.row_number().over(Window.partitionBy("trip", "stretch").orderBy("run")) - 1
+    return stretched.withColumn("pair", F.floor(place / F.lit(2)))
 
-    ``order_by`` starts with the time column. ``chunk_width`` (seconds for timestamps) should hold a
-    few million rows of the densest trip at most.
-    """
-    time, by = order_by[0], list(partition_by)
-    value = F.col(f"`{state}`").cast("double")
-    key = F.struct(*(F.col(f"`{k}`") for k in by)) if by else F.struct(F.lit(0).alias("all"))
-    order = [f"__o{i}" for i in range(len(order_by))]
-    ticks = df.filter(value.isin(0.0, 1.0)).select(
-        key.alias("trip"), time_chunk(df, time, chunk_width).alias("chunk"), (value == 1.0).alias("on"),
-        *(F.col(f"`{c}`").alias(o) for c, o in zip(order_by, order)))
 
+def _chunked(ticks: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Periods of trips of any size, from running sums over chunks."""
     # zeros seen before each chunk, and in the whole trip
     totals = ticks.groupBy("trip", "chunk").agg(F.count_if(~F.col("on")).alias("zeros"))
     across = Window.partitionBy("trip").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +91,35 @@ def state_runs(df: DataFrame, state: str, order_by: Sequence[str], partition_by:
     placed = running(counted, ["trip"], "piece", ["run"],
                      maxima={"lone_closed": F.when(F.col("ones") > 1, F.col("lone_before"))})
     place = F.col("lone_before") - F.coalesce("lone_closed", F.lit(0))
-    periods = placed.groupBy("trip", "stretch", F.floor(place / F.lit(2)).alias("pair")).agg(
+    return placed.withColumn("pair", F.floor(place / F.lit(2)))
+
+
+def state_runs(df: DataFrame, state: str, order_by: Sequence[str], partition_by: Sequence[str] = (),
+               chunk_width: float = 3600.0, hot_rows: int = HOT_TRIP_ROWS) -> DataFrame:
+    """``(*partition_by, start, end, duree)``, one row per closed period.
+
+    ``order_by`` starts with the time column. Trips above ``hot_rows`` rows are cut into chunks of
+    ``chunk_width`` (seconds for timestamps), which should hold a few million rows at most.
+    """
+    time, by = order_by[0], list(partition_by)
+    value = F.col(f"`{state}`").cast("double")
+    # one struct key is never null, so plain equi-joins keep the windows' partitioning
+    key = F.struct(*(F.col(f"`{k}`") for k in by)) if by else F.struct(F.lit(0).alias("all"))
+    order = [f"__o{i}" for i in range(len(order_by))]
+    ticks = df.filter(value.isin(0.0, 1.0)).select(
+        key.alias("trip"), time_chunk(df, time, chunk_width).alias("chunk"), (value == 1.0).alias("on"),
+        *(F.col(f"`{c}`").alias(o) for c, o in zip(order_by, order)))
+
+    sizes = ticks.groupBy("trip").agg(F.count(F.lit(1)).alias("size"))
+    hot = settle(sizes.filter(F.col("size") > hot_rows).select("trip"))
+    if hot.isEmpty():
+        placed = _whole(ticks, order)
+    else:
+        known = F.broadcast(hot) if is_small(hot, 256) else hot
+        columns = ["trip", "run", "start", "end", "ones", "zeros_all", "stretch", "pair"]
+        placed = _whole(ticks.join(known, "trip", "left_anti"), order).select(*columns).unionByName(
+            _chunked(ticks.join(known, "trip", "left_semi"), order).select(*columns))
+    periods = placed.groupBy("trip", "stretch", "pair").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("ones").alias("ones"),
         F.max("run").alias("run"), F.max("zeros_all").alias("zeros_all"))
     return periods.filter((F.col("ones") > 1) & (F.col("run") < F.col("zeros_all"))).select(

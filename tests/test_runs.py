@@ -30,15 +30,15 @@ def sequences():
     return out
 
 
-@pytest.mark.parametrize("width", [1.0, 7.0, 1e9])
-@pytest.mark.parametrize("per_chunk", [2, 65536])
-def test_equals_state_machine_in_any_chunking(spark, monkeypatch, width, per_chunk):
+@pytest.mark.parametrize("width, per_chunk, hot_rows", [
+    (1.0, 2, 0), (7.0, 65536, 0), (7.0, 2, 0), (1e9, 65536, 0), (7.0, 2, 25), (1.0, 2, 10**6)])
+def test_equals_state_machine_in_any_chunking(spark, monkeypatch, width, per_chunk, hot_rows):
     monkeypatch.setattr(R, "RUNS_PER_CHUNK", per_chunk)
     cases = sequences()
     rows = [(t, i, v) for t, seq in enumerate(cases) for i, v in enumerate(seq)]
     df = spark.createDataFrame(rows, "trip int, at int, v double")
     got = {}
-    for r in R.state_runs(df, "v", ["at"], ["trip"], chunk_width=width).collect():
+    for r in R.state_runs(df, "v", ["at"], ["trip"], chunk_width=width, hot_rows=hot_rows).collect():
         got.setdefault(r.trip, []).append((r.start, r.end, r.duree))
     for t, seq in enumerate(cases):
         assert sorted(got.get(t, [])) == state_machine(seq), seq
@@ -47,8 +47,9 @@ def test_equals_state_machine_in_any_chunking(spark, monkeypatch, width, per_chu
 def test_null_trip_and_no_partition(spark):
     rows = [(None, i, v) for i, v in enumerate([1.0, 1.0, 0.0])] + [("a", i, v) for i, v in enumerate([1.0, 1.0, 0.0])]
     df = spark.createDataFrame(rows, "trip string, at int, v double")
-    got = R.state_runs(df, "v", ["at"], ["trip"]).collect()
-    assert sorted((str(r.trip), r.start, r.end) for r in got) == [("None", 0, 1), ("a", 0, 1)]
+    for hot_rows in (0, 100):
+        got = R.state_runs(df, "v", ["at"], ["trip"], hot_rows=hot_rows).collect()
+        assert sorted((str(r.trip), r.start, r.end) for r in got) == [("None", 0, 1), ("a", 0, 1)]
     one = R.state_runs(df.filter("trip = 'a'"), "v", ["at"]).collect()
     assert [(r.start, r.end) for r in one] == [(0, 1)]
 
