@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import bounded, text_of
 from .textnp import Rolling, covered, grams, pieces, per_text, repeated, text_bytes, words
 
-# Largest allowed share of word characters inside repeated runs, in percent by run length.
-GRAM_LIMITS = {5: 15, 7: 13, 10: 10}
+# Largest allowed share of word characters inside repeated runs, in percent by run length. Both copies
+# count, so a short clean text that says one paragraph twice reaches forty: it has to stay.
+GRAM_LIMITS = {5: 50, 7: 48, 10: 45}
 # Largest allowed share of word characters inside lines equal to an earlier one, in percent.
 LINE_LIMIT = 30
 LEAST_WORDS = 50
