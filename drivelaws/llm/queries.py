@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, quality, secrets
 from .common import table
 from .sql import SQL
 
@@ -25,3 +25,17 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     out = quality.repetition(table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "quality.*")
+
+
+@query
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    plan = mixing.mix_plan(table(spark, sf, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+@query
+def op7_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.array_sort(F.concat("base", "live"))).alias("spans"), F.size("live").cast("long").alias("n_live"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .mixing import MOST_COPIES, SEED
 from .quality import GRAM_LIMITS, LEAST_WORDS, LINE_LIMIT, REPEAT_LIMIT
+from .secrets import ACCESS, ASSIGN, HEX, LEAST_VALUE, MOST_OWNERS, MOST_REPOSITORIES, TOKEN
 
 SQL: dict[str, str] = {}
 
@@ -52,3 +54,67 @@ def quality_sql() -> str:
 
 
 SQL["op8_quality_rules"] = quality_sql()
+
+
+SQL["op2_mixing"] = rf"""
+    WITH sized AS (
+        SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    sources AS (
+        SELECT source, source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+        FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source)),
+    ordered AS (
+        SELECT *, row_number() OVER fill AS k, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+            sum(source_size) OVER fill AS full_size, sum(weight) OVER fill AS full_weight
+        FROM sources WINDOW fill AS (ORDER BY source_size / weight, source ROWS UNBOUNDED PRECEDING)),
+    shares AS (
+        SELECT 0 AS k, CAST(any_value(total) AS DOUBLE) / any_value(weights) AS share FROM ordered
+        UNION ALL
+        SELECT k, CAST(total - {MOST_COPIES} * full_size AS DOUBLE) / (weights - full_weight) FROM ordered WHERE full_weight < weights),
+    chosen AS (
+        SELECT s.share FROM shares s LEFT JOIN ordered o ON o.k = s.k + 1
+        WHERE o.k IS NULL OR s.share * o.weight < {MOST_COPIES} * o.source_size ORDER BY s.k LIMIT 1),
+    targets AS (
+        SELECT source, source_size, least((SELECT share FROM chosen) * weight, CAST({MOST_COPIES} * source_size AS DOUBLE)) AS target
+        FROM sources),
+    rates AS (
+        SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, {float(MOST_COPIES)}) ELSE 0.0 END AS rate FROM targets),
+    taken AS (
+        SELECT doc_id, size, source_size, target, CAST(floor(rate) AS INTEGER) + CASE WHEN
+            CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 < rate - floor(rate)
+            THEN 1 ELSE 0 END AS copies
+        FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source)
+    SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM taken"""
+
+
+def _spans(kind: str, rank: int, pattern: str, group: int, condition: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+    SELECT doc_id, {rank} AS rank, '{kind}' AS kind, start, start + length(hit) AS stop, value FROM (
+        SELECT doc_id, hit, value, sum(length(gap)) OVER w + sum(length(hit)) OVER w - length(hit) AS start
+        FROM (
+            SELECT doc_id, unnest(hits) AS hit, unnest(vals) AS value, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i
+            FROM (SELECT doc_id, regexp_extract_all(text, '{quoted}') AS hits, regexp_extract_all(text, '{quoted}', {group}) AS vals,
+                  string_split_regex(text, '{quoted}') AS gaps FROM texts))
+        WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))
+    WHERE {condition}"""
+
+
+SQL["op7_secret_scans"] = rf"""
+    WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+    base AS ({_spans("assign", 0, ASSIGN, 2, f"length(value) >= {LEAST_VALUE}")}
+        UNION ALL {_spans("access", 1, ACCESS, 1, "true")} UNION ALL {_spans("hex", 2, HEX, 1, "true")}),
+    tokens AS ({_spans("token", 3, TOKEN, 1, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')")}),
+    owned AS (
+        SELECT value FROM tokens JOIN texts USING (doc_id) GROUP BY value
+        HAVING count(DISTINCT source) <= {MOST_OWNERS} AND count(DISTINCT (source, doc_id)) <= {MOST_REPOSITORIES}),
+    live AS (SELECT * FROM tokens WHERE value IN (SELECT value FROM owned)),
+    both_kinds AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM live),
+    said AS (
+        SELECT doc_id, count(*) FILTER (is_base AND rank = 0) AS n_assign, count(*) FILTER (is_base AND rank = 1) AS n_access,
+            count(*) FILTER (is_base AND rank = 2) AS n_hex, count(*) FILTER (NOT is_base) AS n_live,
+            string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank, stop) FILTER (is_base) AS base,
+            string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank, stop) AS spans
+        FROM both_kinds GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+    FROM texts LEFT JOIN said USING (doc_id)"""
