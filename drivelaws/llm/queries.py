@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets
+from . import mixing, packing, quality, secrets
 from .common import table
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
 
+TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -39,3 +40,15 @@ def op7_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
         secrets.listed(F.array_sort(F.concat("base", "live"))).alias("spans"), F.size("live").cast("long").alias("n_live"))
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf, "documents"), tokenizer_path())
+    return packed.select(F.col("key").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
