@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secrets
+from . import classifier, mixing, packing, quality, secrets
 from .common import table
 from .sql import SQL
 
@@ -52,3 +52,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf, "documents"), tokenizer_path())
     return packed.select(F.col("key").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def fold(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string")) % 4
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "labels").filter(fold() != 2)
+    scored = classifier.classify(table(spark, sf, "documents"), labels)
+    return scored.select("doc_id", (F.coalesce(fold(), F.lit(0)) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
