@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, mixing, packing, quality, secrets
+from . import classifier, html, mixing, packing, quality, secrets
 from .common import table
 from .sql import SQL
 
@@ -63,3 +63,9 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").filter(fold() != 2)
     scored = classifier.classify(table(spark, sf, "documents"), labels)
     return scored.select("doc_id", (F.coalesce(fold(), F.lit(0)) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    texts = html.extract(table(spark, sf, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
