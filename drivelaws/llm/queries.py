@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html, mixing, packing, quality, secrets
+from . import classifier, html, mixing, packing, quality, secrets, topk
 from .common import table
 from .sql import SQL
 
@@ -69,3 +69,8 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     texts = html.extract(table(spark, sf, "pages"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op5_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
