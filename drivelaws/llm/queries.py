@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html, mixing, packing, quality, secrets, topk
+from . import classifier, html, minhash, mixing, packing, quality, secrets, topk
 from .common import table
 from .sql import SQL
 
@@ -74,3 +74,8 @@ def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op4_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"))

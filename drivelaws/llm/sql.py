@@ -130,3 +130,24 @@ SQL["op5_exact_topk"] = """
         FROM whole q JOIN whole d ON q.row <> d.row AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
         SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20"""
+
+
+SQL["op4_minhash_near_dedup"] = r"""
+    WITH RECURSIVE listed AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+        FROM documents),
+    shingled AS (
+        SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+        FROM listed),
+    each AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM shingled),
+    links AS (
+        SELECT a.doc_id AS u, b.doc_id AS v FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+    reached(doc_id, low) USING KEY (doc_id) AS (
+        SELECT doc_id, doc_id AS low FROM documents
+        UNION
+        SELECT l.u, min(r.low) FROM reached r JOIN links l ON l.v = r.doc_id JOIN recurring.reached o ON o.doc_id = l.u
+        WHERE r.low < o.low GROUP BY l.u)
+    SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, low AS component_id, low = doc_id AS kept
+    FROM shingled JOIN reached USING (doc_id)"""
