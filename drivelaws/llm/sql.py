@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .lm import BIGRAM, BIGRAMS, UNIFORM, UNIGRAM, VOCABULARY
 from .mixing import MOST_COPIES, SEED
 from .quality import GRAM_LIMITS, LEAST_WORDS, LINE_LIMIT, REPEAT_LIMIT
 from .secrets import ACCESS, ASSIGN, HEX, LEAST_VALUE, MOST_OWNERS, MOST_REPOSITORIES, TOKEN
@@ -151,3 +152,33 @@ SQL["op4_minhash_near_dedup"] = r"""
         WHERE r.low < o.low GROUP BY l.u)
     SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, low AS component_id, low = doc_id AS kept
     FROM shingled JOIN reached USING (doc_id)"""
+
+
+SQL["op6_lm_scoring"] = rf"""
+    WITH listed AS (
+        SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS wanted,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+        FROM documents),
+    spoken AS (SELECT doc_id, wanted, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM listed),
+    totals AS (SELECT count(*) AS n, count(*) FILTER (wanted) AS t FROM spoken),
+    texts AS (SELECT count(*) AS n, count(*) FILTER (wanted) AS t FROM listed WHERE len(words) > 0),
+    vocabulary AS (SELECT word FROM spoken GROUP BY word HAVING count(*) * {VOCABULARY} >= (SELECT n FROM totals)),
+    size AS (SELECT count(*) + 1 AS v FROM vocabulary),
+    tokens AS (
+        SELECT doc_id, wanted, i, coalesce(v.word, '<other words>') AS word,
+            lag(coalesce(v.word, '<other words>'), 1, '<begin of text>') OVER (PARTITION BY doc_id ORDER BY i) AS before
+        FROM spoken s LEFT JOIN vocabulary v ON s.word = v.word),
+    unigrams AS (SELECT word, count(*) AS n, count(*) FILTER (wanted) AS t FROM tokens GROUP BY word),
+    contexts AS (SELECT word AS before, n, t FROM unigrams UNION ALL SELECT '<begin of text>', n, t FROM texts),
+    bigrams AS (
+        SELECT before, word, count(*) AS n, count(*) FILTER (wanted) AS t FROM tokens GROUP BY before, word
+        HAVING count(*) * {BIGRAMS} >= (SELECT n FROM totals)),
+    losses AS (
+        SELECT doc_id,
+            -ln({BIGRAM} * CASE WHEN c.t > 0 THEN coalesce(b.t, 0) / c.t ELSE 0 END
+                + {UNIGRAM} * (u.t / greatest((SELECT t FROM totals), 1)) + {UNIFORM} / (SELECT v FROM size)) AS target,
+            -ln({BIGRAM} * coalesce(b.n, 0) / c.n + {UNIGRAM} * (u.n / (SELECT n FROM totals)) + {UNIFORM} / (SELECT v FROM size)) AS background
+        FROM tokens JOIN unigrams u USING (word) JOIN contexts c USING (before) LEFT JOIN bigrams b USING (before, word))
+    SELECT doc_id, len(any_value(words)) AS n_tokens, round(coalesce(avg(target), 0), 6) AS target_loss,
+        round(coalesce(avg(background), 0), 6) AS background_loss, round(coalesce(avg(target - background), 0), 6) AS score
+    FROM listed LEFT JOIN losses USING (doc_id) GROUP BY doc_id"""
