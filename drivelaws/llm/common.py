@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 CHUNK_BYTES = 2 << 20
 SALTS = 64
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,7 +36,12 @@ def settle(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: made once, not lost with an executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the shuffle files of the write are of no use after it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

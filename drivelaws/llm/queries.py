@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html, lm, minhash, mixing, packing, quality, secrets, topk
+from . import classifier, html, lm, minhash, mixing, packing, quality, secrets, suffix, topk
 from .common import table
 from .sql import SQL
 
@@ -86,3 +86,9 @@ def op6_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     target = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
     scored = lm.score(table(spark, sf, "documents"), target)
     return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    left = suffix.remove_repeats(table(spark, sf, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

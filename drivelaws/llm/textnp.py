@@ -20,7 +20,7 @@ BASE_INVERSE = pow(BASE, -1, 2 ** 64)
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts, and where each begins (one more: the end). Null is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column if pa.types.is_large_binary(column.type) else pc.fill_null(column.cast(pa.large_string()), "")
     starts = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8)[starts[0]:starts[-1]] if data is not None else np.zeros(0, np.uint8)
