@@ -162,10 +162,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     probability 3e-7; nothing else is lost. Null and empty texts have no shingles and no links. Null
     keys count as the last of their component; repeated rows share its id.
     """
+    out = grouped(docs, key, text, similar, crowded)
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR, crowded: int = CROWDED) -> DataFrame:
+    """The rows of ``docs``, one per group of near-duplicates: the one with the smallest key.
+
+    Texts without words are in no group and all stay.
+    """
+    rows = grouped(docs, key, text, similar, crowded)
+    one = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "t1", "t2")).alias("one")
+    chosen = rows.filter("group is not null").groupBy("group").agg(one).select("one.id", "one.t1", "one.t2").withColumn("alone", F.lit(True))
+    chosen = settle(chosen.unionByName(
+        rows.filter("group is null").select("id", "t1", "t2").distinct().withColumn("alone", F.lit(False))))
+    t1, t2 = text_key(F.col(f"`{text}`"))
+    named = {"id": "__id", "t1": "__t1", "t2": "__t2", "alone": "__alone"}
+    keyed = docs.withColumns({"__id": F.col(f"`{key}`").cast("long"), "__t1": t1, "__t2": t2})
+    chosen = chosen.withColumnsRenamed(named)
+    small = size_of(docs.sparkSession, chosen) <= BROADCAST_BYTES
+    left = null_safe_join(keyed, F.broadcast(chosen) if small else chosen, ["__id", "__t1", "__t2"])
+    # only rows that repeat both key and text still stand for one document
+    repeats = rows.filter("group is not null").groupBy("id", "t1", "t2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    repeats = settle(repeats.select("id", "t1", "t2", F.lit(True).alias("again")).withColumnsRenamed(named))
+    small = size_of(docs.sparkSession, repeats) <= BROADCAST_BYTES
+    marked = null_safe_join(left, F.broadcast(repeats) if small else repeats, ["__id", "__t1", "__t2"], "left")
+    again = F.col("again").isNotNull() & F.col("__alone")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = marked.filter(again).dropDuplicates(["__id", "__t1", "__t2"])
+    return marked.filter(~again).select(*columns).unionByName(once.select(*columns))
+
+
+def grouped(docs: DataFrame, key: str, text: str, similar: int, crowded: int) -> DataFrame:
+    """``(id, t1, t2, n, group, component_id)`` per row; texts without words have no group."""
     rows = _signed(docs, key, text)
-    grouped = rows.filter("n > 0").groupBy("w1", "w2").agg(
+    by_sequence = rows.filter("n > 0").groupBy("w1", "w2").agg(
         F.min("id").alias("first_id"), F.min(F.struct(F.col("id").isNull().alias("late"), "id", "t1", "t2", "n", "bands")).alias("one"))
-    nodes = settle(grouped.select(
+    nodes = settle(by_sequence.select(
         F.monotonically_increasing_id().alias("node"), "w1", "w2", "first_id", "one.id", "one.t1", "one.t2", "one.n", "one.bands"))
     banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
 
@@ -188,10 +221,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     found = components(links)
     labelled = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     firsts = labelled.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    by_words = settle(labelled.join(firsts, "group").select("w1", "w2", "component_id"))
-    out = rows.drop("bands", "t1", "t2").join(by_words, ["w1", "w2"], "left")
+    by_words = settle(labelled.join(firsts, "group").select("w1", "w2", "group", "component_id"))
+    out = rows.drop("bands").join(by_words, ["w1", "w2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    return out.select("id", "t1", "t2", "n", F.when(F.col("n") > 0, F.col("group")).alias("group"), own.alias("component_id"))
 
 
 def _unconnected(nodes: DataFrame, found: DataFrame, crowded: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_of
+from .common import BROADCAST_BYTES, null_safe_join, settle, size_of, text_key, text_of
 
 # The patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -56,16 +56,20 @@ def _ranked(found: Column, rank: int) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
 
 
+def base_spans(t: Column) -> Column:
+    """Sorted (start, rank, end) of the base kinds."""
+    assign = F.filter(spans(t, ASSIGN, 2), lambda s: F.length(s["value"]) >= LEAST_VALUE)
+    found = {"assign": assign, "access": spans(t, ACCESS, 1), "hex": spans(t, HEX, 1)}
+    return F.array_sort(F.concat(*(_ranked(found[kind], rank) for rank, kind in enumerate(BASE_KINDS))))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with arrays ``__base`` of (start, end, kind) and ``__candidates`` of (start, end, hash)."""
     t = text_of(F.col(f"`{text}`"))
-    assign = F.filter(spans(t, ASSIGN, 2), lambda s: F.length(s["value"]) >= LEAST_VALUE)
-    found = {"assign": assign, "access": spans(t, ACCESS, 1), "hex": spans(t, HEX, 1)}
-    base = F.concat(*(_ranked(found[kind], rank) for rank, kind in enumerate(BASE_KINDS)))
     tokens = F.filter(spans(t, TOKEN, 1), lambda s: _mixed(s["value"]))
     candidates = F.transform(tokens, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
-    return docs.withColumns({"__base": F.array_sort(base), "__candidates": candidates})
+    return docs.withColumns({"__base": base_spans(t), "__candidates": candidates})
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -123,3 +127,27 @@ def masked(text: Column, found: Column, mask: str = "<secret>") -> Column:
         F.greatest(done["upto"], s["end"]).alias("upto")),
         lambda done: F.concat(done["out"], cut(done["upto"], F.length(text).cast("long"))))
     return F.when(F.size(found) > 0, folded).otherwise(text)
+
+
+def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", mask: str = "<secret>") -> DataFrame:
+    """The rows of ``docs`` with base spans and live candidates masked in their text; null texts stay null.
+
+    Which candidates are live is decided over the whole table and brought back by text.
+    """
+    t1, t2 = text_key(F.col(f"`{text}`"))
+    read = scan(docs.select(
+        F.col(f"`{text}`").alias("__text"), t1.alias("__t1"), t2.alias("__t2"), F.col(f"`{owner}`").cast("string").alias("owner"),
+        F.col(f"`{repository}`").cast("string").alias("repository")), "__text")
+    each = settle(read.filter(F.size("__candidates") > 0).select("__t1", "__t2", "owner", "repository", F.inline("__candidates")))
+    live = ownership(each).filter((F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES))
+    added = settle(each.join(live.select("hash"), "hash", "left_semi").groupBy("__t1", "__t2").agg(
+        F.collect_set(F.struct("start", F.lit(len(BASE_KINDS)).alias("rank"), "end")).alias("__live")))
+    small = size_of(docs.sparkSession, added.select("__t1", F.explode("__live"))) <= BROADCAST_BYTES
+    based = docs.withColumns({"__t1": t1, "__t2": t2})
+    told = null_safe_join(based, F.broadcast(added) if small else added, ["__t1", "__t2"], "left")
+    t = text_of(F.col(f"`{text}`"))
+    found = base_spans(t)
+    every = F.concat(found, F.coalesce(F.col("__live"), F.slice(found, 1, 0)))
+    told = told.withColumn("__every", every)
+    return told.select(*(
+        F.when(F.col(f"`{c}`").isNotNull(), masked(t, F.col("__every"), mask)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
