@@ -75,12 +75,12 @@ def study_attach_matrix(spark, sf):
 
 ERRORS = f"""
 SELECT study, concat_ws('|',
-  CASE WHEN dimension = 'H4D' THEN 'Invalid dimension ''H4D''' END,
-  CASE WHEN "Vin_list" IS NULL THEN 'VIN list cannot be empty' END,
-  CASE WHEN "Energy_category" IS NULL THEN 'Required field ''Energy_category'' is missing' END,
-  CASE WHEN "Segment" IS NULL THEN 'Required field ''Segment'' is missing' END,
-  CASE WHEN "region_country" IS NULL THEN 'Required field ''region_country'' is missing' END,
-  CASE WHEN "Vin_list" IS NULL THEN 'Required field ''Vin_list'' is missing' END) AS errors FROM ({BODY})"""
+  CASE WHEN dimension = 'H4D' THEN 'E3 unknown dimension: H4D' END,
+  CASE WHEN "Vin_list" IS NULL THEN 'E2 no vehicle listed' END,
+  CASE WHEN "Energy_category" IS NULL THEN 'E4 no value for: Energy_category' END,
+  CASE WHEN "Segment" IS NULL THEN 'E4 no value for: Segment' END,
+  CASE WHEN "region_country" IS NULL THEN 'E4 no value for: region_country' END,
+  CASE WHEN "Vin_list" IS NULL THEN 'E4 no value for: Vin_list' END) AS errors FROM ({BODY})"""
 
 
 @query("study_validate", ERRORS)

@@ -63,15 +63,29 @@ def list_text(items: Column) -> Column:
     return F.concat_ws(",", items.cast("array<string>"))
 
 
+# A number as text: digits with an exponent if any, or one of the words for NaN and infinity. A cast alone
+# would also take a type suffix, as in "12f".
+NUMBER = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:nan|inf|infinity))\s*$"
+NUMERIC_KINDS = ("double", "float", "int", "integer", "bigint", "long", "smallint", "tinyint")
+
+
+def as_number(text: Column) -> Column:
+    """Double that a text reads as, or null."""
+    return F.when(text.cast("string").rlike(NUMBER), text.try_cast("double"))
+
+
 def safe_cast(value: Column, kind: str) -> Column:
     """Typed value, or null where the text does not read as one."""
-    return value.try_cast(kind)
+    if kind.lower() not in NUMERIC_KINDS:
+        return value.try_cast(kind)
+    text = value.cast("string")
+    return F.when(text.rlike(NUMBER) | text.isin("true", "false"), value.try_cast(kind))
 
 
 def stats_json(low: Column, high: Column, mean: Column) -> Column:
     """``[min,max,mean]`` as JSON text; ``[]`` if any value present is not a number."""
     cols = (low, high, mean)
-    numbers = [c.try_cast("double") for c in cols]
+    numbers = [as_number(c) for c in cols]
     broken = None
     for raw, number in zip(cols, numbers):
         bad = raw.isNotNull() & number.isNull()

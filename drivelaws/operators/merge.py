@@ -27,7 +27,8 @@ def merge_columns(old: DataFrame, new: DataFrame, keys: Sequence[str], prefer: s
 
     A column both have comes wholly from the preferred side, nulls and one-sided rows included;
     ``fill_nulls`` takes the other side's value there instead. ``how='left'`` keeps only the
-    preferred side's rows. Keys identify rows: duplicates on both sides multiply.
+    preferred side's rows. Keys identify rows: duplicates on both sides multiply. One scan and one
+    shuffle per side.
     """
     if prefer not in ("new", "old"):
         raise ValueError(f"prefer must be 'new' or 'old', not {prefer!r}")
@@ -41,11 +42,7 @@ def merge_columns(old: DataFrame, new: DataFrame, keys: Sequence[str], prefer: s
     if how == "left":
         joined = first.join(second, list(keys), "left")
     else:
-        # a full join cannot be split at a hot key; these two can, on the stored side and the new one
-        stored, added = (second, first) if prefer == "new" else (first, second)
-        known = old.select(*quoted(keys)).distinct()
-        joined = stored.join(added, list(keys), "left").unionByName(
-            added.join(known, list(keys), "left_anti"), allowMissingColumns=True)
+        joined = first.join(second, list(keys), "full")
     return joined.select(*(
         F.coalesce(quoted([c])[0], quoted([f"__other_{c}"])[0]).alias(c) if fill_nulls and c in shared
         else F.col(quoted([c])[0])

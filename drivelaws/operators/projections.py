@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Stored names of the fitted and empirical customers.
@@ -62,10 +62,13 @@ def not_in(df: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def first_model_row(models: DataFrame, criteria: str | None = None) -> DataFrame:
-    """One row per criterion: the best one where marked, else the lowest class count."""
+    """One row per criterion: the best one where marked, else the lowest class count; ties go to the smallest row."""
     if criteria is not None:
         models = models.filter(F.col("criteria") == criteria)
-    order = [F.col("is_best").desc()] if "is_best" in models.columns else []
-    order.append(F.col("class_index").asc_nulls_first())
-    ranked = models.withColumn("__rank", F.row_number().over(Window.partitionBy("criteria").orderBy(*order)))
-    return ranked.filter("__rank = 1").drop("__rank")
+    best = (~F.coalesce("is_best", F.lit(False))) if "is_best" in models.columns else F.lit(False)
+    # maps have no order; as text they do
+    plain = [F.to_json(q) if f.dataType.typeName() == "map" else F.col(q) for q, f in zip(quoted(models.columns), models.schema)]
+    order = F.struct(best, F.col("class_index"), *(c.alias(f"c{i}") for i, c in enumerate(plain)))
+    row = F.struct(*quoted(models.columns))
+    picked = models.groupBy("criteria").agg(F.min_by(row, order).alias("__row"))
+    return picked.select(*(F.col("__row").getField(c).alias(c) for c in models.columns))

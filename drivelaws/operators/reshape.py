@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import as_number
 from .projections import quoted
 
 NONE = "none"
@@ -66,8 +67,47 @@ def _text(df: DataFrame, name: str) -> Column:
     return F.to_json(column) if isinstance(kind, (T.MapType, T.StructType)) else column.cast("string")
 
 
+# Levels of an object that are read even where the text is no strict JSON.
+LENIENT_LEVELS = 5
+
+
+def _entries(text: Column) -> Column:
+    """Entries of an object's text, of a repeated key the last; bare NaN and Infinity are allowed. Null if it is none."""
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowNonNumericNumbers": "true"})
+    entries = F.map_entries(F.when(F.size(listed) == 1, listed[0]))
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+
+
+def _quoted_text(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _strict(text: Column, levels: int = LENIENT_LEVELS) -> Column:
+    """An object's text as strict JSON; null if it can't be read."""
+    def value(v: Column) -> Column:
+        plain = v.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$") | v.isin("true", "false")
+        leaf = F.when(v.isNull(), F.lit("null")).when(plain, v).otherwise(_quoted_text(v))
+        return F.when(v.startswith("{"), F.coalesce(_strict(v, levels - 1), _quoted_text(v))).otherwise(leaf) if levels else leaf
+
+    pairs = F.transform(_entries(text), lambda e: F.concat(_quoted_text(e["key"]), F.lit(":"), value(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
 def _listed(cell: Column) -> Column:
-    return F.try_parse_json(F.concat(F.lit("["), cell, F.lit("]")))
+    """The cell as a list of one parsed value. Text with a brace in front that is no strict JSON, for a
+    NaN or a repeated key, is read level by level instead."""
+    strict = F.try_parse_json(F.concat(F.lit("["), cell, F.lit("]")))
+    lenient = F.try_parse_json(F.concat(F.lit("["), _strict(cell), F.lit("]")))
+    return F.when(strict.isNotNull(), strict).when(cell.rlike(r"^\s*\{"), lenient)
+
+
+def unreadable(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows of ``(column, cell, rows)``: texts with a brace in front that can't be read as an object, and how often."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), _text(df, c).alias("cell")) for c in cols))
+    long = df.select(F.inline(cells)).filter(F.col("cell").rlike(r"^\s*\{"))
+    return long.filter(_only(_listed(F.col("cell"))).isNull()).groupBy("column", "cell").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _only(listed: Column) -> Column:
@@ -82,7 +122,7 @@ def _is_map(cell: Column, parsed: Column) -> Column:
 
 def _number(leaf: Column) -> Column:
     """Number of a leaf's JSON text, in quotes or not; null for anything else."""
-    return F.coalesce(F.btrim(leaf, F.lit('"')).try_cast("double"),
+    return F.coalesce(as_number(F.btrim(leaf, F.lit('"'))),
                       F.when(leaf == "true", F.lit(1.0)).when(leaf == "false", F.lit(0.0)))
 
 
@@ -142,7 +182,7 @@ def explode_drivers(df: DataFrame, base: Sequence[str], cols: Sequence[str]) ->
         *quoted(base), "criteria",
         F.when(scalar, "H0D").when(flat, "H1D").otherwise("H2D").alias("dimension"),
         F.coalesce("keyA", none).alias("classA"), F.coalesce("keyB", none).alias("classB"), none.alias("classC"),
-        F.when(scalar, F.col("cell").try_cast("double")).when(flat, _number(F.col("leafA")))
+        F.when(scalar, as_number(F.col("cell"))).when(flat, _number(F.col("leafA")))
         .otherwise(_number(F.col("leafB"))).alias("correspondant_value"),
     )
 
@@ -198,11 +238,16 @@ def wrap_matrix(long: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Long rows back to one JSON text per (Study_ref, Criteria_label): the inverse of
     ``explode_matrix``. ``bounds`` gives axes and bins per study and label; H0D rows have no matrix.
 
-    A matrix is one document, so its size is that of its classes, not of the data behind them.
+    A matrix is one document, so its size is that of its classes, not of the data behind them. A null
+    class is ``none``; a cell given twice is an error.
     """
     keys = ["Study_ref", "Criteria_label"]
-    cells = long.filter(class_dimension(F.col("ClassA"), F.col("ClassB"), F.col("ClassC")) != "H0D")
-    nested = cells.groupBy(*keys, "ClassA", "ClassB", "ClassC").agg(F.max("Correspondant_value").alias("inner"))
+    classes = ("ClassA", "ClassB", "ClassC")
+    cells = long.filter(class_dimension(*(F.col(c) for c in classes)) != "H0D").withColumns(
+        {c: F.coalesce(F.col(c), F.lit(NONE)) for c in classes})
+    twice = F.raise_error(F.concat_ws("/", F.lit("a cell is given more than once:"), *keys, *classes))
+    nested = cells.groupBy(*keys, *classes).agg(F.count(F.lit(1)).alias("times"), F.max("Correspondant_value").alias("inner"))
+    nested = nested.withColumn("inner", F.when(F.col("times") > 1, twice.cast("double")).otherwise(F.col("inner"))).drop("times")
     for name in ("ClassC", "ClassB", "ClassA"):
         above = {"ClassC": ["ClassA", "ClassB"], "ClassB": ["ClassA"], "ClassA": []}[name]
         entries = F.array_sort(F.collect_list(F.struct(F.col(name).alias("k"), F.col("inner").alias("v"))),
@@ -223,4 +268,4 @@ def wrap_matrix(long: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
 def parse_bins(spec: Column) -> Column:
     """``min=..;max=..;step=..`` as a struct of doubles."""
     parts = F.str_to_map(spec, F.lit(";"), F.lit("="))
-    return F.struct(*(F.try_element_at(parts, F.lit(n)).try_cast("double").alias(n) for n in ("min", "max", "step")))
+    return F.struct(*(as_number(F.try_element_at(parts, F.lit(n))).alias(n) for n in ("min", "max", "step")))

@@ -25,9 +25,9 @@ def row_width(schema: T.StructType) -> int:
 
 
 def data_size(df: DataFrame, measure: bool = True) -> DataFrame:
-    """One row ``(rows, bytes)``: length of the rows as text, or rows times the assumed width."""
+    """One row ``(rows, bytes)``: UTF-8 bytes of the rows as text, nulls included, or rows times the assumed width."""
     if measure:
-        text = F.length(F.to_json(F.struct(*quoted(df.columns))))
+        text = F.octet_length(F.to_json(F.struct(*quoted(df.columns)), {"ignoreNullFields": "false"}))
         return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes"))
     rows = df.agg(F.count(F.lit(1)).alias("rows"))
     return rows.withColumn("bytes", F.col("rows") * F.lit(row_width(df.schema)))

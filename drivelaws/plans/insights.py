@@ -12,7 +12,7 @@ from ..operators.kpis import dimension_counts, distinct_on
 from ..operators.merge import (
     DRIVER_KEYS, LEVEL_KEYS, TRIP_KEYS, merge_level, merge_timeseries, ranked_union, stamp_insights, stamp_study,
 )
-from ..operators.projections import cast_by_name
+from ..operators.projections import cast_by_name, keys_first
 from ..operators.reshape import explode_matrix
 from ..operators.scale import settle
 from ..sources.read import read_slice
@@ -21,6 +21,11 @@ from ..sources.store import Store
 TABLES = {"TRIP_ID": "trip_insights", "DRIVER_ID": "driver_insights", "PFM": "study_insights", "NDIM": "study_matrix_values"}
 PARTITIONS = {"TRIP_ID": ["year", "month"], "DRIVER_ID": ["year", "month"], "PFM": [], "NDIM": []}
 
+PARTITIONS_BY_LEVEL = {"Trip_id": ["DRIVER_ID"], "VIn": ["month"], "insight_pfm": ["zone"]}
+# What makes a study record itself, where given: one title can be studied over several populations and periods.
+IDENTITY = ["Study_title", "Criteria_label", "Energy_category", "Segment", "region_country", "Data_source",
+            "Period_date_start", "Period_date_end"]
+# Key columns of the stored tables of a run.
 DATA_KEYS = ["Loan_Conducteur_ID", "VIN", "tcid_runid", "ID", "TIMESTAMP", "TEMPS"]
 META_KEYS = ["Loan_Conducteur_ID", "VIN", "tcid_runid", "ID", "signal"]
 INFO_KEYS = ["Loan_Conducteur_ID", "VIN", "tcid_runid", "Channels_name"]
@@ -39,7 +44,10 @@ class Published:
 def _store(store: Store, rows: DataFrame, table: str, keys: list[str], overwrite: bool, partition_by: list[str]) -> None:
     if not store.exists(table):
         store.create(rows, table, [c for c in partition_by if c in rows.columns])
-    elif overwrite and all(k in rows.columns for k in keys):
+    elif overwrite:
+        missing = [k for k in keys if k not in rows.columns]
+        if missing:
+            raise ValueError(f"rows that replace others need their keys; missing: {missing}")
         store.replace_slice(rows, table, keys)
     else:
         store.append(rows, table)
@@ -61,16 +69,29 @@ def store_insights(new: DataFrame, level: str, store: Store, study_title: str |
     if name != "PFM":
         raise ValueError(f"invalid level {level!r}, expected TRIP_ID, DRIVER_ID or PFM")
     title = F.coalesce("Study_title", F.lit("Untitled"))
-    referenced = settle(new.withColumn("Study_ref", study_ref(title, F.concat_ws("|", title, "Criteria_label"))))
+    known = [c for c in IDENTITY if c in new.columns]
+    identity = F.sha2(F.to_json(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in known))), 256)
+    # the short reference is for people and may collide; a study is known by the digest of what makes it itself
+    referenced = new.withColumn("study_key", identity)
+    referenced = settle(referenced.withColumn("Study_ref", study_ref(title, F.col("study_key"))))
+    again = referenced.groupBy("study_key").count().filter("count > 1").limit(1)
+    if not again.isEmpty():
+        raise ValueError("two records of one call are the same study; publish them one after the other")
     main = settle(stamp_study(referenced.drop("dfmatrix")))
-    _store(store, main, table or TABLES["PFM"], ["Study_ref"], overwrite, PARTITIONS["PFM"])
+    _store(store, main, table or TABLES["PFM"], ["study_key"], overwrite, PARTITIONS["PFM"])
     if "dfmatrix" not in new.columns:
         return Published(main)
-    matrix = settle(explode_matrix(referenced, "dfmatrix", "Study_ref", "Criteria_label"))
-    if matrix.isEmpty():
+    cells = explode_matrix(referenced, "dfmatrix", "study_key", "Criteria_label").withColumnRenamed("Study_ref", "study_key")
+    refs = main.select("study_key", "Study_ref")
+    matrix = settle(stamp_study(keys_first(cells.join(refs, "study_key"), ["Study_ref", "Criteria_label"])))
+    target = matrix_table or TABLES["NDIM"]
+    if overwrite and store.exists(target):
+        # by the studies published: one whose matrix is empty now keeps none of its old rows
+        store.replace_slice(matrix, target, ["study_key"], taken=main.select("study_key"))
+    elif not matrix.isEmpty():
+        _store(store, matrix, target, ["study_key"], False, PARTITIONS["NDIM"])
+    else:
         return Published(main)
-    matrix = settle(stamp_study(matrix))
-    _store(store, matrix, matrix_table or TABLES["NDIM"], ["Study_ref"], overwrite, PARTITIONS["NDIM"])
     return Published(main, matrix, dimension_counts(matrix))
 
 
@@ -79,9 +100,9 @@ def store_level(new: DataFrame, level: str, table: str, store: Store, overwrite:
     if level not in LEVEL_KEYS:
         raise ValueError(f"unknown storage level {level!r}, expected one of {sorted(LEVEL_KEYS)}")
     if store.exists(table):
-        store.overwrite(merge_level(store.read(table), new, level, overwrite), table)
+        store.merge_slice(new, table, LEVEL_KEYS[level], lambda old, rows: merge_level(old, rows, level, overwrite))
     else:
-        store.create(new, table)
+        store.create(new, table, [c for c in PARTITIONS_BY_LEVEL[level] if c in new.columns])
 
 
 def store_run(store: Store, driver: str, run: str, tables: dict[str, str], data: DataFrame | None = None,

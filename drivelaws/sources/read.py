@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..operators.projections import add_constants, keys_first, slice_eq
 
+# One encoding for text files written and read.
+ENCODING, LATIN = "UTF-8", "ISO-8859-1"
 REGISTRY_SCHEMA = T.StructType([T.StructField("Signal", T.StringType()), T.StructField("Frequence", T.StringType())])
 
 
@@ -59,9 +61,9 @@ def records(spark: SparkSession, rows: Sequence[dict | tuple], schema: T.StructT
     return spark.createDataFrame(list(rows), schema)
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The ``;``-separated Latin-1 signal-frequency registry."""
-    return spark.read.csv(path, sep=";", encoding="ISO-8859-1", header=True, schema=REGISTRY_SCHEMA)
+def read_registry(spark: SparkSession, path: str, encoding: str = ENCODING) -> DataFrame:
+    """The ``;``-separated signal-frequency registry; files from before may need ``LATIN``."""
+    return spark.read.csv(path, sep=";", encoding=encoding, header=True, schema=REGISTRY_SCHEMA)
 
 
 def registry_append(registry: DataFrame | None, new: DataFrame) -> DataFrame:

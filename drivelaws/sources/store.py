@@ -6,14 +6,18 @@ merged rows are first cut from their lineage, then overwrite those partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import anti_replace
 from ..operators.projections import quoted
 from ..operators.scale import null_safe, settle
+from .read import ENCODING
+
+
+# Touched partitions up to this many become literal filters; beyond, a join finds their rows.
+MOST_LITERALS = 2000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -21,8 +25,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return settle(df)
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
-    df.write.mode("overwrite").csv(path, sep=sep, header=True, encoding="UTF-8")
+def write_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = ENCODING) -> None:
+    df.write.mode("overwrite").csv(path, sep=sep, header=True, encoding=encoding)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -84,25 +88,75 @@ class Store:
             return
         self._insert_over(cut_lineage(self._aligned(df, table)), table, "static")
 
-    def replace_slice(self, df: DataFrame, table: str, keys: Sequence[str]) -> None:
-        """Replace the rows whose key is in ``df``, rewriting only the partitions concerned."""
+    def replace_slice(self, df: DataFrame, table: str, keys: Sequence[str], taken: DataFrame | None = None) -> None:
+        """Replace the rows whose key is in ``df``, or in ``taken`` where given, rewriting only the partitions concerned."""
         new = cut_lineage(self._aligned(df, table))
+        gone = cut_lineage((new if taken is None else taken).select(*quoted(keys)).distinct())
+
+        def replaced(old: DataFrame) -> DataFrame:
+            return old.join(gone, list(keys), "left_anti").unionByName(new)
+
+        self._rewrite(table, keys, gone, new, replaced)
+
+    def merge_slice(self, df: DataFrame, table: str, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Merge ``df`` into the stored rows of its partitions; a key must not move between partitions.
+
+        ``merge(old, new)`` gives the rows that replace those partitions, new columns included.
+        """
+        new = cut_lineage(df)
+        parts = self.partition_columns(table)
+        if not all(p in new.columns for p in parts):
+            raise ValueError(f"rows to merge need the partition columns {parts}")
+        stored = self.read(table)
+        self._aligned(new.limit(0), table)  # columns the table lacks
+
+        def merged(old: DataFrame) -> DataFrame:
+            return merge(old.select(*quoted(stored.columns)), new)
+
+        self._rewrite(table, keys, cut_lineage(new.select(*quoted(keys)).distinct()), new, merged)
+
+    def affected(self, table: str, keys: Sequence[str], gone: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Stored rows of the partitions that hold a key of ``gone`` or take rows of ``new``, and those partitions.
+
+        The partitions become literal filters, so no other folder is opened. Where the keys name them,
+        none is opened even to find them.
+        """
+        parts, old = self.partition_columns(table), self.read(table)
+        touched = new.select(*quoted(parts))
+        if set(parts) <= set(keys):
+            touched = touched.unionByName(gone.select(*quoted(parts)))
+        else:
+            touched = touched.unionByName(old.join(gone, list(keys), "left_semi").select(*quoted(parts)))
+        touched = settle(touched.distinct())
+        known = touched.limit(MOST_LITERALS + 1).collect()
+        if len(known) > MOST_LITERALS:
+            return null_safe(old, touched, parts, "left_semi"), touched
+        return old.filter(_any_of(parts, known)), touched
+
+    def _rewrite(self, table: str, keys: Sequence[str], gone: DataFrame, new: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
         parts = self.partition_columns(table)
-        old = self.read(table)
         if not parts:
-            self._insert_over(cut_lineage(anti_replace(old, new, keys)), table, "static")
+            self._insert_over(cut_lineage(self._aligned(change(self.read(table)), table)), table, "static")
             return
-        taken = new.select(*quoted(keys)).distinct()
-        touched = settle(
-            old.join(taken, list(keys), "left_semi").select(*quoted(parts))
-            .unionByName(new.select(*quoted(parts))).distinct())
-        rows = cut_lineage(anti_replace(null_safe(old, touched, parts, "left_semi"), new, keys))
+        old, touched = self.affected(table, keys, gone, new)
+        rows = cut_lineage(self._aligned(change(old), table))
         self._insert_over(rows, table, "dynamic")
         # partitions left without rows are not overwritten; there are at most as many as touched
         emptied = null_safe(touched, rows.select(*quoted(parts)).distinct(), parts, "left_anti")
-        for row in emptied.toLocalIterator():
-            spec = ", ".join(f"{q} = {_literal(row[p])}" for p, q in zip(parts, quoted(parts)))
-            self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+        specs = [", ".join(f"{q} = {_literal(row[p])}" for p, q in zip(parts, quoted(parts))) for row in emptied.toLocalIterator()]
+        if specs:
+            self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS " + ", ".join(f"PARTITION ({s})" for s in specs))
+
+
+def _any_of(parts: Sequence[str], rows: Sequence) -> Column:
+    """The partitions of the rows as one predicate on partition columns; false if there are none."""
+    found = F.lit(False)
+    for row in rows:
+        each = F.lit(True)
+        for p, q in zip(parts, quoted(parts)):
+            each = each & (F.col(q).isNull() if row[p] is None else F.col(q) == F.lit(row[p]))
+        found = found | each
+    return found
 
 
 def _literal(value) -> str:

@@ -161,7 +161,7 @@ def test_study_validation_lists_each_missing_field(spark):
     assert errors[0] == [] and all(errors[i] for i in range(1, len(cases)))
     for i, c in enumerate(cases[1:-2], 1):
         field = next(f for f in good if c[f] != good[f])
-        assert f"Required field '{field}' is missing" in errors[i]
+        assert f"E4 no value for: {field}" in errors[i]
     valid, rejected = Y.build(df)
     assert valid.count() == 1 and rejected.count() == len(cases) - 1
     with pytest.raises(ValueError):
