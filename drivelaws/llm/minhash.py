@@ -23,7 +23,10 @@ SIMILAR = 75  # percent
 ROWS, BANDS = 4, 40
 PLACES = ROWS * BANDS
 # Buckets with more texts than this, not yet in one component, are split by further bands.
-CROWDED = 200
+CROWDED = 2000
+# Pairs are confirmed on full sets unless their signatures share so few places that a similar pair
+# does so once in three million: five deviations below what is expected.
+LEAST_SHARED = int(PLACES * SIMILAR / 100 - 5 * (PLACES * SIMILAR / 100 * (1 - SIMILAR / 100)) ** 0.5)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _EMPTY = np.iinfo(np.uint64).max
@@ -84,14 +87,23 @@ def signatures(elements: np.ndarray, of: np.ndarray, n: int, places: int = PLACE
     return signature.reshape(n, places)
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """One hash per band; bands never share keys."""
-    n = len(signature)
-    parts = signature.reshape(n, -1, ROWS)
-    keys = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
+def marks_of(signature: np.ndarray) -> np.ndarray:
+    """Sixteen bits of each place: enough for bands of four and to count the places that two sets share."""
+    return (mix(signature.copy()) >> np.uint64(48)).astype("<u2")
+
+
+def band_keys(marks: np.ndarray) -> np.ndarray:
+    """One hash per band, by set; bands never share keys."""
+    parts = marks.reshape(len(marks), -1, ROWS).astype(np.uint64)
+    keys = np.zeros(parts.shape[:2], np.uint64)
     for i in range(ROWS):
-        keys = keys * np.uint64(BASE) + parts[:, :, i]
-    return mix(keys)
+        keys = (keys << np.uint64(16)) | parts[:, :, i]
+    return mix(mix(keys) + np.arange(parts.shape[1], dtype=np.uint64) * np.uint64(BASE))
+
+
+def _marks(column: pa.Array) -> np.ndarray:
+    size = 2 * PLACES
+    return np.frombuffer(b"".join(x.as_py() for x in column), "<u2").reshape(-1, size // 2)
 
 
 def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -100,15 +112,14 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
             n = batch.num_rows
             found, of, one, two = shingle_sets(batch.column("text"))
             sizes = np.bincount(of, minlength=n)
-            keys = band_keys(signatures(found, of, n)).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+            marks = [m.tobytes() for m in marks_of(signatures(found, of, n))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("t1"), batch.column("t2"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                 pa.array(sizes), lists], ["id", "t1", "t2", "w1", "w2", "n", "bands"])
+                 pa.array(sizes), pa.array(marks, pa.binary())], ["id", "t1", "t2", "w1", "w2", "n", "marks"])
 
     t1, t2 = text_key(F.col(f"`{text}`"))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), t1.alias("t1"), t2.alias("t2"), text_of(F.col(f"`{text}`")).alias("text"))
-    return settle(rows.mapInArrow(run, "id long, t1 long, t2 long, w1 long, w2 long, n long, bands array<long>"))
+    return settle(rows.mapInArrow(run, "id long, t1 long, t2 long, w1 long, w2 long, n long, marks binary"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
@@ -197,10 +208,10 @@ def grouped(docs: DataFrame, key: str, text: str, similar: int, crowded: int) ->
     """``(id, t1, t2, n, group, component_id)`` per row; texts without words have no group."""
     rows = _signed(docs, key, text)
     by_sequence = rows.filter("n > 0").groupBy("w1", "w2").agg(
-        F.min("id").alias("first_id"), F.min(F.struct(F.col("id").isNull().alias("late"), "id", "t1", "t2", "n", "bands")).alias("one"))
+        F.min("id").alias("first_id"), F.min(F.struct(F.col("id").isNull().alias("late"), "id", "t1", "t2", "n", "marks")).alias("one"))
     nodes = settle(by_sequence.select(
-        F.monotonically_increasing_id().alias("node"), "w1", "w2", "first_id", "one.id", "one.t1", "one.t2", "one.n", "one.bands"))
-    banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+        F.monotonically_increasing_id().alias("node"), "w1", "w2", "first_id", "one.id", "one.t1", "one.t2", "one.n", "one.marks"))
+    banded = _banded(nodes.select("node", "n", "marks"))
 
     # star: every node of a bucket with the bucket's first
     heads = banded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -213,8 +224,8 @@ def grouped(docs: DataFrame, key: str, text: str, similar: int, crowded: int) ->
     links = settle(_confirmed(met.filter(_close("n", "m", similar)), sets, similar))
 
     # rest: nodes of one bucket that are not yet connected
-    rest = _unconnected(nodes.join(named, "node", "left_semi"), components(links), crowded)
-    pairs = rest.filter(_close("n", "m", similar)).select("u", "v").distinct().join(
+    rest = _unconnected(nodes.join(named, "node", "left_semi"), components(links), crowded, similar)
+    pairs = rest.distinct().join(
         met.select(F.col("v").alias("u"), F.col("u").alias("v")).unionByName(met.select("u", "v")), ["u", "v"], "left_anti")
     links = links.unionByName(settle(_confirmed(pairs, sets, similar)))
 
@@ -222,33 +233,108 @@ def grouped(docs: DataFrame, key: str, text: str, similar: int, crowded: int) ->
     labelled = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     firsts = labelled.groupBy("group").agg(F.min("first_id").alias("component_id"))
     by_words = settle(labelled.join(firsts, "group").select("w1", "w2", "group", "component_id"))
-    out = rows.drop("bands").join(by_words, ["w1", "w2"], "left")
+    out = rows.drop("marks").join(by_words, ["w1", "w2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", "t1", "t2", "n", F.when(F.col("n") > 0, F.col("group")).alias("group"), own.alias("component_id"))
 
 
-def _unconnected(nodes: DataFrame, found: DataFrame, crowded: int) -> DataFrame:
-    """``(u, v, n, m)``: pairs of one bucket in different components.
+def _banded(nodes: DataFrame) -> DataFrame:
+    """``(node, n, band, bucket)`` of ``(node, n, marks)``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(_marks(batch.column("marks")))
+                each = pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(each), batch.column("n").take(each),
+                     pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), batch.num_rows)), pa.array(keys.ravel().view(np.int64))],
+                    ["node", "n", "band", "bucket"])
+
+    return nodes.mapInArrow(run, "node long, n long, band int, bucket long")
+
 
-    A crowded bucket is split by a further band each of its nodes has after the bucket's own: pairs
-    that are similar share about a third of all bands, so they meet again in one of the parts.
+def _split(rows: DataFrame) -> DataFrame:
+    """Crowded buckets taken apart by every band after their own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                keys, band = band_keys(_marks(part.column("marks"))), part.column("band").to_numpy()
+                i, j = np.nonzero(np.arange(keys.shape[1])[None, :] > band[:, None])
+                bucket = mix(part.column("bucket").to_numpy().view(np.uint64)[i] * np.uint64(BASE) + keys[i, j])
+                take = pa.array(i)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node").take(take), part.column("n").take(take), part.column("component").take(take),
+                     pa.array(j.astype(np.int32)), pa.array(bucket.view(np.int64))], ["node", "n", "component", "band", "bucket"])
+
+    return rows.select("node", "n", "component", "band", "bucket", "marks").mapInArrow(
+        run, "node long, n long, component long, band int, bucket long")
+
+
+def _compare(table: pa.Table, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket in different components whose sizes and signatures allow the similarity."""
+    node, n, component = (table[c].to_numpy() for c in ("node", "n", "component"))
+    marks, us, vs = _marks(table["marks"].combine_chunks()), [], []
+    for first in range(0, len(node), 32):
+        rows = slice(first, first + 32)
+        open_ = (component[rows, None] != component[None, :]) & (node[rows, None] < node[None, :])
+        open_ &= 100 * np.minimum(n[rows, None], n[None, :]) >= similar * np.maximum(n[rows, None], n[None, :])
+        i, j = np.nonzero(open_)
+        for k in range(0, len(i), 100_000):
+            a, b = i[k:k + 100_000] + first, j[k:k + 100_000]
+            near = (marks[a] == marks[b]).sum(1) >= LEAST_SHARED
+            us.append(node[a[near]])
+            vs.append(node[b[near]])
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
+
+
+def _compared(rows: DataFrame, similar: int) -> DataFrame:
+    """``(u, v)`` from ``(bucket, node, n, component, marks)``, each bucket within one task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        last = None
+
+        def pairs() -> pa.RecordBatch:
+            u, v = _compare(pa.concat_tables(held), similar)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column("bucket").to_numpy()
+            cuts = [0, *np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+            for first, end in zip(cuts[:-1], cuts[1:]):
+                if held and bucket[first] != last:
+                    yield pairs()
+                    held = []
+                held.append(pa.Table.from_batches([batch.slice(first, end - first)]))
+                last = bucket[first]
+        if held:
+            yield pairs()
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "node", "n", "component", "marks").mapInArrow(
+        run, "u long, v long")
+
+
+def _unconnected(nodes: DataFrame, found: DataFrame, crowded: int, similar: int) -> DataFrame:
+    """``(u, v)``: pairs that share a bucket, are in different components and may be similar.
+
+    They are told apart by signature within the bucket's task, so none but likely ones come out. A
+    crowded bucket is split by a further band each of its nodes has after the bucket's own: pairs that
+    are similar share about a third of all bands, so they meet again in one of the parts.
     """
-    joined = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = joined.select("node", "n", "component", "bands", F.posexplode("bands").alias("band", "bucket"))
+    joined = settle(nodes.select("node", "n", "marks").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    marks = joined.select("node", "marks")
+    rows = _banded(joined.select("node", "n", "marks")).join(joined.select("node", "component"), "node")
     out = None
-    for _ in range(4):
+    for level in range(5):
         mixed = rows.groupBy("bucket").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
         rows = settle(rows.join(mixed.select("bucket", "size"), "bucket"))
-        few = rows.filter(F.col("size") <= crowded)
-        other = few.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"), F.col("component").alias("other"))
-        pairs = few.join(other, "bucket").filter((F.col("component") < F.col("other"))).select(F.col("node").alias("u"), "v", "n", "m")
+        few = rows if level == 4 else rows.filter(F.col("size") <= crowded)
+        pairs = settle(_compared(few.join(marks, "node"), similar).distinct())
         out = pairs if out is None else out.unionByName(pairs)
         many = rows.filter(F.col("size") > crowded)
-        if many.isEmpty():
+        if level == 4 or many.isEmpty():
             return out
-        rows = many.select("node", "n", "component", "bands", "band", "bucket", F.posexplode("bands").alias("next", "also")).filter(
-            F.col("next") > F.col("band")).select(
-            "node", "n", "component", "bands", F.col("next").alias("band"), F.xxhash64("bucket", "also").alias("bucket"))
-    other = rows.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"), F.col("component").alias("other"))
-    return out.unionByName(rows.join(other, "bucket").filter(F.col("component") < F.col("other")).select(F.col("node").alias("u"), "v", "n", "m"))
+        rows = _split(many.join(marks, "node"))
