@@ -196,7 +196,7 @@ def test_readers(spark, tmp_path):
 
 def test_latin1_registry(spark, tmp_path):
     (tmp_path / "freq.csv").write_bytes("Signal;Frequence\nétat;10\n".encode("ISO-8859-1"))
-    assert [tuple(r) for r in R.read_registry(spark, str(tmp_path / "freq.csv")).collect()] == [("état", "10")]
+    assert [tuple(r) for r in R.read_registry(spark, str(tmp_path / "freq.csv"), R.LATIN).collect()] == [("état", "10")]
 
 
 def test_kpis_hot_and_cold_agree(spark):
