@@ -105,11 +105,15 @@ def explode_matrix(spark, sf):
 @query("explode_matrix_rows", """
 SELECT CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber AS "Study_ref", l_returnflag AS "Criteria_label", 'H2D' AS "Dimension",
        'x_axis=unknown; y_axis=unknown; x_bins=[]; y_bins=[]' AS "Dimensions_boudaries", l_linestatus AS "ClassA",
-       CAST(l_suppkey AS VARCHAR) AS "ClassB", 'none' AS "ClassC", l_quantity AS "Correspondant_value" FROM lineitem""")
+       CAST(l_suppkey AS VARCHAR) AS "ClassB", 'none' AS "ClassC", l_quantity AS "Correspondant_value" FROM lineitem
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber, l_returnflag, 'H3D', 'x_axis=unknown; y_axis=unknown; x_bins=[]; y_bins=[]', l_linestatus,
+       CAST(l_suppkey AS VARCHAR), 'n', 'NaN'::DOUBLE FROM lineitem WHERE l_linenumber = 7""")
 def explode_matrix_rows(spark, sf):
-    """One matrix per line, with branches and leaves that have to be left out."""
-    text = F.format_string('{"matrix":{"%s":{"%s":{"none":"%s","bad":"x"},"flat":1},"flat":2}}',
-                           F.col("l_linestatus"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("string"))
+    """One matrix per line, with branches and leaves that have to be left out, bare NaN and repeated keys."""
+    odd = F.when(F.col("l_linenumber") == 7, ',"n":NaN').when(F.col("l_linenumber") == 6, ',"none":-1,"none":"%s"').otherwise("")
+    odd = F.replace(odd, F.lit("%s"), F.col("l_quantity").cast("string"))
+    text = F.format_string('{"matrix":{"%s":{"%s":{"none":"%s","bad":"x","worse":"12f"%s},"flat":1},"flat":2}}',
+                           F.col("l_linestatus"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("string"), odd)
     rows = load(spark, sf, "lineitem").select(
         F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("ref"),
         "l_returnflag", text.alias("m"))

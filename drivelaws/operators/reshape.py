@@ -68,7 +68,7 @@ def _text(df: DataFrame, name: str) -> Column:
 
 
 # Levels of an object that are read even where the text is no strict JSON.
-LENIENT_LEVELS = 5
+LENIENT_LEVELS = 4
 
 
 def _entries(text: Column) -> Column:
@@ -87,6 +87,8 @@ def _quoted_text(text: Column) -> Column:
 def _strict(text: Column, levels: int = LENIENT_LEVELS) -> Column:
     """An object's text as strict JSON; null if it can't be read."""
     def value(v: Column) -> Column:
+        # the reader hands bare NaN and Infinity on in quotes
+        v = F.when(v.rlike(r'^"[+-]?(?:NaN|INF|Infinity)"$'), F.btrim(v, F.lit('"'))).otherwise(v)
         plain = v.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$") | v.isin("true", "false")
         leaf = F.when(v.isNull(), F.lit("null")).when(plain, v).otherwise(_quoted_text(v))
         return F.when(v.startswith("{"), F.coalesce(_strict(v, levels - 1), _quoted_text(v))).otherwise(leaf) if levels else leaf
@@ -100,7 +102,7 @@ def _listed(cell: Column) -> Column:
     NaN or a repeated key, is read level by level instead."""
     strict = F.try_parse_json(F.concat(F.lit("["), cell, F.lit("]")))
     lenient = F.try_parse_json(F.concat(F.lit("["), _strict(cell), F.lit("]")))
-    return F.when(strict.isNotNull(), strict).when(cell.rlike(r"^\s*\{"), lenient)
+    return F.coalesce(strict, F.when(cell.rlike(r"^\s*\{"), lenient))
 
 
 def unreadable(df: DataFrame, cols: Sequence[str]) -> DataFrame:
