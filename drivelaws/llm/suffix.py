@@ -267,15 +267,11 @@ def _hashed_covers(spans: DataFrame, length: int) -> DataFrame:
     return strings.join(twice, ["h", "w"]).select("t", "n", "low", (F.col("low") + length).cast("int").alias("high"))
 
 
-def _by_text(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    small = size_of(rows.sparkSession, found.select(*keys)) * 8 <= BROADCAST_BYTES
-    return null_safe_join(rows, F.broadcast(found) if small else found, keys, how)
-
-
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
     """``(t, n, low, high)`` arrays per text of ``(id, t, n, text)``: its removed bytes as sorted disjoint ranges."""
     placed = settle(_anchored(rows, length, gram))
-    often = placed.groupBy("h").agg(F.sum("seen").alias("times")).filter("times > 1").select("h")
+    # settled, so that the join's sides are plain shuffles and a hot anchor can be split
+    often = settle(placed.groupBy("h").agg(F.sum("seen").alias("times")).filter("times > 1").select("h"))
     shared = settle(placed.drop("seen").join(often, "h"))
     classes = settle(shared.groupBy("h", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("t", "n", "at")).alias("one")))
     # whole surroundings that occur twice
@@ -284,7 +280,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
         "t", "n", F.greatest(F.col("at") + gram - length, F.lit(0)).cast("int").alias("low"),
         F.least(F.col("at") + length, F.col("n")).cast("int").alias("high"))
     # one text per class stands for it where an anchor has a class of its own
-    mixed = classes.groupBy("h").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("k")).filter("least = 1")
+    mixed = settle(classes.groupBy("h").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("k")).filter("least = 1"))
     one = F.struct("at", "h", "k")
     # texts are known by hash and length; of equal texts the row with the smallest id answers
     firsts = rows.groupBy("t", "n").agg(F.min("id").alias("id"))
@@ -307,7 +303,8 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
                 [flat.field("h"), flat.field("k"), batch.column("t").take(pa.array(of)), batch.column("n").take(pa.array(of)),
                  pa.array((low - starts[of]).astype(np.int32)), texts], ["h", "k", "t", "n", "low", "text"])
 
-    spans = settle(_by_text(rows, asked, ["t", "n", "id"]).select("t", "n", "text", "asked").mapInArrow(
+    # what is asked for grows with the corpus, so it is joined, never broadcast
+    spans = settle(null_safe_join(rows, asked, ["t", "n", "id"]).select("t", "n", "text", "asked").mapInArrow(
         cut, "h long, k long, t long, n int, low int, text binary"))
     ranges = whole.unionByName(_sorted_covers(spans.filter(F.col("k") <= crowded), length))
     many = spans.filter(F.col("k") > crowded)
