@@ -214,7 +214,8 @@ def grouped(docs: DataFrame, key: str, text: str, similar: int, crowded: int) ->
     banded = _banded(nodes.select("node", "n", "marks"))
 
     # star: every node of a bucket with the bucket's first
-    heads = banded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # (settled, so that the join's sides are plain shuffles and a hot bucket can be split)
+    heads = settle(banded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     star = banded.join(heads.select("bucket", F.col("head.node").alias("v"), F.col("head.n").alias("m")), "bucket").filter(
         F.col("node") != F.col("v"))
     met = settle(star.groupBy(F.col("node").alias("u"), "v").agg(F.first("n").alias("n"), F.first("m").alias("m")))
@@ -328,8 +329,8 @@ def _unconnected(nodes: DataFrame, found: DataFrame, crowded: int, similar: int)
     rows = _banded(joined.select("node", "n", "marks")).join(joined.select("node", "component"), "node")
     out = None
     for level in range(5):
-        mixed = rows.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
+        mixed = settle(rows.groupBy("bucket").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high"))
         rows = settle(rows.join(mixed.select("bucket", "size"), "bucket"))
         few = rows if level == 4 else rows.filter(F.col("size") <= crowded)
         pairs = settle(_compared(few.join(marks, "node"), similar).distinct())
