@@ -26,7 +26,7 @@ def class_sweep_50(spark, sf):
 
 
 def percentile_search(spark, sf):
-    return percentiles(laws.prices(spark, sf), hot_rows=10_000)
+    return percentiles(laws.prices(spark, sf), gather=10_000)
 
 
 def model_prices(spark, sf):

@@ -59,7 +59,7 @@ def agg_percentiles(spark, sf):
 @query("agg_percentiles_hot", f"SELECT criteria, {PCT} FROM ({PRICES}) GROUP BY 1")
 def agg_percentiles_hot(spark, sf):
     """The search meant for groups too large for one task, here for all of them."""
-    return customers(S.percentiles(prices(spark, sf), hot_rows=100))
+    return customers(S.percentiles(prices(spark, sf), gather=100))
 
 
 @query("agg_percentile_grid", f"""

@@ -58,7 +58,7 @@ def agg_signal_kpis(spark, sf):
 
 @query("agg_signal_kpis_hot", kpi_sql("event_type"))
 def agg_signal_kpis_hot(spark, sf):
-    kpis = K.signal_kpis(load(spark, sf, "events"), ["event_type"], "value", ["ts", "event_id"], hot_rows=500)
+    kpis = K.signal_kpis(load(spark, sf, "events"), ["event_type"], "value", ["ts", "event_id"], gather=500)
     return rounded(kpis, ("event_type", "DUREE", "COUNT", "MIN", "MAX", "FIRST", "LAST"), 9)
 
 

@@ -21,7 +21,7 @@ from ..functions.laws import LAWS, PARAMETERS, law_params, quantiles
 from ..functions.normal import probit
 from ..functions.scalars import minmax_clip, plotting_position
 from ..functions.special import beta_shapes
-from .sample import CUSTOMER_PS, HOT_ROWS, locate, ols, percentiles, sample_summary
+from .sample import CUSTOMER_PS, GATHER, locate, ols, percentiles, sample_summary, sizes_of
 from .scale import attach, null_safe, settle
 
 GRID_STEP = 5
@@ -65,7 +65,7 @@ def class_histogram(sample: DataFrame, n_max: int, n_min: int = 2, summary: Data
     spread = summary.filter("data_max > data_min").select("criteria", "n", "data_min", "data_max", "data_mean")
     bounds = spread.select("criteria", "data_min", (F.col("data_max") - F.col("data_min")).alias("width"))
     slotted = locate(
-        attach(sample.select("criteria", "x"), bounds, ["criteria"], 128), "slot", depth,
+        attach(sample.select("criteria", "x"), bounds, ["criteria"]), "slot", depth,
         lambda j: F.col("x") >= F.col("data_min") + F.col("width") * table[j],
     )
     tally = slotted.groupBy("criteria", "slot").agg(F.count(F.lit(1)).alias("size"))
@@ -147,7 +147,7 @@ def beta_fit(sample: DataFrame, summary: DataFrame) -> DataFrame:
     of ln u and ln(1 - u) that the likelihood is made of."""
     bounds = summary.filter("data_max > data_min").select("criteria", "data_min", "data_max")
     u = minmax_clip(F.col("x"), F.col("data_min"), F.col("data_max"))
-    stats = attach(sample, bounds, ["criteria"], 128).select("criteria", u.alias("u")).groupBy("criteria").agg(
+    stats = attach(sample, bounds, ["criteria"]).select("criteria", u.alias("u")).groupBy("criteria").agg(
         F.avg("u").alias("m"), F.var_pop("u").alias("v"),
         F.avg(F.ln("u")).alias("ln_u"), F.avg(F.ln(F.lit(1.0) - F.col("u"))).alias("ln_rest"),
     )
@@ -210,19 +210,19 @@ def attach_beta(models: DataFrame, shapes: DataFrame) -> DataFrame:
     return joined.withColumn("params", filled).drop(*PARAMETERS["beta"])
 
 
-def empirical_points(sample: DataFrame, summary: DataFrame, grid_from: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return percentiles(sample, [*CUSTOMER_PS, *grid_marks(grid_from)], hot_rows=hot_rows,
-                       sizes=summary.select("criteria", "n"))
+def empirical_points(sample: DataFrame, summary: DataFrame, grid_from: int = 0, gather: int = GATHER) -> DataFrame:
+    return percentiles(sample, [*CUSTOMER_PS, *grid_marks(grid_from)], gather=gather,
+                       sizes=sizes_of(summary))
 
 
 def fit_classes(sample: DataFrame, law: str, n_max: int, d: float = 0.0, grid_from: int = 0,
-                n_min: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
+                n_min: int = 2, gather: int = GATHER) -> DataFrame:
     """Class sweep of one law: a model row per (criteria, class count)."""
     summary = settle(sample_summary(sample))
     models = fit_lines(class_histogram(sample, n_max, n_min, summary), law, d)
     if law == "beta":
         models = attach_beta(models, beta_mle(sample, summary))
-    empirical = empirical_points(sample, summary, grid_from, hot_rows)
+    empirical = empirical_points(sample, summary, grid_from, gather)
     return with_quality(models, empirical, grid_from, (law,)).select(*(f"`{c}`" for c in MODEL_COLUMNS))
 
 

@@ -9,7 +9,7 @@ from ..functions.laws import law_params, quantiles
 from ..functions.scalars import minmax_clip
 from .classes import DIFF_COLUMNS, EMP_COLUMNS, FIT_COLUMNS, MODEL_COLUMNS, beta_mle, grid_marks
 from .likelihood import weibull_mle
-from .sample import CUSTOMER_PS, HOT_ROWS, percentiles
+from .sample import CUSTOMER_PS, GATHER, percentiles, sizes_of
 from .scale import attach, null_safe, settle
 
 SHIFT_MARGIN = 1e-6
@@ -31,7 +31,7 @@ def _beta_fit(sample: DataFrame, stats: DataFrame) -> DataFrame:
     """Moments on the scaled, clipped sample; likelihood where they do not belong to a beta law."""
     bounds = stats.filter("data_max > data_min").select("criteria", "data_min", "data_max")
     u = minmax_clip(F.col("x"), F.col("data_min"), F.col("data_max"))
-    scaled = attach(sample, bounds, ["criteria"], 128).groupBy("criteria").agg(
+    scaled = attach(sample, bounds, ["criteria"]).groupBy("criteria").agg(
         F.avg(u).alias("m"), F.var_samp(u).alias("v"))
     m, v = F.col("m"), F.col("v")
     fits = settle(scaled.withColumn("regular", (v > 0.0) & (v < m * (F.lit(1.0) - m))))
@@ -71,7 +71,7 @@ def _params(sample: DataFrame, law: str, stats: DataFrame) -> DataFrame:
     return joined.withColumn("params", found).drop(*names)
 
 
-def estimate(sample: DataFrame, law: str, d: float = 0.0, grid_from: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
+def estimate(sample: DataFrame, law: str, d: float = 0.0, grid_from: int = 0, gather: int = GATHER) -> DataFrame:
     """One model row per criterion, without classes; null parameters where the law does not apply.
 
     A difference to an empirical percentile of 0 counts as 0, and the mean difference is always
@@ -82,7 +82,7 @@ def estimate(sample: DataFrame, law: str, d: float = 0.0, grid_from: int = 0, ho
     moved = F.col("shift") if law in ("weibull", "gamma", "exponential") else F.lit(0.0)
     fitted = F.transform(quantiles(law, F.col("params"), ps, F.col("data_min"), F.col("data_max")), lambda q: q + moved)
     models = _params(sample, law, stats).withColumn("fit", F.when(F.col("params").isNotNull(), fitted))
-    both = null_safe(models, percentiles(sample, ps, hot_rows=hot_rows, sizes=stats.select("criteria", "n")), ["criteria"])
+    both = null_safe(models, percentiles(sample, ps, gather=gather, sizes=sizes_of(stats)), ["criteria"])
 
     k = len(CUSTOMER_PS)
     start, size = (1, k) if law == "lognormal" else (k + 1, len(ps) - k)

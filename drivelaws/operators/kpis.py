@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runs import elapsed
-from .sample import HOT_ROWS, percentiles
+from .sample import GATHER, percentiles
 from .scale import null_safe, settle
 
 # Percentiles reported per signal.
@@ -16,7 +16,7 @@ KPI_PERCENTILES = {"P1": 0.01, "P10": 0.1, "P25": 0.25, "P50": 0.5, "P75": 0.75,
 
 
 def signal_kpis(df: DataFrame, by: Sequence[str], value: str, order_by: Sequence[str],
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                gather: int = GATHER) -> DataFrame:
     """DUREE, COUNT, MEAN, STD, MIN, MAX, FIRST, LAST and percentiles per group.
 
     ``order_by`` starts with the time column and decides first and last. Values that are null or
@@ -32,8 +32,8 @@ def signal_kpis(df: DataFrame, by: Sequence[str], value: str, order_by: Sequence
         F.min("__x").alias("MIN"), F.max("__x").alias("MAX"),
         F.min_by("__x", when).alias("FIRST"), F.max_by("__x", when).alias("LAST"),
     ))
-    sizes = base.select(*by, F.col("COUNT").alias("n"))
-    pct = percentiles(rows, list(KPI_PERCENTILES.values()), by=by, value="__x", hot_rows=hot_rows, sizes=sizes)
+    sizes = base.select(*by, F.col("COUNT").alias("n"), F.col("MIN").alias("lo"), F.col("MAX").alias("hi"))
+    pct = percentiles(rows, list(KPI_PERCENTILES.values()), by=by, value="__x", gather=gather, sizes=sizes)
     return null_safe(base, pct, list(by)).select(
         *(f"`{k}`" for k in by),
         elapsed(df.schema[order_by[0]].dataType, "__start", "__end").alias("DUREE"),

@@ -86,7 +86,7 @@ def gumbel_mle(sample: DataFrame, summary: DataFrame) -> DataFrame:
     bounds = spread.select("criteria", "data_min", (F.col("data_max") - F.col("data_min")).alias("v_high"))
 
     def values(groups: DataFrame) -> DataFrame:
-        return attach(sample, groups, ["criteria"], 128).withColumn("v", F.col("x") - F.col("data_min"))
+        return attach(sample, groups, ["criteria"]).withColumn("v", F.col("x") - F.col("data_min"))
 
     cells = _cells(values(bounds).withColumn("v_low", F.lit(0.0)))
     fit = settle(cells.select("criteria", _gumbel_start("sizes", "means").alias("b")))
@@ -119,7 +119,7 @@ def weibull_mle(sample: DataFrame, bounds: DataFrame) -> DataFrame:
     top = F.col("data_max") - F.col("shift")
 
     def values(groups: DataFrame) -> DataFrame:
-        return attach(sample, groups, ["criteria"], 128).withColumn("v", F.ln((F.col("x") - F.col("shift")) / top))
+        return attach(sample, groups, ["criteria"]).withColumn("v", F.ln((F.col("x") - F.col("shift")) / top))
 
     ends = F.ln((F.col("data_min") - F.col("shift")) / top)
     cells = _cells(values(usable).withColumn("v_low", ends).withColumn("v_high", F.lit(0.0)))

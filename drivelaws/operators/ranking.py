@@ -14,7 +14,7 @@ from ..functions.laws import PARAMETERS, law_params, lgamma, pdf
 from ..functions.special import gamma_shape
 from .classes import beta_fit
 from .likelihood import gumbel_mle
-from .sample import percentiles
+from .sample import percentiles, sizes_of
 from .scale import attach, null_safe, settle
 
 # The candidates, and the free parameters each likelihood counts.
@@ -146,13 +146,13 @@ def auto_bins(n: Column, width: Column, iqr: Column) -> Column:
 def hist_rmse(sample: DataFrame, fits: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """``(criteria, law, rmse)`` between the density histogram and the fitted density at its centres."""
     stats = settle(ranking_stats(sample)) if stats is None else stats
-    quartiles = percentiles(sample, (0.25, 0.75), sizes=stats.select("criteria", "n"))
+    quartiles = percentiles(sample, (0.25, 0.75), sizes=sizes_of(stats))
     spread = null_safe(stats.filter("data_max > data_min"), quartiles, ["criteria"])
     n, width = F.col("n").cast("double"), F.col("data_max") - F.col("data_min")
     bins = settle(spread.select(
         "criteria", "n", "data_min", "data_max", auto_bins(n, width, F.col("pct")[1] - F.col("pct")[0]).alias("bins")))
     place = F.least(F.floor((F.col("x") - F.col("data_min")) / width * F.col("bins")), F.col("bins") - 1)
-    counts = attach(sample, bins, ["criteria"], 128).groupBy("criteria", place.alias("bin")).agg(
+    counts = attach(sample, bins, ["criteria"]).groupBy("criteria", place.alias("bin")).agg(
         F.count(F.lit(1)).alias("freq"))
     every = bins.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)))
     hist = null_safe(every, counts, ["criteria", "bin"], "left").select(

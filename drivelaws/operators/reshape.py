@@ -73,7 +73,7 @@ LENIENT_LEVELS = 4
 
 def _entries(text: Column) -> Column:
     """Entries of an object's text, of a repeated key the last; bare NaN and Infinity are allowed. Null if it is none."""
-    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowNonNumericNumbers": "true"})
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowNonNumericNumbers": "true", "allowSingleQuotes": "false"})
     entries = F.map_entries(F.when(F.size(listed) == 1, listed[0]))
     keys = F.transform(entries, lambda e: e["key"])
     return F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))

@@ -115,7 +115,7 @@ def state_runs(df: DataFrame, state: str, order_by: Sequence[str], partition_by:
     if hot.isEmpty():
         placed = _whole(ticks, order)
     else:
-        known = F.broadcast(hot) if is_small(hot, 256) else hot
+        known = F.broadcast(hot) if is_small(hot) else hot
         columns = ["trip", "run", "start", "end", "ones", "zeros_all", "stretch", "pair"]
         placed = _whole(ticks.join(known, "trip", "left_anti"), order).select(*columns).unionByName(
             _chunked(ticks.join(known, "trip", "left_semi"), order).select(*columns))

@@ -7,14 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import attach, is_small, null_safe, settle
-
-# Groups above this many rows leave the one-task percentile for the bracketed search.
-HOT_ROWS = 500_000
-# Quantile sketch error is 1 / accuracy; larger groups get finer sketches, so that the rows left to
-# order stay near RANGE_ROWS.
-SKETCH_ACCURACY = (10_000, 1_000_000)
-RANGE_ROWS = 1_000_000
+from .scale import attach, null_safe, settle
+
+# At most so many values of a group meet in one task; a bracket with more is divided first.
+GATHER = 100_000
+CELLS = 1024
+LARGEST = 1.7976931348623157e308
 CUSTOMER_PS = (0.01, 0.5, 0.99)
 
 
@@ -94,74 +92,74 @@ def locate(rows: DataFrame, name: str, depth: int, reached: Callable[[Column], C
     return rows
 
 
-def _hot_percentiles(rows: DataFrame, ps: Sequence[float], by: list[str], accuracy: int) -> DataFrame:
-    """Exact percentiles of groups of any size.
+def _inside(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, start, lo, hi, x)``: the rows that lie in a bracket of their group, of which there are few."""
+    held = F.collect_list(F.struct("start", "lo", "hi"))
+    lists = settle(brackets.groupBy(*by).agg(held.alias("__brackets")))
+    hit = F.filter("__brackets", lambda b: (F.col("x") >= b["lo"]) & (F.col("x") <= b["hi"]))
+    return attach(rows, lists, by).select(*by, "x", F.inline(hit))
 
-    A quantile sketch proposes a narrow bracket around every wanted rank. Exact counts between the
-    brackets then say in which slot each rank falls, whatever the sketch's error, and only the
-    distinct values of those slots are ordered.
-    """
-    knots = sorted({min(max(p + side * 2.0 / accuracy, 0.0), 1.0) for p in ps for side in (-1, 1)})
-    depth = len(knots).bit_length()
-    padding = F.array_repeat(F.lit(float("inf")), 2 ** depth - 1 - len(knots))
-    quantiles = F.percentile_approx("x", F.array(*(F.lit(k) for k in knots)), F.lit(accuracy))
-    sketch = settle(
-        rows.groupBy(*by).agg(F.count("x").alias("n"), quantiles.alias("cuts"))
-        .select(*by, "n", F.concat("cuts", padding).alias("cuts"), _ranks(F.col("n"), ps).alias("ranks"))
-    )
 
-    def slotted(groups: DataFrame) -> DataFrame:
-        return locate(attach(rows, groups, by, 2048), "slot", depth, lambda i: F.col("x") > F.col("cuts")[i])
+def _divided(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """Brackets cut into equal cells, of which those that hold a wanted rank remain, as tight as their values."""
+    # halves, so that the widest range of doubles has a width
+    part = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    cell = F.least(F.floor(part * CELLS), F.lit(CELLS - 1))
+    counts = _inside(rows, brackets, by).groupBy(*by, "start", cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("size"), F.min("x").alias("least"), F.max("x").alias("most"))
+    earlier = Window.partitionBy(*by, "start").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    placed = null_safe(counts, brackets.select(*by, "start", "n", "ranks"), [*by, "start"])
+    held = F.filter("ranks", lambda r: (r >= F.col("at")) & (r < F.col("at") + F.col("size")))
+    return placed.select(*by, "n", F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("at").alias("start"), "size",
+                         held.alias("ranks")).filter(F.size("ranks") > 0)
 
-    earlier = Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("size").over(earlier), F.lit(0))
-    counts = slotted(sketch).groupBy(*by, "slot").agg(F.count(F.lit(1)).alias("size"))
-    placed = null_safe(counts.withColumn("start", start), sketch.select(*by, "ranks"), by)
-    inside = F.exists("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("size")))
-    search = settle(placed.filter(inside).select(*by, "slot", "start"))
 
-    near = attach(slotted(sketch), search, [*by, "slot"], 64).groupBy(*by, "start", "x").agg(
-        F.count(F.lit(1)).alias("size"))
-    upto = Window.partitionBy(*by, "start").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("start") + F.sum("size").over(upto)
-    ordered = near.select(*by, "x", (last - F.col("size")).alias("first"), last.alias("last"))
-    hit = F.filter("ranks", lambda r: (r >= F.col("first")) & (r < F.col("last")))
-    picked = attach(ordered, sketch.select(*by, "n", "ranks"), by).select(*by, "n", "x", F.explode(hit).alias("rank"))
-    values = F.map_from_entries(F.collect_list(F.struct("rank", "x")))
-    return picked.groupBy(*by, "n").agg(values.alias("values")).select(
-        *by, _interpolate(F.col("n"), lambda r: F.col("values")[r], ps).alias("pct"))
+def sizes_of(summary: DataFrame) -> DataFrame:
+    """What ``percentiles`` needs to know of each criterion's values, from a summary of them."""
+    return summary.select("criteria", "n", F.col("data_min").alias("lo"), F.col("data_max").alias("hi"))
 
 
 def percentiles(rows: DataFrame, ps: Sequence[float] = CUSTOMER_PS, by: Sequence[str] = ("criteria",),
-                value: str = "x", hot_rows: int = HOT_ROWS, accuracy: int | None = None,
-                sizes: DataFrame | None = None) -> DataFrame:
+                value: str = "x", gather: int = GATHER, sizes: DataFrame | None = None) -> DataFrame:
     """Exact linearly interpolated percentiles per group as ``(*by, pct array<double>)``.
 
-    Groups up to ``hot_rows`` values are sorted as one array, which that number bounds; larger ones
-    take the bracketed search. ``sizes`` is an already settled ``(*by, n)``, if at hand.
+    A group is one bracket at first. A bracket of more than ``gather`` values is cut into equal cells,
+    which are counted with partial sums, and the cells that hold a wanted rank are the next brackets;
+    what is left is ordered. ``sizes`` is a settled ``(*by, n, lo, hi)``, if at hand.
     """
     by = list(by)
-    rows = rows.select(*by, F.col(f"`{value}`").cast("double").alias("x")).filter(
-        F.col("x").isNotNull() & ~F.isnan("x"))
+    x = F.col(f"`{value}`").cast("double")
+    rows = rows.filter(x.isNotNull() & ~F.isnan(x)).select(*by, F.greatest(F.least(x, F.lit(LARGEST)), F.lit(-LARGEST)).alias("x"))
     if sizes is None:
-        sizes = settle(rows.groupBy(*by).agg(F.count("x").alias("n")))
-    hot = settle(sizes.filter(F.col("n") > hot_rows).select(*by, "n"))
-
-    def direct(part: DataFrame) -> DataFrame:
-        ordered = part.groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("values"))
-        n = F.size("values")
-        return ordered.select(*by, _interpolate(n, lambda r: F.col("values")[r.cast("int")], ps).alias("pct"))
-
-    largest = hot.agg(F.max("n")).first()[0]
-    if largest is None:
-        return direct(rows)
-    if accuracy is None:
-        least, most = SKETCH_ACCURACY
-        accuracy = min(max(least, 4 * largest // RANGE_ROWS), most)
-    hot = hot.select(*by)
-    small = F.broadcast(hot) if is_small(hot, 64) else hot
-    cold = direct(null_safe(rows, small, by, "left_anti"))
-    return cold.unionByName(_hot_percentiles(attach(rows, hot, by, 64), ps, by, accuracy))
+        sizes = settle(rows.groupBy(*by).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+
+    def told(c: Column) -> Column:
+        return F.when(F.abs(c) >= LARGEST, F.signum(c) * F.lit(float("inf"))).otherwise(c)
+
+    much = (F.col("size") > gather) & (F.col("lo") < F.col("hi"))
+    brackets = sizes.filter("n > 0").select(
+        *by, "n", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), F.lit(0).cast("long").alias("start"),
+        F.col("n").alias("size"), _ranks(F.col("n"), ps).alias("ranks"))
+    brackets = brackets.withColumns({c: F.greatest(F.least(c, F.lit(LARGEST)), F.lit(-LARGEST)) for c in ("lo", "hi")})
+    if brackets.filter(much).isEmpty():
+        ordered = rows.groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("values"))
+        return ordered.select(*by, _interpolate(F.size("values"), lambda r: told(F.col("values")[r.cast("int")]), ps).alias("pct"))
+    while True:
+        brackets = settle(brackets)
+        open_ = brackets.filter(much)
+        if open_.isEmpty():
+            break
+        brackets = brackets.filter(~much).unionByName(_divided(rows, open_, by))
+    alike = F.col("lo") == F.col("hi")
+    known = brackets.filter(alike).select(*by, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("x"))
+    few = brackets.filter(~alike)
+    ordered = _inside(rows, few, by).groupBy(*by, "start").agg(F.sort_array(F.collect_list("x")).alias("values"))
+    picked = null_safe(ordered, few.select(*by, "start", "n", "ranks"), [*by, "start"]).select(
+        *by, "n", "start", "values", F.explode("ranks").alias("rank"))
+    values = known.unionByName(picked.select(*by, "n", "rank", F.col("values")[(F.col("rank") - F.col("start")).cast("int")].alias("x")))
+    found = values.groupBy(*by, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("values"))
+    return found.select(*by, _interpolate(F.col("n"), lambda r: told(F.col("values")[r]), ps).alias("pct"))
 
 
 def percentile_grid(sample: DataFrame, step: int = 5, grid_from: int = 0, **options) -> DataFrame:
@@ -178,7 +176,7 @@ def density_hist(sample: DataFrame, bins: int = 30, summary: DataFrame | None =
     bounds = summary.filter("data_max > data_min").select(
         "criteria", "n", "data_min", ((F.col("data_max") - F.col("data_min")) / bins).alias("width"))
     place = F.least(F.floor((F.col("x") - F.col("data_min")) / F.col("width")), F.lit(bins - 1))
-    counts = attach(sample, bounds, ["criteria"], 128).groupBy("criteria", place.cast("int").alias("bin")).agg(
+    counts = attach(sample, bounds, ["criteria"]).groupBy("criteria", place.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("freq"))
     every = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     freq = F.coalesce("freq", F.lit(0))

@@ -32,8 +32,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(settled: DataFrame, row_bytes: int) -> bool:
-    return settled.count() * row_bytes <= BROADCAST_BYTES
+def bytes_of(settled: DataFrame) -> int:
+    """Bytes of a settled table's rows, measured, not guessed."""
+    width = F.lit(0)
+    for field in settled.schema.fields:
+        c, kind = F.col("`" + field.name.replace("`", "``") + "`"), field.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind in ("array", "map", "struct"):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            width = width + 16
+    return settled.agg(F.sum(width.cast("long"))).first()[0] or 0
+
+
+def is_small(settled: DataFrame) -> bool:
+    return bytes_of(settled) <= BROADCAST_BYTES
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -47,13 +61,17 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(other, condition, how).drop(*hidden.values())
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], row_bytes: int = 512) -> DataFrame:
-    """Inner join of the data with a settled table that has one row per group."""
-    if is_small(groups, row_bytes):
+def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of the data with a settled table that has one row per group.
+
+    Broadcast when its measured size is small. Otherwise the rows take turns at ``SALTS`` copies of
+    their group, by their place and not by their content, so equal rows spread as well.
+    """
+    if is_small(groups):
         return null_safe(rows, F.broadcast(groups), keys)
-    spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(SALTS)).cast("int")
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return null_safe(rows.withColumn("__salt", spread), copies, [*keys, "__salt"]).drop("__salt")
+    return null_safe(rows.withColumn("__salt", turn), copies, [*keys, "__salt"]).drop("__salt")
 
 
 def running(df: DataFrame, by: Sequence[str], chunk: str, order_by: Sequence[str],

@@ -18,7 +18,7 @@ from ..operators.estimate import estimate
 from ..operators.gates import MIN_SAMPLE, THRESHOLD, gate_mrd, gate_small_sample
 from ..operators.projections import keep_existing, rename_clients
 from ..operators.ranking import choose_law, rank_laws, ranking_stats
-from ..operators.sample import HOT_ROWS, to_sample
+from ..operators.sample import GATHER, to_sample
 from ..operators.scale import attach, null_safe, settle
 
 
@@ -29,9 +29,9 @@ def model_summary(sample: DataFrame, n_max: int, threshold: float, law: str = "l
 
 
 def _sweep(sample: DataFrame, summary: DataFrame, chosen: DataFrame, laws: tuple[str, ...], n_max: int,
-           grid_from: int, hot_rows: int) -> DataFrame:
+           grid_from: int, gather: int) -> DataFrame:
     """Class sweep in which every criterion follows its own law."""
-    hist = attach(class_histogram(sample, n_max, summary=summary), chosen, ["criteria"], 64)
+    hist = attach(class_histogram(sample, n_max, summary=summary), chosen, ["criteria"])
     by = ["criteria", "n", "data_min", "data_max", "data_mean", "loi", "class_index"]
     lines = ols(fit_points(hist, F.col("loi")), "y", "x", by)
     line = {law: (lambda law=law: F.lit(None).cast("map<string,double>") if law == "beta" else recovered(
@@ -40,12 +40,12 @@ def _sweep(sample: DataFrame, summary: DataFrame, chosen: DataFrame, laws: tuple
     if "beta" in laws:
         of_beta = settle(null_safe(summary, chosen.filter("loi = 'beta'").select("criteria"), ["criteria"], "left_semi"))
         models = attach_beta(models, beta_mle(sample, of_beta))
-    empirical = empirical_points(sample, summary, grid_from, hot_rows)
+    empirical = empirical_points(sample, summary, grid_from, gather)
     return with_quality(models, empirical, grid_from, laws).select(*(f"`{c}`" for c in MODEL_COLUMNS))
 
 
 def model_sample(sample: DataFrame, n_max: int, choice: str = "auto", threshold: float = THRESHOLD,
-                 grid_from: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
+                 grid_from: int = 0, gather: int = GATHER) -> DataFrame:
     """Model rows of every criterion of a sample.
 
     ``method`` says how a row came about: ``class`` (one row per class count kept, ``is_best`` on
@@ -57,18 +57,18 @@ def model_sample(sample: DataFrame, n_max: int, choice: str = "auto", threshold:
     parts = [unfitted.withColumn("method", F.lit("empirical")).withColumn("is_best", F.lit(True))]
     summary = settle(fit_for)
     if not summary.isEmpty():
-        rows = attach(sample, summary.select("criteria"), ["criteria"], 64)
+        rows = attach(sample, summary.select("criteria"), ["criteria"])
         ranking = rank_laws(rows, stats=summary) if choice == "auto" else summary
         chosen = settle(choose_law(ranking, choice))
         present = {row.loi for row in chosen.select("loi").distinct().collect()}  # at most the six laws
         laws = tuple(law for law in LAWS if law in present)
-        models = settle(drop_first_classes(_sweep(rows, summary, chosen, laws, n_max, grid_from, hot_rows)))
+        models = settle(drop_first_classes(_sweep(rows, summary, chosen, laws, n_max, grid_from, gather)))
         gate = settle(gate_mrd(models, threshold).select("criteria", "use_fallback"))
         fallen = settle(null_safe(chosen, gate.filter("use_fallback").select("criteria"), ["criteria"], "left_semi"))
         gone = {row.loi for row in fallen.select("loi").distinct().collect()}
         direct = [
-            estimate(attach(rows, settle(fallen.filter(F.col("loi") == law).select("criteria")), ["criteria"], 64),
-                     law, grid_from=grid_from, hot_rows=hot_rows)
+            estimate(attach(rows, settle(fallen.filter(F.col("loi") == law).select("criteria")), ["criteria"]),
+                     law, grid_from=grid_from, gather=gather)
             for law in laws if law in gone
         ]
         replaced = None

@@ -202,4 +202,4 @@ def test_latin1_registry(spark, tmp_path):
 def test_kpis_hot_and_cold_agree(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("s"), F.col("id").alias("t"), (F.col("id") * 7 % 101).cast("double").alias("v"))
     plain = rows(signal_kpis(df, ["s"], "v", ["t"]))
-    assert rows(signal_kpis(df, ["s"], "v", ["t"], hot_rows=10)) == plain and len(plain) == 3
+    assert rows(signal_kpis(df, ["s"], "v", ["t"], gather=10)) == plain and len(plain) == 3
