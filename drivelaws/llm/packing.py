@@ -25,7 +25,7 @@ END_ID = 0
 NEARLY_FULL = 2
 FAN_IN = 8
 ITEMS_PER_TASK = 250_000
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 500_000
 PIECE = "struct<key:bigint,piece:int,start:bigint,length:bigint,crc:bigint>"
 
 # The tokenizer drops white space before it merges, so a text's ids are those of its words in turn.

@@ -47,13 +47,13 @@ def powers(n: int, base: int) -> np.ndarray:
 class Rolling:
     """Hash of any byte range in constant time, from sums of byte values times powers of a base."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _powers = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(16, (len(data) + 1).bit_length())
-        if size not in self._powers:
-            self._powers[size] = powers(size, BASE), powers(size, BASE_INVERSE)
-        up, self.down = self._powers[size]
+        if len(self._powers[0]) <= len(data):
+            size = (len(data) // 65536 + 1) * 65536
+            Rolling._powers = powers(size, BASE), powers(size, BASE_INVERSE)
+        up, self.down = self._powers
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE_VALUE[data] * up[:len(data)], out=self.sums[1:])
 
