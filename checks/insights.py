@@ -47,31 +47,47 @@ def explode_drivers(spark, sf):
     return H.explode_drivers(trips(spark, sf).withColumn("mixed", mixed), ["event_id"], ["props", "mixed", "value", "kind"])
 
 
-NO_TRIP = ", ".join(f'NULL::{kind} AS "{name}"' for name, kind in (
-    ("VIN", "VARCHAR"), ("TRIP_ID", "DOUBLE"), ("month", "INTEGER"), ("year", "INTEGER"), ("trip_start", "TIMESTAMP"),
-    ("trip_end", "TIMESTAMP"), ("duration_trip_h", "DOUBLE"), ("distance_trip_integral_km", "DOUBLE"), ("sum_distance_CITY_km", "DOUBLE"),
-    ("sum_distance_ROAD_km", "DOUBLE"), ("sum_distance_HIGHWAY_km", "DOUBLE"), ("trip_quality_flag", "INTEGER")))
-NO_DRIVER = ", ".join(f'NULL::{kind} AS "{name}"' for name, kind in (
-    ("VIN", "VARCHAR"), ("month", "INTEGER"), ("year", "INTEGER"), ("first_trip", "TIMESTAMP"), ("last_trip", "TIMESTAMP"),
-    ("total_trips", "INTEGER"), ("valid_trips", "INTEGER"), ("dist_tot_integ_km", "DOUBLE"), ("total_duration_h", "DOUBLE"),
-    ("sum_distance_driver_year_month_CITY_km", "DOUBLE"), ("sum_distance_driver_year_month_ROAD_km", "DOUBLE"),
-    ("sum_distance_driver_year_month_HIGHWAY_km", "DOUBLE"), ("valid_client", "INTEGER")))
+# base columns derived from an event, by name: what the check says and what the query says
+EVENT_TRIP = {
+    "DRIVER_ID": ("CAST(user_id AS VARCHAR)", "CAST(user_id AS STRING)"), "VIN": ("'V' || user_id", "concat('V', user_id)"),
+    "TRIP_ID": ("CAST(event_id AS DOUBLE)", "event_id"), "month": ("CAST(month(ts) AS INTEGER)", "month(ts)"),
+    "year": ("CAST(year(ts) AS INTEGER)", "year(ts)"), "trip_start": ("ts", "ts"), "trip_end": ("ts + INTERVAL 1 HOUR", "ts + INTERVAL 1 HOUR"),
+    "duration_trip_h": ("1.0::DOUBLE", "'1.0'"), "distance_trip_integral_km": ("value", "CAST(value AS STRING)"),
+    "sum_distance_CITY_km": ("value / 2", "value / 2"), "sum_distance_ROAD_km": ("value / 4", "value / 4"),
+    "sum_distance_HIGHWAY_km": ("value / 4", "value / 4"), "trip_quality_flag": ("CAST(user_id % 2 AS INTEGER)", "user_id % 2"),
+}
+EVENT_DRIVER = {
+    **{k: EVENT_TRIP[k] for k in ("DRIVER_ID", "VIN", "month", "year")}, "first_trip": EVENT_TRIP["trip_start"], "last_trip": EVENT_TRIP["trip_end"],
+    "total_trips": ("CAST(event_id % 7 AS INTEGER)", "event_id % 7"), "valid_trips": EVENT_TRIP["trip_quality_flag"],
+    "dist_tot_integ_km": EVENT_TRIP["distance_trip_integral_km"], "total_duration_h": EVENT_TRIP["duration_trip_h"],
+    "sum_distance_driver_year_month_CITY_km": EVENT_TRIP["sum_distance_CITY_km"],
+    "sum_distance_driver_year_month_ROAD_km": EVENT_TRIP["sum_distance_ROAD_km"],
+    "sum_distance_driver_year_month_HIGHWAY_km": EVENT_TRIP["sum_distance_HIGHWAY_km"], "valid_client": ("1::INTEGER", "'1'"),
+}
+
+
+def wide(spark, sf, base):
+    """Events with the base columns, some still text, and their criteria."""
+    return load(spark, sf, "events").select(*(F.expr(c).alias(n) for n, (_, c) in base.items()), "props", "value", F.col("event_type").alias("kind"))
+
+
+def base_sql(base):
+    return ", ".join(f'{text} AS "{name}"' for name, (text, _) in base.items())
 
 
 @query("schema_trips", f"""
-SELECT CAST(user_id AS VARCHAR) AS "DRIVER_ID", {NO_TRIP}, 'props' AS criteria, 'H1D' AS dimension, CAST(json(props) AS VARCHAR) AS correspondant_value FROM events
-UNION ALL SELECT CAST(user_id AS VARCHAR), {NO_TRIP}, 'kind', 'H0D', event_type FROM events""")
+SELECT {base_sql(EVENT_TRIP)}, 'props' AS criteria, 'H1D' AS dimension, CAST(json(props) AS VARCHAR) AS correspondant_value FROM events
+UNION ALL SELECT {base_sql(EVENT_TRIP)}, 'kind', 'H0D', event_type FROM events""")
 def schema_trips(spark, sf):
-    melted = H.melt_trips(trips(spark, sf), ["DRIVER_ID"], ["props", "kind"])
-    return H.conform(melted, H.schema_trips())
+    return H.conform(H.melt_trips(wide(spark, sf, EVENT_TRIP), list(EVENT_TRIP), ["props", "kind"]), H.schema_trips())
 
 
 @query("schema_drivers", f"""
-SELECT CAST(user_id AS VARCHAR) AS "DRIVER_ID", {NO_DRIVER}, 'props' AS criteria, 'H1D' AS dimension, 'k' AS "classA", 'none' AS "classB",
+SELECT {base_sql(EVENT_DRIVER)}, 'props' AS criteria, 'H1D' AS dimension, 'k' AS "classA", 'none' AS "classB",
   'none' AS "classC", CAST(json_extract(props, '$.k') AS DOUBLE) AS correspondant_value FROM events
-UNION ALL SELECT CAST(user_id AS VARCHAR), {NO_DRIVER}, 'value', 'H0D', 'none', 'none', 'none', value FROM events""")
+UNION ALL SELECT {base_sql(EVENT_DRIVER)}, 'value', 'H0D', 'none', 'none', 'none', value FROM events""")
 def schema_drivers(spark, sf):
-    return H.conform(H.explode_drivers(trips(spark, sf), ["DRIVER_ID"], ["props", "value"]), H.schema_drivers())
+    return H.conform(H.explode_drivers(wide(spark, sf, EVENT_DRIVER), list(EVENT_DRIVER), ["props", "value"]), H.schema_drivers())
 
 
 CELLS = """SELECT l_returnflag AS "ClassA", l_linestatus AS "ClassB", CAST(year(l_shipdate) AS VARCHAR) AS "ClassC", count(*) AS c FROM lineitem GROUP BY 1, 2, 3"""

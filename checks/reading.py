@@ -19,9 +19,13 @@ def src_parquet(spark, sf):
     return R.read_parquet(spark, f"{sf}/orders.parquet")
 
 
-@query("src_match_files", f"SELECT {ORDERS} FROM orders")
+@query("src_match_files", """
+SELECT r_regionkey, r_name, NULL::INTEGER AS n_nationkey, NULL::VARCHAR AS n_name, NULL::BIGINT AS conv_id, NULL::VARCHAR AS role FROM region
+UNION ALL SELECT NULL, NULL, n_nationkey, n_name, NULL, NULL FROM nation
+UNION ALL SELECT NULL, NULL, NULL, NULL, conv_id, role FROM conversations""")
 def src_match_files(spark, sf):
-    return R.read_matching(spark, sf, "orders")
+    """Three files of the folder, of different columns, have these letters in their names."""
+    return R.read_matching(spark, sf, "io").select("r_regionkey", "r_name", "n_nationkey", "n_name", "conv_id", "role")
 
 
 @query("src_union_evolving", """

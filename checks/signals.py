@@ -68,12 +68,12 @@ def agg_dim_counts(spark, sf):
     return K.dimension_counts(load(spark, sf, "events").select(cell_dimension(F.col("props")).alias("Dimension")))
 
 
-TEXT = """'{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_mktsegment":"' || c_mktsegment || '"}'"""
+TEXT = """'{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_acctbal":' || CAST(c_acctbal AS VARCHAR) || ',"c_mktsegment":"' || c_mktsegment || '"}'"""
 
 
 @query("agg_data_size", f"SELECT count(*) AS rows, CAST(sum(length({TEXT})) AS BIGINT) AS bytes FROM customer")
 def agg_data_size(spark, sf):
-    return Z.data_size(load(spark, sf, "customer").drop("c_acctbal"))
+    return Z.data_size(load(spark, sf, "customer"))
 
 
 @query("agg_data_size_assumed", "SELECT count(*) AS rows, count(*) * (8 + 50 + 8 + 8 + 50) AS bytes FROM customer")
@@ -88,5 +88,5 @@ SELECT rows, bytes, {sqlsig('bytes / 1073741824.0')} AS size_gb, 100 AS executor
 FROM (SELECT count(*) AS rows, CAST(sum(length({TEXT})) AS BIGINT) AS bytes FROM customer)""")
 def suggest_partitions(spark, sf):
     conf = {"spark.executor.instances": "100", "spark.executor.cores": "4", "spark.executor.memory": "32g"}
-    report = Z.suggest_partitions(load(spark, sf, "customer").drop("c_acctbal"), conf)
+    report = Z.suggest_partitions(load(spark, sf, "customer"), conf)
     return report.withColumn("size_gb", sig("size_gb"))

@@ -116,7 +116,9 @@ def stamp_insights(new: DataFrame, study_title: str | None) -> DataFrame:
     return new.withColumns({"dt": F.current_date(), "study_title": F.lit(study_title).cast("string")})
 
 
-def stamp_study(new: DataFrame) -> DataFrame:
+def stamp_study(new: DataFrame, stamp: bool = True) -> DataFrame:
+    if not stamp:
+        return new
     return new.withColumns({"Creation_date": F.current_timestamp(), "Modification_date": F.current_timestamp()})
 
 

@@ -54,11 +54,13 @@ def _store(store: Store, rows: DataFrame, table: str, keys: list[str], overwrite
 
 
 def store_insights(new: DataFrame, level: str, store: Store, study_title: str | None = None,
-                   overwrite: bool = False, table: str | None = None, matrix_table: str | None = None) -> Published:
+                   overwrite: bool = False, table: str | None = None, matrix_table: str | None = None,
+                   add_timestamps: bool = True) -> Published:
     """Publish insights of a level (``TRIP_ID``, ``DRIVER_ID`` or ``PFM``).
 
     Population level takes study records, any number at once: each gets its reference, its matrix
-    goes to the matrix table as long rows, the rest to the main table.
+    goes to the matrix table as long rows, the rest to the main table, both with the time of storing
+    unless ``add_timestamps`` is off.
     """
     name = level.upper()
     if name in ("TRIP_ID", "DRIVER_ID"):
@@ -77,13 +79,13 @@ def store_insights(new: DataFrame, level: str, store: Store, study_title: str |
     again = referenced.groupBy("study_key").count().filter("count > 1").limit(1)
     if not again.isEmpty():
         raise ValueError("two records of one call are the same study; publish them one after the other")
-    main = settle(stamp_study(referenced.drop("dfmatrix")))
+    main = settle(stamp_study(referenced.drop("dfmatrix"), add_timestamps))
     _store(store, main, table or TABLES["PFM"], ["study_key"], overwrite, PARTITIONS["PFM"])
     if "dfmatrix" not in new.columns:
         return Published(main)
     cells = explode_matrix(referenced, "dfmatrix", "study_key", "Criteria_label").withColumnRenamed("Study_ref", "study_key")
     refs = main.select("study_key", "Study_ref")
-    matrix = settle(stamp_study(keys_first(cells.join(refs, "study_key"), ["Study_ref", "Criteria_label"])))
+    matrix = settle(stamp_study(keys_first(cells.join(refs, "study_key"), ["Study_ref", "Criteria_label"]), add_timestamps))
     target = matrix_table or TABLES["NDIM"]
     if overwrite and store.exists(target):
         # by the studies published: one whose matrix is empty now keeps none of its old rows

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.projections import quoted
 from ..operators.scale import null_safe, settle
-from .read import ENCODING
+from .read import ENCODING, registry_append
 
 
 # Touched partitions up to this many become literal filters; beyond, a join finds their rows.
@@ -29,6 +29,11 @@ def write_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = ENCODING
     df.write.mode("overwrite").csv(path, sep=sep, header=True, encoding=encoding)
 
 
+def extend_registry(new: DataFrame, path: str, encoding: str = ENCODING) -> None:
+    """Add signals to a registry, which is made where there is none yet."""
+    registry_append(None, new).write.mode("append").csv(path, sep=";", header=True, encoding=encoding)
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     """Overwrite a path other than the ones ``df`` reads."""
     df.write.mode("overwrite").parquet(path)

@@ -10,9 +10,10 @@ from drivelaws.functions import scalars as X
 from drivelaws.functions import special as sp
 from drivelaws.operators import projections as P
 from drivelaws.operators import reshape as H
+from drivelaws.operators.kpis import signal_kpis
 from drivelaws.plans.insights import store_insights
 from drivelaws.sources import read as R
-from drivelaws.sources.store import Store, write_csv
+from drivelaws.sources.store import Store, extend_registry, write_csv
 
 CELLS = ['{"a":NaN,"b":1}', '{"a":1,"a":2}', '{"a":{"b":NaN,"c":Infinity}}', '{"a":"12f","b":"1.5d","c":" 2 "}', '{"a":1',
          '{"q\\"uote":"x\\"y","t":true,"n":null}']
@@ -128,6 +129,15 @@ def test_registry_keeps_accents(spark, tmp_path):
     rows = spark.createDataFrame([("température", "10")], "Signal string, Frequence string")
     write_csv(rows, f"{tmp_path}/registry")
     assert R.read_registry(spark, f"{tmp_path}/registry").collect() == rows.collect()
+    for _ in range(2):
+        extend_registry(rows, f"{tmp_path}/grown")
+    assert R.read_registry(spark, f"{tmp_path}/grown").collect() == rows.collect() * 2
+
+
+def test_kpis_carry_columns_along(spark):
+    df = spark.createDataFrame([("s", i, float(i), "c1") for i in range(5)], "signal string, t int, v double, campaign string")
+    row = signal_kpis(df, ["signal"], "v", ["t"], carry=["campaign"]).first()
+    assert (row.signal, row.campaign, row.COUNT, row.P50) == ("s", "c1", 5, 2.0)
 
 
 def test_first_row_of_ties(spark):
