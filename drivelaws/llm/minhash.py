@@ -24,6 +24,9 @@ ROWS, BANDS = 4, 40
 PLACES = ROWS * BANDS
 # Buckets with more texts than this, not yet in one component, are split by further bands.
 CROWDED = 2000
+CELLS = 1024
+# Of the pairs of two components in a bucket so many are confirmed first: one link makes the others needless.
+FIRST_PAIRS = 8
 # Pairs are confirmed on full sets unless their signatures share so few places that a similar pair
 # does so once in three million: five deviations below what is expected.
 LEAST_SHARED = int(PLACES * SIMILAR / 100 - 5 * (PLACES * SIMILAR / 100 * (1 - SIMILAR / 100)) ** 0.5)
@@ -102,8 +105,13 @@ def band_keys(marks: np.ndarray) -> np.ndarray:
 
 
 def _marks(column: pa.Array) -> np.ndarray:
-    size = 2 * PLACES
-    return np.frombuffer(b"".join(x.as_py() for x in column), "<u2").reshape(-1, size // 2)
+    return np.frombuffer(b"".join(x.as_py() for x in column), "<u2").reshape(-1, PLACES)
+
+
+def histogram(shingles: np.ndarray) -> np.ndarray:
+    """Shingles by ten bits of their hashes. The smaller counts of two sets bound what they share from above."""
+    counts = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=CELLS)
+    return np.minimum(counts, 255).astype(np.uint8)
 
 
 def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -134,11 +142,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
             found, of, _, _ = shingle_sets(batch.column("text"))
             edges = np.searchsorted(of, np.arange(batch.num_rows + 1))
             sets = [found[a:b].astype("<u8").tobytes() for a, b in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            cells = [histogram(found[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary()), pa.array(cells, pa.binary())], ["node", "shingles", "cells"])
 
     # repeated rows of one key and text give the same set again
-    sets = joined.select("node", "text").mapInArrow(run, "node long, shingles binary")
-    return settle(sets.groupBy("node").agg(F.min("shingles").alias("shingles")))
+    sets = joined.select("node", "text").mapInArrow(run, "node long, shingles binary, cells binary")
+    return settle(sets.groupBy("node").agg(F.min("shingles").alias("shingles"), F.min("cells").alias("cells")))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -224,11 +233,15 @@ def grouped(docs: DataFrame, key: str, text: str, similar: int, crowded: int) ->
     sets = _sets(docs, wanted, key, text)
     links = settle(_confirmed(met.filter(_close("n", "m", similar)), sets, similar))
 
-    # rest: nodes of one bucket that are not yet connected
-    rest = _unconnected(nodes.join(named, "node", "left_semi"), components(links), crowded, similar)
-    pairs = rest.distinct().join(
-        met.select(F.col("v").alias("u"), F.col("u").alias("v")).unionByName(met.select("u", "v")), ["u", "v"], "left_anti")
-    links = links.unionByName(settle(_confirmed(pairs, sets, similar)))
+    # rest: nodes of one bucket that are not yet connected; first the likeliest pairs of each two
+    # components, then whatever pairs are left between those that this has not joined
+    told = settle(nodes.join(sets.select("node", "cells"), "node").select("node", "n", "marks", "cells"))
+    checked = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    for first_pairs in (FIRST_PAIRS, None):
+        rest = _unconnected(told, components(links), crowded, similar, first_pairs)
+        pairs = settle(rest.distinct().join(checked, ["u", "v"], "left_anti"))
+        checked = checked.unionByName(pairs)
+        links = links.unionByName(settle(_confirmed(pairs, sets, similar)))
 
     found = components(links)
     labelled = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
@@ -272,31 +285,52 @@ def _split(rows: DataFrame) -> DataFrame:
         run, "node long, n long, component long, band int, bucket long")
 
 
-def _compare(table: pa.Table, similar: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket in different components whose sizes and signatures allow the similarity."""
+def _compare(table: pa.Table, similar: int, first_pairs: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket in different components whose sizes, signatures and histograms allow the similarity.
+
+    With ``first_pairs`` the likeliest of each two components only.
+    """
     node, n, component = (table[c].to_numpy() for c in ("node", "n", "component"))
-    marks, us, vs = _marks(table["marks"].combine_chunks()), [], []
+    marks, us, vs, likely = _marks(table["marks"].combine_chunks()), [], [], []
+    cells = np.frombuffer(b"".join(x.as_py() for x in table["cells"].combine_chunks()), np.uint8).reshape(-1, CELLS)
+    full = (cells == 255).any(1)
     for first in range(0, len(node), 32):
         rows = slice(first, first + 32)
         open_ = (component[rows, None] != component[None, :]) & (node[rows, None] < node[None, :])
         open_ &= 100 * np.minimum(n[rows, None], n[None, :]) >= similar * np.maximum(n[rows, None], n[None, :])
         i, j = np.nonzero(open_)
-        for k in range(0, len(i), 100_000):
-            a, b = i[k:k + 100_000] + first, j[k:k + 100_000]
-            near = (marks[a] == marks[b]).sum(1) >= LEAST_SHARED
-            us.append(node[a[near]])
-            vs.append(node[b[near]])
-    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
-
-
-def _compared(rows: DataFrame, similar: int) -> DataFrame:
-    """``(u, v)`` from ``(bucket, node, n, component, marks)``, each bucket within one task."""
+        for k in range(0, len(i), 20_000):
+            a, b = i[k:k + 20_000] + first, j[k:k + 20_000]
+            places = (marks[a] == marks[b]).sum(1)
+            near = places >= LEAST_SHARED
+            a, b, places = a[near], b[near], places[near]
+            most = np.minimum(cells[a], cells[b]).sum(1, dtype=np.int64)
+            near = (100 * most >= similar * (n[a] + n[b] - most)) | full[a] | full[b]
+            us.append(a[near])
+            vs.append(b[near])
+            likely.append(places[near])
+    if not us:
+        return (np.zeros(0, np.int64),) * 2
+    a, b, places = np.concatenate(us), np.concatenate(vs), np.concatenate(likely)
+    if first_pairs is not None and len(a):
+        low, high = np.minimum(component[a], component[b]), np.maximum(component[a], component[b])
+        order = np.lexsort((b, a, -places, high, low))
+        low, high = low[order], high[order]
+        new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        order = order[rank < first_pairs]
+        a, b = a[order], b[order]
+    return node[a], node[b]
+
+
+def _compared(rows: DataFrame, similar: int, first_pairs: int | None) -> DataFrame:
+    """``(u, v)`` from ``(bucket, node, n, component, marks, cells)``, each bucket within one task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         last = None
 
         def pairs() -> pa.RecordBatch:
-            u, v = _compare(pa.concat_tables(held), similar)
+            u, v = _compare(pa.concat_tables(held), similar, first_pairs)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for batch in batches:
@@ -313,19 +347,19 @@ def _compared(rows: DataFrame, similar: int) -> DataFrame:
         if held:
             yield pairs()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "node", "n", "component", "marks").mapInArrow(
+    return rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "node", "n", "component", "marks", "cells").mapInArrow(
         run, "u long, v long")
 
 
-def _unconnected(nodes: DataFrame, found: DataFrame, crowded: int, similar: int) -> DataFrame:
+def _unconnected(nodes: DataFrame, found: DataFrame, crowded: int, similar: int, first_pairs: int | None) -> DataFrame:
     """``(u, v)``: pairs that share a bucket, are in different components and may be similar.
 
     They are told apart by signature within the bucket's task, so none but likely ones come out. A
     crowded bucket is split by a further band each of its nodes has after the bucket's own: pairs that
     are similar share about a third of all bands, so they meet again in one of the parts.
     """
-    joined = settle(nodes.select("node", "n", "marks").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    marks = joined.select("node", "marks")
+    joined = settle(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    marks = joined.select("node", "marks", "cells")
     rows = _banded(joined.select("node", "n", "marks")).join(joined.select("node", "component"), "node")
     out = None
     for level in range(5):
@@ -333,9 +367,9 @@ def _unconnected(nodes: DataFrame, found: DataFrame, crowded: int, similar: int)
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high"))
         rows = settle(rows.join(mixed.select("bucket", "size"), "bucket"))
         few = rows if level == 4 else rows.filter(F.col("size") <= crowded)
-        pairs = settle(_compared(few.join(marks, "node"), similar).distinct())
+        pairs = settle(_compared(few.join(marks, "node"), similar, first_pairs).distinct())
         out = pairs if out is None else out.unionByName(pairs)
         many = rows.filter(F.col("size") > crowded)
         if level == 4 or many.isEmpty():
             return out
-        rows = _split(many.join(marks, "node"))
+        rows = _split(many.join(marks.drop("cells"), "node"))

@@ -150,3 +150,19 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert packed.filter("piece = 0").count() == docs.count()
     assert packed.count() == corpus_pipeline.run(spark, SF).count()
+
+
+def test_components_of_a_random_graph(spark):
+    from drivelaws.llm.components import components
+
+    rnd = random.Random(7)
+    edges = [(rnd.randrange(600), rnd.randrange(600)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(40)]
+    reach = list(range(1100))
+    for u, v in edges:
+        low, high = sorted((reach[u], reach[v]))
+        reach = [low if r == high else r for r in reach]
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(6)
+    got = {r["node"]: r["component"] for r in components(frame).collect()}
+    touched = {x for u, v in edges for x in (u, v) if u != v}
+    assert got == {x: reach[x] for x in touched}
+    assert components(frame.filter("false")).count() == 0
