@@ -96,10 +96,14 @@ def fn_study_date(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", S.study_date(text).alias("d"))
 
 
-@query("fn_stamp")
+@query("fn_stamp", "SELECT p_partkey, p_brand, 'study' AS study_title, true AS today, true AS recent, true AS alike FROM part")
 def fn_stamp(spark, sf):
     from drivelaws.operators.merge import stamp_insights, stamp_study
-    return stamp_study(stamp_insights(load(spark, sf, "part").select("p_partkey", "p_brand"), "study"))
+    stamped = stamp_study(stamp_insights(load(spark, sf, "part").select("p_partkey", "p_brand"), "study"))
+    return stamped.select(
+        "p_partkey", "p_brand", "study_title", (F.col("dt") == F.current_date()).alias("today"),
+        F.col("Creation_date").between(F.expr("current_timestamp() - INTERVAL 1 HOUR"), F.expr("current_timestamp() + INTERVAL 1 HOUR")).alias("recent"),
+        (F.col("Creation_date") == F.col("Modification_date")).alias("alike"))
 
 
 @query("fn_minmax_clip", f"""
@@ -161,12 +165,21 @@ def fn_law_cdf(spark, sf):
         sig(cdf(law, F.col("o_totalprice"), law_params(law, *map(F.lit, values)))).alias(law) for law, values in PARAMS.items()))
 
 
-# Shapes at which the gamma and beta functions are evaluated.
-@query("fn_law_gamma_beta")
+# Whole-number shapes have closed distributions. A quantile is checked by putting it back.
+GAMMA_Z = f"({X} / 60000)"
+
+
+@query("fn_law_gamma_beta", f"""
+SELECT o_orderkey, {sqlsig(P, 9)} AS gamma_back, {sqlsig(P, 9)} AS beta_back,
+  {sqlsig(f"1 - exp(-{GAMMA_Z}) * (1 + {GAMMA_Z} + {GAMMA_Z} * {GAMMA_Z} / 2)")} AS gamma_cdf,
+  {sqlsig(f"{P} * {P} * (6 - 8 * {P} + 3 * {P} * {P})")} AS beta_cdf,
+  {sqlsig(f"{GAMMA_Z} * {GAMMA_Z} * exp(-{GAMMA_Z}) / 2 / 60000")} AS gamma_pdf,
+  {sqlsig(f"12 * {P} * (1 - {P}) * (1 - {P})")} AS beta_pdf FROM orders""")
 def fn_law_gamma_beta(spark, sf):
     p = (F.col("o_totalprice") + 1) / 600000.0
-    gamma, beta = law_params("gamma", F.lit(2.5), F.lit(60000.0)), law_params("beta", F.lit(2.0), F.lit(3.5))
+    gamma, beta = law_params("gamma", F.lit(3.0), F.lit(60000.0)), law_params("beta", F.lit(2.0), F.lit(3.0))
     return load(spark, sf, "orders").select(
-        "o_orderkey", sig(ppf("gamma", p, gamma)).alias("gamma_ppf"), sig(ppf("beta", p, beta)).alias("beta_ppf"),
+        "o_orderkey", sig(cdf("gamma", ppf("gamma", p, gamma), gamma), 9).alias("gamma_back"),
+        sig(cdf("beta", ppf("beta", p, beta), beta), 9).alias("beta_back"),
         sig(cdf("gamma", F.col("o_totalprice"), gamma)).alias("gamma_cdf"), sig(cdf("beta", p, beta)).alias("beta_cdf"),
         sig(pdf("gamma", F.col("o_totalprice"), gamma)).alias("gamma_pdf"), sig(pdf("beta", p, beta)).alias("beta_pdf"))

@@ -135,7 +135,7 @@ def test_study_refs(spark):
     titles = ["[pwt ] x", "plain", "", None, "a [B c] [d]", "[]"]
     df = spark.createDataFrame([(t,) for t in titles], "t string")
     got = [r.r for r in df.select(X.study_ref(F.col("t"), F.coalesce("t", F.lit("-"))).alias("r")).collect()]
-    assert [g.rsplit("_", 1)[0] for g in got] == ["PWT", "PFM", "PFM", "PFM", "B C", "PFM"]
+    assert [g.rsplit("_", 1)[0] for g in got] == ["FLEET", "PFM", "PFM", "PFM", "B C", "PFM"]
     assert all(len(g.rsplit("_", 1)[1]) == 6 and g.rsplit("_", 1)[1].isalnum() for g in got)
     again = [r.r for r in df.select(X.study_ref(F.col("t"), F.coalesce("t", F.lit("-"))).alias("r")).collect()]
     loose = {r.r for r in spark.range(200).select(X.study_ref(F.lit("t")).alias("r")).collect()}
