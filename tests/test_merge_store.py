@@ -132,7 +132,7 @@ def test_level_store(spark):
 
 
 def test_study_refs(spark):
-    titles = ["[pwt ] x", "plain", "", None, "a [B c] [d]", "[]"]
+    titles = ["[fleet ] x", "plain", "", None, "a [B c] [d]", "[]"]
     df = spark.createDataFrame([(t,) for t in titles], "t string")
     got = [r.r for r in df.select(X.study_ref(F.col("t"), F.coalesce("t", F.lit("-"))).alias("r")).collect()]
     assert [g.rsplit("_", 1)[0] for g in got] == ["FLEET", "PFM", "PFM", "PFM", "B C", "PFM"]
