@@ -239,9 +239,11 @@ def grouped(docs: DataFrame, key: str, text: str, similar: int, crowded: int) ->
     checked = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     for first_pairs in (FIRST_PAIRS, None):
         rest = _unconnected(told, components(links), crowded, similar, first_pairs)
-        pairs = settle(rest.distinct().join(checked, ["u", "v"], "left_anti"))
+        pairs = settle(rest.select("u", "v").distinct().join(checked, ["u", "v"], "left_anti"))
         checked = checked.unionByName(pairs)
         links = links.unionByName(settle(_confirmed(pairs, sets, similar)))
+        if rest.filter("more").isEmpty():  # nothing is left
+            break
 
     found = components(links)
     labelled = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
@@ -285,10 +287,10 @@ def _split(rows: DataFrame) -> DataFrame:
         run, "node long, n long, component long, band int, bucket long")
 
 
-def _compare(table: pa.Table, similar: int, first_pairs: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _compare(table: pa.Table, similar: int, first_pairs: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of one bucket in different components whose sizes, signatures and histograms allow the similarity.
 
-    With ``first_pairs`` the likeliest of each two components only.
+    With ``first_pairs`` the likeliest of each two components only, and whether there are more.
     """
     node, n, component = (table[c].to_numpy() for c in ("node", "n", "component"))
     marks, us, vs, likely = _marks(table["marks"].combine_chunks()), [], [], []
@@ -310,7 +312,8 @@ def _compare(table: pa.Table, similar: int, first_pairs: int | None) -> tuple[np
             vs.append(b[near])
             likely.append(places[near])
     if not us:
-        return (np.zeros(0, np.int64),) * 2
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    more = False
     a, b, places = np.concatenate(us), np.concatenate(vs), np.concatenate(likely)
     if first_pairs is not None and len(a):
         low, high = np.minimum(component[a], component[b]), np.maximum(component[a], component[b])
@@ -318,20 +321,21 @@ def _compare(table: pa.Table, similar: int, first_pairs: int | None) -> tuple[np
         low, high = low[order], high[order]
         new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
         rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        more = bool((rank >= first_pairs).any())
         order = order[rank < first_pairs]
         a, b = a[order], b[order]
-    return node[a], node[b]
+    return node[a], node[b], more
 
 
 def _compared(rows: DataFrame, similar: int, first_pairs: int | None) -> DataFrame:
-    """``(u, v)`` from ``(bucket, node, n, component, marks, cells)``, each bucket within one task."""
+    """``(u, v, more)`` from ``(bucket, node, n, component, marks, cells)``, each bucket within one task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         last = None
 
         def pairs() -> pa.RecordBatch:
-            u, v = _compare(pa.concat_tables(held), similar, first_pairs)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            u, v, more = _compare(pa.concat_tables(held), similar, first_pairs)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array([more] * len(u), pa.bool_())], ["u", "v", "more"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -348,11 +352,11 @@ def _compared(rows: DataFrame, similar: int, first_pairs: int | None) -> DataFra
             yield pairs()
 
     return rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "node", "n", "component", "marks", "cells").mapInArrow(
-        run, "u long, v long")
+        run, "u long, v long, more boolean")
 
 
 def _unconnected(nodes: DataFrame, found: DataFrame, crowded: int, similar: int, first_pairs: int | None) -> DataFrame:
-    """``(u, v)``: pairs that share a bucket, are in different components and may be similar.
+    """``(u, v, more)``: pairs that share a bucket, are in different components and may be similar.
 
     They are told apart by signature within the bucket's task, so none but likely ones come out. A
     crowded bucket is split by a further band each of its nodes has after the bucket's own: pairs that
@@ -367,7 +371,7 @@ def _unconnected(nodes: DataFrame, found: DataFrame, crowded: int, similar: int,
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high"))
         rows = settle(rows.join(mixed.select("bucket", "size"), "bucket"))
         few = rows if level == 4 else rows.filter(F.col("size") <= crowded)
-        pairs = settle(_compared(few.join(marks, "node"), similar, first_pairs).distinct())
+        pairs = settle(_compared(few.join(marks, "node"), similar, first_pairs).groupBy("u", "v").agg(F.max("more").alias("more")))
         out = pairs if out is None else out.unionByName(pairs)
         many = rows.filter(F.col("size") > crowded)
         if level == 4 or many.isEmpty():
