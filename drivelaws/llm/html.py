@@ -2,7 +2,8 @@
 
 Every page scores its containers by the share of its running text they hold. Paths of tags and
 classes, with numbers taken out, are voted on per host in Spark; the winning path of a host then
-says, on each of its pages, which containers are the article.
+says, on each of its pages, which containers are the article. Without an article element that is the
+deepest path that leaves practically nothing outside.
 """
 
 from __future__ import annotations
@@ -37,6 +38,11 @@ NO_ARTICLE_WORDS = frozenset(
     "copyright disclaimer skip".split())
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 WINNING_SHARE = 0.6
+# A container holds a page if no running text is beside it in the containers around it and of the page's
+# no first heading and no more than this share in other containers; it may win a host if it holds most
+# pages that have it.
+LEFT_OUT = 0.01
+HELD_PAGES = 0.8
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'\"<>]++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+'|['\"])*+)>", re.S)
@@ -66,20 +72,21 @@ def _marks(attributes: str) -> tuple[str, bool]:
     return named, out
 
 
-def read_page(html: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """Blocks of a page in order: path of containers, text, characters within links, in an article or not."""
-    blocks: list[tuple[tuple[str, ...], str, int, bool]] = []
+def read_page(html: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
+    """Blocks of a page in order: path of containers, text, characters within links, in an article or not, an h1 or not."""
+    blocks: list[tuple[tuple[str, ...], str, int, bool, bool]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, step of the path, outside of any article
     path: tuple[str, ...] = ()
     parts: list[str] = []
     linked, link_depth, skipped, at, n = 0, 0, 0, 0, len(html)
+    title = False
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append((path, text, linked, skipped == 0))
+                blocks.append((path, text, linked, skipped == 0, title))
             parts.clear()
         linked = 0
 
@@ -108,6 +115,7 @@ def read_page(html: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             parts.append(" ")
         if name in BLOCKS or name in NO_ARTICLE:
             flush()
+            title = name == "h1" and not closing
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -139,26 +147,36 @@ def read_page(html: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
     return blocks
 
 
-def container_shares(html: str) -> list[tuple[str, float, int, bool]]:
-    """(path, share of the page's running text, depth, is an outermost article or main) of every container."""
+def container_shares(html: str) -> list[tuple[str, float, int, bool, bool]]:
+    """(path, share of the page's running text, depth, is an outermost article or main, holds the page) of every container.
+
+    The page itself is the empty path.
+    """
     held: dict[tuple[str, ...], float] = {}
+    direct: set[tuple[str, ...]] = set()
+    titles: set[tuple[str, ...]] = set()
     total = 0.0
-    for path, text, linked, article in read_page(html):
+    for path, text, linked, article, title in read_page(html):
         weight = max(0, len(text) - 2 * linked) if article else 0
         if weight:
             total += weight
-            for depth in range(1, len(path) + 1):
+            direct.add(path)
+            if title:
+                titles.add(path)
+            for depth in range(len(path) + 1):
                 held[path[:depth]] = held.get(path[:depth], 0.0) + weight
     found = []
     for path, weight in held.items():
         kinds = [re.match(r"[a-z]+", step)[0] in ("article", "main") for step in path]
-        found.append((">".join(path), weight / total, len(path), kinds[-1] and not any(kinds[:-1])))
+        whole = weight >= (1 - LEFT_OUT) * total and not any(path[:depth] in direct for depth in range(len(path)))
+        whole &= all(t[:len(path)] == path for t in titles)
+        found.append((">".join(path), weight / total, len(path), bool(kinds) and kinds[-1] and not any(kinds[:-1]), whole))
     return found
 
 
-def best_path(found: list[tuple[str, float, int, bool]]) -> str | None:
+def best_path(found: list[tuple[str, float, int, bool, bool]]) -> str | None:
     """The path that one page alone would choose, by the rule that hosts use."""
-    fit = [f for f in found if f[1] >= WINNING_SHARE]
+    fit = [f for f in found if f[4] or (f[3] and f[1] >= WINNING_SHARE)]
     return max(fit, key=lambda f: (f[3], f[2], f[1], f[0]))[0] if fit else None
 
 
@@ -169,7 +187,7 @@ def main_text(html: str, winner: str | None) -> str:
         if chosen is None:
             chosen = best_path(container_shares(html))
         steps = tuple(chosen.split(">")) if chosen else ()
-        texts = [text for path, text, _, article in blocks if article and path[:len(steps)] == steps]
+        texts = [text for path, text, _, article, _ in blocks if article and path[:len(steps)] == steps]
         if texts:
             return "\n".join(texts)
     return ""
@@ -182,23 +200,27 @@ def host_of(url: Column) -> Column:
 def host_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """``(host, path)``: the path that wins each host's vote.
 
-    Every page votes with the shares of its containers. Of the paths with ``WINNING_SHARE`` of the
-    best vote an outermost article or main wins, else the deepest; ties go to more votes, then by name.
+    Every page votes with the shares of its containers. An outermost article or main with
+    ``WINNING_SHARE`` of all votes wins, else the deepest path that holds so many of the host's pages
+    and ``HELD_PAGES`` of those that have it, in the end the page itself; ties go to more votes, then by name.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "html"):
             rows = [(h, *v) for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()) for v in container_shares(page)]
-            columns = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "share", "depth", "whole"])
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "share", "depth", "whole", "holds"])
 
     rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), text_of(F.col(f"`{html}`")).alias("html"))
-    each = rows.mapInArrow(run, "host string, path string, share double, depth int, whole boolean")
+    each = rows.mapInArrow(run, "host string, path string, share double, depth int, whole boolean, holds boolean")
     # votes as whole numbers, so that their sum does not depend on the order of rows
     vote = F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes")
-    votes = settle(each.groupBy("host", "path").agg(vote, F.max("depth").alias("depth"), F.max("whole").alias("whole")))
-    top = votes.groupBy("host").agg(F.max("votes").alias("top"))
-    fit = votes.join(top, "host").filter(F.col("votes") >= WINNING_SHARE * F.col("top"))
+    votes = settle(each.groupBy("host", "path").agg(
+        vote, F.max("depth").alias("depth"), F.max("whole").alias("whole"), F.count(F.lit(1)).alias("pages"), F.count_if("holds").alias("held")))
+    top = votes.filter("depth = 0").select("host", F.col("votes").alias("top"), F.col("pages").alias("all_pages"))
+    article = F.col("whole") & (F.col("votes") >= WINNING_SHARE * F.col("top"))
+    held = (F.col("held") >= WINNING_SHARE * F.col("all_pages")) & (F.col("held") >= HELD_PAGES * F.col("pages"))
+    fit = votes.join(top, "host").filter(article | held).withColumn("whole", article)
     return settle(fit.groupBy("host").agg(F.max_by("path", F.struct("whole", "depth", "votes", "path")).alias("path")))
 
 
