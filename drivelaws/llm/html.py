@@ -9,7 +9,7 @@ deepest path that leaves practically nothing outside.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -27,7 +27,7 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 # Elements that are never part of an article.
 NO_ARTICLE = frozenset("head nav footer aside form template noscript dialog button select svg canvas object video audio menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Words in classes and ids, roles, that mark what is around an article.
+# Words in classes and ids (the whole or its leading part), roles, that mark what is around an article.
 NO_ARTICLE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar "
@@ -36,6 +36,8 @@ NO_ARTICLE_WORDS = frozenset(
     "comment comments disqus replies respond reader-comments "
     "share sharing social related recommended recommendations newsletter subscribe signup login search "
     "copyright disclaimer skip".split())
+# Elements whose classes say what a page or an article has beside its text, not what they are.
+UNMARKED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 WINNING_SHARE = 0.6
 # A container holds a page if no running text is beside it in the containers around it and of the page's
@@ -43,6 +45,9 @@ WINNING_SHARE = 0.6
 # pages that have it.
 LEFT_OUT = 0.01
 HELD_PAGES = 0.8
+# A mark by words is overruled where it would discard more than this share of a page's running text, on
+# a host where it would on more than this share of the pages that have it.
+MOST = 0.5
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'\"<>]++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+'|['\"])*+)>", re.S)
@@ -51,11 +56,11 @@ _NAME = re.compile(r"[A-Za-z]+(?:[-_]?[A-Za-z]+)*")
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """What a tag adds to a path, and whether it marks something around an article."""
+def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """What a tag adds to a path, whether it can't be within an article, and whether words say that it isn't."""
     if not attributes or not attributes.strip():
-        return "", False
-    named, out = "", False
+        return "", False, False
+    named, out, said = "", False, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "role":
@@ -66,17 +71,22 @@ def _marks(attributes: str) -> tuple[str, bool]:
             out |= name == "aria-hidden" or value.lower() in ("", "hidden", "true")
         elif name in ("class", "id"):
             words = value.lower().split()
-            out |= any(w in NO_ARTICLE_WORDS or any(part in NO_ARTICLE_WORDS for part in re.split(r"[-_\d]+", w)) for w in words)
+            said |= tag not in UNMARKED and any(w in NO_ARTICLE_WORDS or re.split(r"[-_\d]+", w)[0] in NO_ARTICLE_WORDS for w in words)
             kept = sorted({"".join(c for c in w if not c.isdigit()).strip("-_") for w in words} - {""})
             named += "".join(("." if name == "class" else "#") + w for w in kept)
-    return named, out
+    return named, out, said
 
 
-def read_page(html: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
-    """Blocks of a page in order: path of containers, text, characters within links, in an article or not, an h1 or not."""
-    blocks: list[tuple[tuple[str, ...], str, int, bool, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step of the path, outside of any article
+def read_page(html: str) -> list[tuple[tuple[str, ...], str, int, tuple[str, ...] | None, bool]]:
+    """Blocks of a page in order: path of containers, text, characters within links, marks, an h1 or not.
+
+    Marks are the paths of the elements around a block whose words say that they are in no article, and
+    None within elements that can't be in one.
+    """
+    blocks: list[tuple[tuple[str, ...], str, int, tuple[str, ...] | None, bool]] = []
+    stack: list[tuple[str, str, bool, str]] = []  # tag, step of the path, outside of any article, path if marked by words
     path: tuple[str, ...] = ()
+    marks: tuple[str, ...] = ()
     parts: list[str] = []
     linked, link_depth, skipped, at, n = 0, 0, 0, 0, len(html)
     title = False
@@ -86,7 +96,7 @@ def read_page(html: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append((path, text, linked, skipped == 0, title))
+                blocks.append((path, text, linked, None if skipped else marks, title))
             parts.clear()
         linked = 0
 
@@ -121,7 +131,7 @@ def read_page(html: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
                 if stack[i][0] == name:
                     skipped -= sum(s[2] for s in stack[i:])
                     del stack[i:]
-                    path = tuple(s[1] for s in stack if s[1])
+                    path, marks = tuple(s[1] for s in stack if s[1]), tuple(s[3] for s in stack if s[3])
                     break
             continue
         if name in RAW:
@@ -130,34 +140,60 @@ def read_page(html: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
             continue
         if name in VOID or found[3].endswith("/"):
             continue
-        step, out = _marks(found[3])
+        step, out, said = _marks(name, found[3])
         inside = any(s[0] in ("article", "main") for s in stack)
         out |= name in NO_ARTICLE or (name == "header" and not inside)
-        if name in CONTAINERS or out:
+        if name in CONTAINERS or out or said:
             # what begins a page part ends open links
             if name in ("body", "main", "article"):
                 link_depth = 0
                 if name == "body":
                     skipped -= sum(s[2] for s in stack)
                     stack.clear()
-            stack.append((name, name + step if name in CONTAINERS else "", out))
-            skipped += out
             path = tuple(s[1] for s in stack if s[1])
+            stack.append((name, name + step if name in CONTAINERS else "", out, ">".join((*path, name + step)) if said else ""))
+            skipped += out
+            path, marks = tuple(s[1] for s in stack if s[1]), tuple(s[3] for s in stack if s[3])
     flush()
     return blocks
 
 
-def container_shares(html: str) -> list[tuple[str, float, int, bool, bool]]:
+def _weight(text: str, linked: int) -> int:
+    """Characters of running text."""
+    return max(0, len(text) - 2 * linked)
+
+
+def mark_shares(blocks: list[tuple]) -> dict[str, float]:
+    """The share of a page's running text that each mark would discard; of its article's, if it has one and that is less."""
+    held: dict[str, list[float]] = {}
+    totals = [0.0, 0.0]
+    for path, text, linked, marks, _ in blocks:
+        weight = _weight(text, linked) if marks is not None else 0
+        inside = weight if any(re.match(r"[a-z]+", step)[0] in ("article", "main") for step in path) else 0
+        totals = [totals[0] + weight, totals[1] + inside]
+        for mark in set(marks or ()) if weight else ():
+            of = held.setdefault(mark, [0.0, 0.0])
+            of[0] += weight
+            of[1] += inside
+    return {mark: min(w / t for w, t in zip(of, totals) if t) for mark, of in held.items()}
+
+
+def overruled(blocks: list[tuple]) -> set[str]:
+    """The marks that one page alone would overrule: those that would discard most of its running text."""
+    return {mark for mark, share in mark_shares(blocks).items() if share > MOST}
+
+
+def container_shares(blocks: list[tuple], free: Collection[str]) -> list[tuple[str, float, int, bool, bool]]:
     """(path, share of the page's running text, depth, is an outermost article or main, holds the page) of every container.
 
-    The page itself is the empty path.
+    The page itself is the empty path. ``free`` are the marks that don't count.
     """
     held: dict[tuple[str, ...], float] = {}
     direct: set[tuple[str, ...]] = set()
     titles: set[tuple[str, ...]] = set()
     total = 0.0
-    for path, text, linked, article, title in read_page(html):
-        weight = max(0, len(text) - 2 * linked) if article else 0
+    for path, text, linked, marks, title in blocks:
+        weight = _weight(text, linked) if marks is not None and all(m in free for m in marks) else 0
         if weight:
             total += weight
             direct.add(path)
@@ -180,14 +216,16 @@ def best_path(found: list[tuple[str, float, int, bool, bool]]) -> str | None:
     return max(fit, key=lambda f: (f[3], f[2], f[1], f[0]))[0] if fit else None
 
 
-def main_text(html: str, winner: str | None) -> str:
+def main_text(html: str, winner: str | None, free: Collection[str] = ()) -> str:
     """The blocks below the winning path; where the page has no such container, below its own best one."""
     blocks = read_page(html)
     for chosen in (winner, None):
         if chosen is None:
-            chosen = best_path(container_shares(html))
+            free = overruled(blocks)
+            chosen = best_path(container_shares(blocks, free))
         steps = tuple(chosen.split(">")) if chosen else ()
-        texts = [text for path, text, _, article, _ in blocks if article and path[:len(steps)] == steps]
+        texts = [text for path, text, _, marks, _ in blocks
+                 if marks is not None and all(m in free for m in marks) and path[:len(steps)] == steps]
         if texts:
             return "\n".join(texts)
     return ""
@@ -198,7 +236,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """``(host, path)``: the path that wins each host's vote.
+    """``(host, path, free)``: the path that wins each host's vote, and the marks that its pages overrule.
 
     Every page votes with the shares of its containers. An outermost article or main with
     ``WINNING_SHARE`` of all votes wins, else the deepest path that holds so many of the host's pages
@@ -206,22 +244,31 @@ def host_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "html"):
-            rows = [(h, *v) for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()) for v in container_shares(page)]
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "share", "depth", "whole", "holds"])
+            rows = []
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+                blocks = read_page(page)
+                rows += [(host, False, *v) for v in container_shares(blocks, overruled(blocks))]
+                rows += [(host, True, mark, share, 0, False, share > MOST) for mark, share in mark_shares(blocks).items()]
+            columns = list(zip(*rows)) or [[]] * 7
+            kinds = (pa.string(), pa.bool_(), pa.string(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "mark", "path", "share", "depth", "whole", "holds"])
 
     rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), text_of(F.col(f"`{html}`")).alias("html"))
-    each = rows.mapInArrow(run, "host string, path string, share double, depth int, whole boolean, holds boolean")
+    each = rows.mapInArrow(run, "host string, mark boolean, path string, share double, depth int, whole boolean, holds boolean")
     # votes as whole numbers, so that their sum does not depend on the order of rows
     vote = F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes")
-    votes = settle(each.groupBy("host", "path").agg(
+    votes = settle(each.groupBy("host", "mark", "path").agg(
         vote, F.max("depth").alias("depth"), F.max("whole").alias("whole"), F.count(F.lit(1)).alias("pages"), F.count_if("holds").alias("held")))
-    top = votes.filter("depth = 0").select("host", F.col("votes").alias("top"), F.col("pages").alias("all_pages"))
+    paths = votes.filter("not mark")
+    top = paths.filter("depth = 0").select("host", F.col("votes").alias("top"), F.col("pages").alias("all_pages"))
     article = F.col("whole") & (F.col("votes") >= WINNING_SHARE * F.col("top"))
     held = (F.col("held") >= WINNING_SHARE * F.col("all_pages")) & (F.col("held") >= HELD_PAGES * F.col("pages"))
-    fit = votes.join(top, "host").filter(article | held).withColumn("whole", article)
-    return settle(fit.groupBy("host").agg(F.max_by("path", F.struct("whole", "depth", "votes", "path")).alias("path")))
+    fit = paths.join(top, "host").filter(article | held).withColumn("whole", article)
+    won = fit.groupBy("host").agg(F.max_by("path", F.struct("whole", "depth", "votes", "path")).alias("path"))
+    free = votes.filter(F.col("mark") & (F.col("held") > MOST * F.col("pages"))).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("free"))
+    none = F.array().cast("array<string>")
+    return settle(won.join(free, "host", "left").withColumn("free", F.coalesce("free", none)))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text") -> DataFrame:
@@ -236,14 +283,15 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str =
         F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), text_of(F.col(f"`{html}`")).alias("html"),
         host_of(F.col(f"`{url}`")).alias("host"))
     # hosts without any text have no winner; a left join would keep them, so they get a row of their own
-    named = rows.join(winners.select("host"), "host", "left_anti").select("host").distinct().withColumn("path", F.lit(None).cast("string"))
+    named = rows.join(winners.select("host"), "host", "left_anti").select("host").distinct().select(
+        "host", F.lit(None).cast("string").alias("path"), F.array().cast("array<string>").alias("free"))
     joined = attach(rows, settle(winners.unionByName(named)), ["host"])
     row_type = rows.schema["__row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "html"):
-            texts = [main_text(h, p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist())]
+            texts = [main_text(*page) for page in zip(*(batch.column(c).to_pylist() for c in ("html", "path", "free")))]
             yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string())], ["__row", "__text"])
 
-    done = joined.select("__row", "html", "path").mapInArrow(run, f"__row {row_type}, __text string")
+    done = joined.select("__row", "html", "path", "free").mapInArrow(run, f"__row {row_type}, __text string")
     return done.select(*(F.col("__row")[c].alias(c) for c in columns), F.col("__text").alias(text))

@@ -26,3 +26,24 @@ def test_no_part_of_a_post_of_divs_and_sections_is_lost(spark):
         for pages in ([page], [page] * 4):
             got = texts(spark, pages)
             assert all(len(t) == parts[name] and "menu" not in t for t in got.values()), name
+
+
+def test_words_in_classes_mark_only_what_they_name(spark):
+    story = f"<h1 class=entry-header>Title</h1><p>{BODY}</p>"
+    around = "<div class=sidebar-left><p>beside</p></div><div id=comments><p>I say</p></div>"
+    shells = [
+        "<body class='single has-sidebar'><div class=a>{}</div>{}</body>",
+        "<body><article class='post no-comments'>{}</article>{}</body>",
+        "<body class=search><main class=related>{}</main>{}</body>",
+        "<body><div class=content-with-sidebar>{}</div>{}</body>",
+        "<body><div class=search-results>{}</div>{}</body>",  # named so, but most of the text: overruled by the vote
+    ]
+    for shell in shells:
+        got = texts(spark, [shell.format(story, around)] * 3)
+        assert set(map(tuple, got.values())) == {("Title", BODY.strip())}, shell
+
+
+def test_a_long_thread_of_comments_on_one_page_is_no_vote(spark):
+    page = "<body><div class=a><p>" + BODY + "</p></div><div class=comments><p>{}</p></div></body>"
+    got = texts(spark, [page.format("short")] * 4 + [page.format("I say " * 900)])
+    assert set(map(tuple, got.values())) == {(BODY.strip(),)}
