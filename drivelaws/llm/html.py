@@ -49,13 +49,37 @@ HELD_PAGES = 0.8
 # a host where it would on more than this share of the pages that have it.
 MOST = 0.5
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'\"<>]++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+'|['\"])*+)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)", re.S)
+_PLAIN = re.compile(r"[^'\"<>]*+")
+_ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[A-Za-z]+(?:[-_]?[A-Za-z]+)*")
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
+def _tag_end(html: str, at: int, failed: set[int]) -> int:
+    """Where the tag whose attributes begin at ``at`` has its closing >, or -1 if it has none.
+
+    A quote mark opens a value only after =, and is one character if it is never closed. ``failed``
+    holds the quotes at which a value was opened in vain, so that none is followed twice.
+    """
+    opened = []
+    while True:
+        at = _PLAIN.match(html, at).end()
+        if at == len(html) or html[at] == "<" or at in failed:
+            failed.update(opened)
+            return -1
+        if html[at] == ">":
+            return at
+        before = at - 1
+        while html[before].isspace():
+            before -= 1
+        if html[before] == "=":
+            opened.append(at)
+            end = html.find(html[at], at + 1)
+            at = end if end >= 0 else at
+        at += 1
+
+
 def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """What a tag adds to a path, whether it can't be within an article, and whether words say that it isn't."""
     if not attributes or not attributes.strip():
@@ -69,7 +93,7 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
             out |= "display:none" in value.replace(" ", "").lower()
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             out |= name == "aria-hidden" or value.lower() in ("", "hidden", "true")
-        elif name in ("class", "id"):
+        elif value and name in ("class", "id"):
             words = value.lower().split()
             said |= tag not in UNMARKED and any(w in NO_ARTICLE_WORDS or re.split(r"[-_\d]+", w)[0] in NO_ARTICLE_WORDS for w in words)
             kept = sorted({"".join(c for c in w if not c.isdigit()).strip("-_") for w in words} - {""})
@@ -107,17 +131,21 @@ def read_page(html: str) -> list[tuple[tuple[str, ...], str, int, tuple[str, ...
         if link_depth:
             linked += len(text.strip())
 
+    failed: set[int] = set()
     while at < n:
-        found = _TAG.search(html, at)
+        found, end = _TAG.search(html, at), -1
+        while found and found[2] and (end := _tag_end(html, found.end(), failed)) < 0:
+            found = _TAG.search(html, found.end())
         if not found:
             say(html[at:])
             break
         if found.start() > at:
             say(html[at:found.start()])
-        at = found.end()
         name = found[2]
         if name is None:
+            at = found.end()
             continue
+        attributes, at = html[found.end():end], end + 1
         name, closing = name.lower(), found[1]
         if name == "a":
             link_depth = max(0, link_depth + (-1 if closing else 1))
@@ -138,9 +166,9 @@ def read_page(html: str) -> list[tuple[tuple[str, ...], str, int, tuple[str, ...
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        if name in VOID or found[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
-        step, out, said = _marks(name, found[3])
+        step, out, said = _marks(name, attributes)
         inside = any(s[0] in ("article", "main") for s in stack)
         out |= name in NO_ARTICLE or (name == "header" and not inside)
         if name in CONTAINERS or out or said:

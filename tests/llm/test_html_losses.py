@@ -1,5 +1,7 @@
 """Pages without an article element, on which every part of the article has to stay."""
 
+import time
+
 from drivelaws.llm import html
 
 LEAD, BODY = "lead " * 70, "story " * 110
@@ -47,3 +49,19 @@ def test_a_long_thread_of_comments_on_one_page_is_no_vote(spark):
     page = "<body><div class=a><p>" + BODY + "</p></div><div class=comments><p>{}</p></div></body>"
     got = texts(spark, [page.format("short")] * 4 + [page.format("I say " * 900)])
     assert set(map(tuple, got.values())) == {(BODY.strip(),)}
+
+
+def test_quoted_values_of_any_length_stay_in_their_tag():
+    for n in (10, 500, 35_000, 2_000_000):
+        for quote in "\"'":
+            value = ("<p class=ad>x y=1 >" * n)[:n]
+            page = f"<body><div data-props = {quote}{value}{quote} class=a><p>hello</p></div></body>"
+            assert html.main_text(page, None) == "hello"
+    assert html.main_text("<div><p title=don't>it's <b class='x'>so</b></p></div>", None) == "it's so"
+
+
+def test_unclosed_quotes_take_linear_time():
+    start = time.time()
+    for unit in ("<a b=\"", "<a b='", "<a b=\"<a b='\"' c", "\"<a ='\"' =", "<a b=\"\" c='", "<"):
+        html.read_page("<a =" + unit * 100_000)
+    assert time.time() - start < 20
