@@ -142,7 +142,8 @@ def percentiles(rows: DataFrame, ps: Sequence[float] = CUSTOMER_PS, by: Sequence
         *by, "n", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), F.lit(0).cast("long").alias("start"),
         F.col("n").alias("size"), _ranks(F.col("n"), ps).alias("ranks"))
     brackets = brackets.withColumns({c: F.greatest(F.least(c, F.lit(LARGEST)), F.lit(-LARGEST)) for c in ("lo", "hi")})
-    if brackets.filter(much).isEmpty():
+    # a large group of equal values is known without its rows, which must not be gathered
+    if brackets.filter(F.col("size") > gather).isEmpty():
         ordered = rows.groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("values"))
         return ordered.select(*by, _interpolate(F.size("values"), lambda r: told(F.col("values")[r.cast("int")]), ps).alias("pct"))
     while True:
