@@ -7,6 +7,7 @@ Bands of the signature propose pairs, full sets confirm them, components group t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ SHINGLE = 5
 SIMILAR = 75  # percent
 ROWS, BANDS = 4, 40
 PLACES = ROWS * BANDS
-# Buckets with more texts than this, not yet in one component, are split by further bands.
+# Buckets with more texts than this, not yet in one component, are cut into blocks of about so many.
 CROWDED = 2000
 CELLS = 1024
 # Of the pairs of two components in a bucket so many are confirmed first: one link makes the others needless.
@@ -269,36 +270,50 @@ def _banded(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "node long, n long, band int, bucket long")
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """Crowded buckets taken apart by every band after their own."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
-                keys, band = band_keys(_marks(part.column("marks"))), part.column("band").to_numpy()
-                i, j = np.nonzero(np.arange(keys.shape[1])[None, :] > band[:, None])
-                bucket = mix(part.column("bucket").to_numpy().view(np.uint64)[i] * np.uint64(BASE) + keys[i, j])
-                take = pa.array(i)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node").take(take), part.column("n").take(take), part.column("component").take(take),
-                     pa.array(j.astype(np.int32)), pa.array(bucket.view(np.int64))], ["node", "n", "component", "band", "bucket"])
+def _blocks(rows: DataFrame, crowded: int, similar: int) -> DataFrame:
+    """``(bucket, node, n, component, part)``: crowded buckets as pairs of blocks, each a bucket of its own.
 
-    return rows.select("node", "n", "component", "band", "bucket", "marks").mapInArrow(
-        run, "node long, n long, component long, band int, bucket long")
+    A bucket is cut by its largest component and the rest, by classes of size, and these by hash into
+    blocks. Every two blocks meet, and each with itself, unless both are of the largest component or no
+    size of one allows the similarity with a size of the other. All counts are partial sums.
+    """
+    base = max(1.05, 100 / max(similar, 1))
+    each = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = settle(each.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top")).select("bucket", F.col("top.component").alias("largest")))
+    classed = settle(rows.join(largest, "bucket").select(
+        "bucket", "node", "n", "component", (F.col("component") != F.col("largest")).alias("rest"),
+        F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(base))).cast("int").alias("class")))
+    by = ["bucket", "rest", "class"]
+    groups = settle(classed.groupBy(*by).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(crowded)).cast("int").alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high")))
+    every = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = F.struct("rest", "class", "block").alias("one")
+    a, b = every.select("bucket", held, "low", "high"), every.select("bucket", held.alias("two"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    meet = (F.col("one") <= F.col("two")) & (F.col("one.rest") | F.col("two.rest"))
+    meet &= (100 * F.col("high") >= similar * F.col("low2")) & (100 * F.col("high2") >= similar * F.col("low"))
+    met = settle(a.join(b, "bucket").filter(meet).select("bucket", "one", "two", F.xxhash64("bucket", "one", "two").alias("task")))
+    alone = F.col("one") == F.col("two")
+    members = met.select("bucket", F.col("one").alias("at"), "task", F.when(alone, -1).otherwise(0).alias("part")).unionByName(
+        met.filter(~alone).select("bucket", F.col("two").alias("at"), "task", F.lit(1).alias("part")))
+    members = settle(members.select("bucket", "at.*", "task", "part"))
+    placed = settle(classed.join(groups.select(*by, "blocks"), by).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")).drop("blocks"))
+    return placed.join(members, [*by, "block"]).select(F.col("task").alias("bucket"), "node", "n", "component", "part")
 
 
 def _compare(table: pa.Table, similar: int, first_pairs: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of one bucket in different components whose sizes, signatures and histograms allow the similarity.
+    """Pairs of one bucket (of its two parts, if it has them) in different components whose sizes, signatures and histograms allow the similarity.
 
     With ``first_pairs`` the likeliest of each two components only, and whether there are more.
     """
-    node, n, component = (table[c].to_numpy() for c in ("node", "n", "component"))
+    node, n, component, part = (table[c].to_numpy() for c in ("node", "n", "component", "part"))
     marks, us, vs, likely = _marks(table["marks"].combine_chunks()), [], [], []
     cells = np.frombuffer(b"".join(x.as_py() for x in table["cells"].combine_chunks()), np.uint8).reshape(-1, CELLS)
     full = (cells == 255).any(1)
     for first in range(0, len(node), 32):
         rows = slice(first, first + 32)
         open_ = (component[rows, None] != component[None, :]) & (node[rows, None] < node[None, :])
+        open_ &= (part[rows, None] != part[None, :]) | (part[rows, None] < 0)
         open_ &= 100 * np.minimum(n[rows, None], n[None, :]) >= similar * np.maximum(n[rows, None], n[None, :])
         i, j = np.nonzero(open_)
         for k in range(0, len(i), 20_000):
@@ -328,7 +343,7 @@ def _compare(table: pa.Table, similar: int, first_pairs: int | None) -> tuple[np
 
 
 def _compared(rows: DataFrame, similar: int, first_pairs: int | None) -> DataFrame:
-    """``(u, v, more)`` from ``(bucket, node, n, component, marks, cells)``, each bucket within one task."""
+    """``(u, v, more)`` from ``(bucket, node, n, component, part, marks, cells)``, each bucket within one task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         last = None
@@ -351,7 +366,8 @@ def _compared(rows: DataFrame, similar: int, first_pairs: int | None) -> DataFra
         if held:
             yield pairs()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "node", "n", "component", "marks", "cells").mapInArrow(
+    return rows.repartition("bucket").sortWithinPartitions("bucket").select(
+        "bucket", "node", "n", "component", "part", "marks", "cells").mapInArrow(
         run, "u long, v long, more boolean")
 
 
@@ -359,21 +375,16 @@ def _unconnected(nodes: DataFrame, found: DataFrame, crowded: int, similar: int,
     """``(u, v, more)``: pairs that share a bucket, are in different components and may be similar.
 
     They are told apart by signature within the bucket's task, so none but likely ones come out. A
-    crowded bucket is split by a further band each of its nodes has after the bucket's own: pairs that
-    are similar share about a third of all bands, so they meet again in one of the parts.
+    crowded bucket is cut into blocks, of which every two that may hold such a pair meet in a task.
     """
     joined = settle(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     marks = joined.select("node", "marks", "cells")
     rows = _banded(joined.select("node", "n", "marks")).join(joined.select("node", "component"), "node")
-    out = None
-    for level in range(5):
-        mixed = settle(rows.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high"))
-        rows = settle(rows.join(mixed.select("bucket", "size"), "bucket"))
-        few = rows if level == 4 else rows.filter(F.col("size") <= crowded)
-        pairs = settle(_compared(few.join(marks, "node"), similar, first_pairs).groupBy("u", "v").agg(F.max("more").alias("more")))
-        out = pairs if out is None else out.unionByName(pairs)
-        many = rows.filter(F.col("size") > crowded)
-        if level == 4 or many.isEmpty():
-            return out
-        rows = _split(many.join(marks.drop("cells"), "node"))
+    mixed = settle(rows.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high"))
+    rows = settle(rows.join(mixed.select("bucket", "size"), "bucket"))
+    few = rows.filter(F.col("size") <= crowded).select("bucket", "node", "n", "component", F.lit(-1).alias("part"))
+    many = rows.filter(F.col("size") > crowded)
+    if not many.isEmpty():
+        few = few.unionByName(settle(_blocks(many, crowded, similar)))
+    return settle(_compared(few.join(marks, "node"), similar, first_pairs).groupBy("u", "v").agg(F.max("more").alias("more")))
