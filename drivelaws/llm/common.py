@@ -8,6 +8,7 @@ import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,3 +112,40 @@ def worker_state(name: str, make: Callable[[], object]):
     if not hasattr(home, name):
         setattr(home, name, make())
     return getattr(home, name)
+
+
+def crowded_cells(rows: DataFrame, cell: str, most: int) -> DataFrame | None:
+    """``(cell, blocks)`` of the cells with more than ``most`` rows, settled; none if there are none."""
+    counts = rows.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    crowd = settle(counts.select(cell, F.ceil(F.col("n") / F.lit(most)).cast("int").alias("blocks")))
+    return None if crowd.isEmpty() else crowd
+
+
+def with_blocks(rows: DataFrame, crowd: DataFrame, cell: str) -> DataFrame:
+    """The rows with the number of blocks of their cell (1 if it is not crowded)."""
+    small = size_of(rows.sparkSession, crowd) <= BROADCAST_BYTES
+    return rows.join(F.broadcast(crowd) if small else crowd, cell, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
+def block_of(*columns: str) -> Column:
+    """A block below ``blocks``, dealt by the columns."""
+    return F.pmod(F.xxhash64(*columns), F.col("blocks").cast("long")).cast("int")
+
+
+def in_groups(batches: Iterable[pa.RecordBatch], group: str, least: int = 10_000) -> Iterator[pa.Table]:
+    """Sorted rows in tables of whole groups, of ``least`` rows or more but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(group).to_numpy()
+        change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if held and held[-1].column(group)[-1].as_py() != keys[0]:
+            change = np.append(0, change)
+        full = sum(b.num_rows for b in held)
+        if len(change) and full + change[-1] >= least:
+            yield pa.Table.from_batches([*held, batch.slice(0, change[-1])])
+            held, batch = [], batch.slice(change[-1])
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)

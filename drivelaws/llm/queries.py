@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html, lm, minhash, mixing, packing, quality, secrets, suffix, topk
+from . import classifier, html, lexical, lm, minhash, mixing, packing, quality, secrets, simhash, spelling, suffix, topk
 from .common import table
 from .sql import SQL
 
@@ -92,3 +92,18 @@ def op6_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 def op3_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     left = suffix.remove_repeats(table(spark, sf, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=20)
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .lexical import LOWER, TERM, UPPER
 from .lm import BIGRAM, BIGRAMS, UNIFORM, UNIGRAM, VOCABULARY
 from .mixing import MOST_COPIES, SEED
 from .quality import GRAM_LIMITS, LEAST_WORDS, LINE_LIMIT, REPEAT_LIMIT
@@ -182,3 +183,70 @@ SQL["op6_lm_scoring"] = rf"""
     SELECT doc_id, len(any_value(words)) AS n_tokens, round(coalesce(avg(target), 0), 6) AS target_loss,
         round(coalesce(avg(background), 0), 6) AS background_loss, round(coalesce(avg(target - background), 0), 6) AS score
     FROM listed LEFT JOIN losses USING (doc_id) GROUP BY doc_id"""
+
+
+SQL["op12_lexical_search"] = rf"""
+WITH spoken AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM documents),
+asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark),
+sizes AS (SELECT doc_id, count(*) AS n FROM spoken GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM spoken SEMI JOIN asked USING (term) GROUP BY doc_id, term),
+weighed AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counted, whole GROUP BY term, docs),
+held AS (
+    SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // words)))) AS value
+    FROM counted JOIN weighed USING (term) JOIN sizes USING (doc_id), whole),
+scored AS (
+    SELECT item_id, doc_id, sum(value)::BIGINT AS score FROM asked JOIN held USING (term) GROUP BY item_id, doc_id),
+placed AS (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+
+# crc32 by its table of bytes, which follows from the polynomial
+SQL["op13_spelling_variants"] = r"""
+WITH RECURSIVE steps AS (
+    SELECT range AS byte, range::UBIGINT AS c, 0 AS i FROM range(256)
+    UNION ALL
+    SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, i + 1 FROM steps WHERE i < 8),
+crc AS (SELECT list(c ORDER BY byte) AS of_byte FROM steps WHERE i = 8),
+runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+spoken AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+coded AS (
+    SELECT run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+        lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::UBIGINT] ELSE [195::UBIGINT, (unicode(x) - 64)::UBIGINT] END)) AS bytes
+    FROM spoken),
+hashed AS (
+    SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes),
+        lambda c, b: xor(c >> 8, of_byte[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS h
+    FROM coded, crc),
+said AS (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n
+    FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM said WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS (
+    SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+        CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+    FROM words LEFT JOIN best USING (word)),
+climbed AS (
+    SELECT word, word AS top, 0 AS step FROM formed
+    UNION ALL
+    SELECT c.word, f.form, step + 1 FROM climbed c JOIN formed f ON c.top = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(top, step) AS root FROM climbed GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
