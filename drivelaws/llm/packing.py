@@ -25,64 +25,107 @@ END_ID = 0
 NEARLY_FULL = 2
 FAN_IN = 8
 ITEMS_PER_TASK = 250_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 600_000
 PIECE = "struct<key:bigint,piece:int,start:bigint,length:bigint,crc:bigint>"
 
-# The tokenizer drops white space before it merges, so a text's ids are those of its words in turn.
+# The tokenizer folds case and drops white space before it merges, so a text's ids are those of its words in turn.
 _WORD = re.compile(r"[^ \t\n\r]+")
+# White space to str.split, which is faster, but not here.
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# A full stop or comma between a letter and white space is a part of its own to the tokenizer.
+_STOP = re.compile(r"[.,](?=[ \t\n\r]|$)(?<=[a-zß-öø-ÿ][.,])")
+_SPECIAL = "<|"
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+WORD_END = "</w>"
+
+
+class Generation:
+    """Words and their ids, one array for all."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.starts, self.counts, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+
+    def add(self, words: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
+        known = len(self.index)
+        self.starts = _room(self.starts, known + len(words))
+        self.counts = _room(self.counts, known + len(words))
+        self.ids = _room(self.ids, self.used + len(flat))
+        self.starts[known:known + len(words)] = self.used + np.cumsum(counts) - counts
+        self.counts[known:known + len(words)] = counts
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.index.update(zip(words, range(known, known + len(words))))
+
+    def gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all in turn."""
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        counts = self.counts[at]
+        before = np.cumsum(counts) - counts
+        return counts, self.ids[np.repeat(self.starts[at] - before, counts) + np.arange(int(counts.sum()))]
+
+
+def split_words(text: str) -> list[str]:
+    """The words, stops apart, A to Z lower-cased unless the text may name special tokens, which are told by case."""
+    if _SPECIAL not in text:
+        text = _STOP.sub(r" \g<0>", text.encode().translate(_LOWER).decode())
+    return _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
 class WordIds:
-    """Ids of words, each tokenized once as long as the cache holds it."""
+    """Ids of words in two generations: what is asked for moves to the young one, and when that is full the old one goes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts, self.counts, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.young, self.old = Generation(), Generation()
+        names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
 
     def learn(self, words: list[str]) -> None:
-        if len(self.index) + len(words) > CACHED_WORDS:
-            self.clear()
+        """Words of letters, with or without a full stop or comma, go as one text; others one by one."""
+        ends, rest = [], []
+        for w in words:
+            if w.isalpha():
+                ends.append((w, 1))
+            elif w[-1] in ".," and w[:-1].isalpha():
+                ends.append((w, 2))
+            else:
+                rest.append(w)
+        for first in range(0, len(ends), 1000):
+            self._learn_together(*map(list, zip(*ends[first:first + 1000])))
+        self._learn_each(rest)
+
+    def _learn_together(self, words: list[str], ends: list[int]) -> None:
+        """One text, cut where its words end; no part ends once more if there are as many ends as expected, and none ends less often."""
+        flat = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        found = np.flatnonzero(self.ends_word[flat])
+        last = np.cumsum(ends)
+        if len(found) == last[-1]:
+            self.young.add(words, np.diff(found[last - 1], prepend=-1), flat)
+        else:
+            self._learn_each(words)
+
+    def _learn_each(self, words: list[str]) -> None:
         for first in range(0, len(words), 20_000):
             part = words[first:first + 20_000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             counts = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
-            known = len(self.index)
-            self.starts = _room(self.starts, known + len(part))
-            self.counts = _room(self.counts, known + len(part))
-            self.ids = _room(self.ids, self.used + len(flat))
-            self.starts[known:known + len(part)] = self.used + np.cumsum(counts) - counts
-            self.counts[known:known + len(part)] = counts
-            self.ids[self.used:self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.index.update(zip(part, range(known, known + len(part))))
+            self.young.add(part, counts, np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_WORD.findall(t) for t in texts]
-        fresh = set().union(*split).difference(self.index)
-        if fresh:
-            if len(self.index) + len(fresh) > CACHED_WORDS:
-                self.clear()
-                fresh = set().union(*split)
-            self.learn(sorted(fresh))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            counts = self.counts[at]
-            total = int(counts.sum())
-            before = np.cumsum(counts) - counts
-            ids = np.empty(total + 1, np.uint32)
-            ids[:-1] = self.ids[np.repeat(self.starts[at] - before, counts) + np.arange(total)]
-            ids[-1] = END_ID
-            out.append(ids)
-        return out
+        split = [split_words(t) for t in texts]
+        every = set().union(*split)
+        fresh = every.difference(self.young.index)
+        if len(self.young.index) + len(fresh) > self.most // 2:
+            self.old, self.young, fresh = self.young, Generation(), every
+        known = sorted(fresh.intersection(self.old.index))
+        self.young.add(known, *self.old.gather(known))
+        self.learn(sorted(fresh.difference(known)))
+        return [np.append(self.young.gather(words)[1], np.uint32(END_ID)) for words in split]
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
