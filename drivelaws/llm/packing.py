@@ -10,6 +10,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,13 +58,16 @@ class Generation:
         self.used += len(flat)
         self.index.update(zip(words, range(known, known + len(words))))
 
-    def gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each word has, and the ids of all in turn."""
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids the words at these places have, and the ids of all in turn."""
         counts = self.counts[at]
         before = np.cumsum(counts) - counts
         return counts, self.ids[np.repeat(self.starts[at] - before, counts) + np.arange(int(counts.sum()))]
 
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the words are; -1 for one not held."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+
 
 def split_words(text: str) -> list[str]:
     """The words, stops apart, A to Z lower-cased unless the text may name special tokens, which are told by case."""
@@ -118,14 +122,19 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [split_words(t) for t in texts]
-        every = set().union(*split)
-        fresh = every.difference(self.young.index)
+        words = list(chain.from_iterable(split))
+        at = self.young.places(words)
+        missing = np.flatnonzero(at < 0).tolist()
+        fresh = {words[i] for i in missing}
         if len(self.young.index) + len(fresh) > self.most // 2:
-            self.old, self.young, fresh = self.young, Generation(), every
+            self.old, self.young, missing, fresh = self.young, Generation(), list(range(len(words))), set(words)
         known = sorted(fresh.intersection(self.old.index))
-        self.young.add(known, *self.old.gather(known))
+        self.young.add(known, *self.old.gather(self.old.places(known)))
         self.learn(sorted(fresh.difference(known)))
-        return [np.append(self.young.gather(words)[1], np.uint32(END_ID)) for words in split]
+        at[missing] = self.young.places([words[i] for i in missing])
+        counts, ids = self.young.gather(at)
+        upto = np.append(0, np.cumsum(counts))[np.cumsum([0, *map(len, split)])].tolist()
+        return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(upto[:-1], upto[1:])]
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
