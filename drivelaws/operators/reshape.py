@@ -1,14 +1,18 @@
 """Scalar, map and matrix criteria to long tables and back.
 
-A cell is a scalar or JSON text. It is parsed once, to a variant, and its levels are opened as rows
+A cell is a scalar or JSON text. It is parsed to a variant, and its levels are opened as rows
 one after the other: a branch of another depth never spoils its neighbours, and no matrix is held
-as a whole beyond its own text.
+as a whole beyond its own text. Objects that are no strict JSON, for a bare NaN or a repeated key, take
+a branch of the plan of their own, so no other cell pays for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,59 +71,64 @@ def _text(df: DataFrame, name: str) -> Column:
     return F.to_json(column) if isinstance(kind, (T.MapType, T.StructType)) else column.cast("string")
 
 
-# Levels of an object that are read even where the text is no strict JSON.
-LENIENT_LEVELS = 4
+class _Number(str):
+    """A number's own text."""
 
 
-def _entries(text: Column) -> Column:
-    """Entries of an object's text, of a repeated key the last; bare NaN and Infinity are allowed. Null if it is none."""
-    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowNonNumericNumbers": "true", "allowSingleQuotes": "false"})
-    entries = F.map_entries(F.when(F.size(listed) == 1, listed[0]))
-    keys = F.transform(entries, lambda e: e["key"])
-    return F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+def _strict_json(value) -> str:
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{_strict_json(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_strict_json, value)) + "]"
+    return str(value) if isinstance(value, _Number) else json.dumps(value)
+
+
+@F.pandas_udf(T.StringType())
+def lenient_text(cells: pd.Series) -> pd.Series:
+    """Objects with bare NaN or Infinity (then text) or repeated keys (the last counts) as strict JSON; null if none.
+
+    For the few cells that the strict reader refuses; levels have no limit but the reader's own.
+    """
+    def read(cell: str) -> str | None:
+        try:
+            value = json.loads(cell, parse_int=_Number, parse_float=_Number, parse_constant=str)
+            return _strict_json(value) if isinstance(value, dict) else None
+        except (ValueError, RecursionError):
+            return None
 
+    return cells.map(read, na_action="ignore")
 
-def _quoted_text(text: Column) -> Column:
-    """A text as a JSON string."""
-    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
 
+def _braced(cell: Column) -> Column:
+    return cell.rlike(r"^\s*\{")
 
-def _strict(text: Column, levels: int = LENIENT_LEVELS) -> Column:
-    """An object's text as strict JSON; null if it can't be read."""
-    def value(v: Column) -> Column:
-        # the reader hands bare NaN and Infinity on in quotes
-        v = F.when(v.rlike(r'^"[+-]?(?:NaN|INF|Infinity)"$'), F.btrim(v, F.lit('"'))).otherwise(v)
-        plain = v.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$") | v.isin("true", "false")
-        leaf = F.when(v.isNull(), F.lit("null")).when(plain, v).otherwise(_quoted_text(v))
-        return F.when(v.startswith("{"), F.coalesce(_strict(v, levels - 1), _quoted_text(v))).otherwise(leaf) if levels else leaf
 
-    pairs = F.transform(_entries(text), lambda e: F.concat(_quoted_text(e["key"]), F.lit(":"), value(e["value"])))
-    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+def _read(cell: Column) -> Column:
+    """The one value of a cell of strict JSON: text after a document makes it no document."""
+    listed = F.try_parse_json(F.concat(F.lit("["), cell, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
 
 
-def _listed(cell: Column) -> Column:
-    """The cell as a list of one parsed value. Text with a brace in front that is no strict JSON, for a
-    NaN or a repeated key, is read level by level instead."""
-    strict = F.try_parse_json(F.concat(F.lit("["), cell, F.lit("]")))
-    lenient = F.try_parse_json(F.concat(F.lit("["), _strict(cell), F.lit("]")))
-    return F.coalesce(strict, F.when(cell.rlike(r"^\s*\{"), lenient))
+def _entries(text: Column) -> Column:
+    """Entries of the outermost level of an object's text, of a repeated key the last. Null if it is none."""
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowNonNumericNumbers": "true", "allowSingleQuotes": "false"})
+    entries = F.reverse(F.map_entries(F.when(F.size(listed) == 1, listed[0])))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    values = F.transform(entries, lambda e: e["value"])
+    places = F.transform(entries, lambda e: e["key"])
+    return F.transform(keys, lambda k: F.get(values, F.array_position(places, k).cast("int") - 1))
 
 
 def unreadable(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows of ``(column, cell, rows)``: texts with a brace in front that can't be read as an object, and how often."""
     cells = F.array(*(F.struct(F.lit(c).alias("column"), _text(df, c).alias("cell")) for c in cols))
-    long = df.select(F.inline(cells)).filter(F.col("cell").rlike(r"^\s*\{"))
-    return long.filter(_only(_listed(F.col("cell"))).isNull()).groupBy("column", "cell").agg(F.count(F.lit(1)).alias("rows"))
-
-
-def _only(listed: Column) -> Column:
-    """The one value of a cell parsed as a list: text after a document makes it no document."""
-    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+    odd = df.select(F.inline(cells)).filter(_braced(F.col("cell")) & _read(F.col("cell")).isNull())
+    return odd.groupBy("column", "cell").agg(F.count(F.lit(1)).alias("rows")).filter(lenient_text("cell").isNull())
 
 
 def _is_map(cell: Column, parsed: Column) -> Column:
     """Valid JSON that starts with a brace is an object."""
-    return parsed.isNotNull() & cell.rlike(r"^\s*\{")
+    return parsed.isNotNull() & _braced(cell)
 
 
 def _number(leaf: Column) -> Column:
@@ -150,43 +159,57 @@ def _map_dimension(parsed: Column) -> Column:
 
 def cell_dimension(cell: Column) -> Column:
     """H0D for a scalar, H2D for a map that holds a map, else H1D (an empty map too)."""
-    parsed = _only(_listed(cell))
-    return F.when(_is_map(cell, parsed), _map_dimension(parsed)).otherwise("H0D")
+    parsed, entries = _read(cell), _entries(cell)
+    lenient = F.when(F.exists(entries, lambda v: v.startswith("{")), "H2D").when(entries.isNotNull(), "H1D").otherwise("H0D")
+    return F.when(~F.coalesce(_braced(cell), F.lit(False)), "H0D").when(parsed.isNotNull(), _map_dimension(parsed)).otherwise(lenient)
+
+
+def _long(df: DataFrame, base: Sequence[str], cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One row per (row, criterion), ``parsed`` null unless the cell is a map: the cells that are strict
+    JSON or no map, and the others, which alone pay for the lenient reader."""
+    def cells(keep: Column) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(c).alias("criteria"), _text(df, c).alias("cell"), _read(_text(df, c)).alias("parsed")) for c in cols))
+        # filtered behind the generator, so that a cell is parsed once
+        return df.select(*quoted(base), F.inline(each)).filter(keep)
+
+    odd = F.coalesce(_braced(F.col("cell")) & F.col("parsed").isNull(), F.lit(False))
+    strict = cells(~odd).withColumn("parsed", F.when(_is_map(F.col("cell"), F.col("parsed")), F.col("parsed")))
+    return strict, cells(odd).withColumn("parsed", F.try_parse_json(lenient_text("cell")))
 
 
-def _long(df: DataFrame, base: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """One row per (row, criterion); ``parsed`` is null unless the cell is a map."""
-    cells = F.array(*(F.struct(F.lit(c).alias("criteria"), _text(df, c).alias("cell")) for c in cols))
-    long = df.select(*quoted(base), F.inline(cells)).withColumn("listed", _listed(F.col("cell")))
-    long = long.withColumn("parsed", _only(F.col("listed"))).drop("listed")
-    return long.withColumn("parsed", F.when(_is_map(F.col("cell"), F.col("parsed")), F.col("parsed")))
+def _united(parts: Sequence[DataFrame], opened: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, map(opened, parts))
 
 
 def melt_trips(df: DataFrame, base: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Wide trips to one row per (trip, criterion); a map keeps its canonical JSON text."""
     parsed = F.col("parsed")
-    return _long(df, base, cols).select(
+    return _united(_long(df, base, cols), lambda long: long.select(
         *quoted(base), "criteria",
         F.when(parsed.isNull(), "H0D").otherwise(_map_dimension(parsed)).alias("dimension"),
-        F.when(parsed.isNull(), F.col("cell")).otherwise(F.to_json("parsed")).alias("correspondant_value"))
+        F.when(parsed.isNull(), F.col("cell")).otherwise(F.to_json("parsed")).alias("correspondant_value")))
 
 
 def explode_drivers(df: DataFrame, base: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Wide drivers to one row per class. The dimension is that of each key, so a mixed map gives
     rows of both kinds; an empty map gives none; text that is no number gives a null value."""
-    outer = _open(_long(df, base, cols), F.col("parsed"), "keyA", "leafA", keep=True)
     nested = F.col("leafA").startswith("{")
-    inner = _open(outer, F.when(nested, F.col("__leafA")), "keyB", "leafB", keep=True)
     scalar, flat = F.col("parsed").isNull(), F.col("leafA").isNotNull() & ~nested
     none = F.lit(NONE)
-    # what is neither is an entry of an inner map, or an empty map's lack of one
-    return inner.filter(scalar | flat | F.col("keyB").isNotNull()).select(
-        *quoted(base), "criteria",
-        F.when(scalar, "H0D").when(flat, "H1D").otherwise("H2D").alias("dimension"),
-        F.coalesce("keyA", none).alias("classA"), F.coalesce("keyB", none).alias("classB"), none.alias("classC"),
-        F.when(scalar, as_number(F.col("cell"))).when(flat, _number(F.col("leafA")))
-        .otherwise(_number(F.col("leafB"))).alias("correspondant_value"),
-    )
+
+    def opened(long: DataFrame) -> DataFrame:
+        outer = _open(long, F.col("parsed"), "keyA", "leafA", keep=True)
+        inner = _open(outer, F.when(nested, F.col("__leafA")), "keyB", "leafB", keep=True)
+        # what is neither is an entry of an inner map, or an empty map's lack of one
+        return inner.filter(scalar | flat | F.col("keyB").isNotNull()).select(
+            *quoted(base), "criteria",
+            F.when(scalar, "H0D").when(flat, "H1D").otherwise("H2D").alias("dimension"),
+            F.coalesce("keyA", none).alias("classA"), F.coalesce("keyB", none).alias("classB"), none.alias("classC"),
+            F.when(scalar, as_number(F.col("cell"))).when(flat, _number(F.col("leafA")))
+            .otherwise(_number(F.col("leafB"))).alias("correspondant_value"),
+        )
+
+    return _united(_long(df, base, cols), opened)
 
 
 def class_dimension(a: Column, b: Column, c: Column) -> Column:
@@ -214,26 +237,32 @@ def matrix_boundaries(wrapper: Column) -> Column:
 def explode_matrix(df: DataFrame, json_col: str, ref: str, label: str) -> DataFrame:
     """Three-level matrices to long rows; branches that are no map and leaves that are no number
     are left out."""
-    wrapper = F.col("wrapper")
-    # the header becomes text before the levels open, so no cell carries the document
-    level = df.select(
-        F.col(quoted([ref])[0]).alias("Study_ref"), F.col(quoted([label])[0]).alias("Criteria_label"),
-        _listed(F.col(quoted([json_col])[0])).alias("listed"),
-    ).select("Study_ref", "Criteria_label", _only(F.col("listed")).alias("wrapper")).select(
-        "Study_ref", "Criteria_label", matrix_boundaries(wrapper).alias("Dimensions_boudaries"),
-        F.try_variant_get(wrapper, "$.matrix", "variant").alias("value"))
-    kept = ["Study_ref", "Criteria_label", "Dimensions_boudaries"]
-    for name in ("ClassA", "ClassB", "ClassC"):
-        # entries of an array have no key and are no branch
-        level = _open(level, F.col("value"), name, "leaf").filter(F.col(name).isNotNull())
-        kept.append(name)
-        level = level.select(*kept, F.col("__leaf").alias("value"), "leaf")
-    return level.select(*kept, _number(F.col("leaf")).alias("Correspondant_value")).filter(
-        F.col("Correspondant_value").isNotNull()).select(
-        "Study_ref", "Criteria_label",
-        class_dimension(F.col("ClassA"), F.col("ClassB"), F.col("ClassC")).alias("Dimension"),
-        "Dimensions_boudaries", "ClassA", "ClassB", "ClassC", "Correspondant_value",
-    )
+    wrapper, cell = F.col("wrapper"), F.col(quoted([json_col])[0])
+
+    def opened(rows: DataFrame) -> DataFrame:
+        # the header becomes text before the levels open, so no cell carries the document
+        level = rows.select(
+            "Study_ref", "Criteria_label", matrix_boundaries(wrapper).alias("Dimensions_boudaries"),
+            F.try_variant_get(wrapper, "$.matrix", "variant").alias("value"))
+        kept = ["Study_ref", "Criteria_label", "Dimensions_boudaries"]
+        for name in ("ClassA", "ClassB", "ClassC"):
+            # entries of an array have no key and are no branch
+            level = _open(level, F.col("value"), name, "leaf").filter(F.col(name).isNotNull())
+            kept.append(name)
+            level = level.select(*kept, F.col("__leaf").alias("value"), "leaf")
+        return level.select(*kept, _number(F.col("leaf")).alias("Correspondant_value")).filter(
+            F.col("Correspondant_value").isNotNull()).select(
+            "Study_ref", "Criteria_label",
+            class_dimension(F.col("ClassA"), F.col("ClassB"), F.col("ClassC")).alias("Dimension"),
+            "Dimensions_boudaries", "ClassA", "ClassB", "ClassC", "Correspondant_value",
+        )
+
+    def named(rows: DataFrame, parsed: Column) -> DataFrame:
+        return rows.select(F.col(quoted([ref])[0]).alias("Study_ref"), F.col(quoted([label])[0]).alias("Criteria_label"), parsed.alias("wrapper"))
+
+    # what the strict reader refuses has no branch to open there, so it need not be filtered out
+    odd = named(df.filter(_braced(cell) & _read(cell).isNull()), F.try_parse_json(lenient_text(cell)))
+    return _united((named(df, _read(cell)), odd), opened)
 
 
 def wrap_matrix(long: DataFrame, bounds: DataFrame | None = None) -> DataFrame:

@@ -145,3 +145,19 @@ def test_first_row_of_ties(spark):
     df = spark.createDataFrame(rows, "criteria string, class_index int, method string, v double")
     for part in (df, df.orderBy("v"), df.repartition(3)):
         assert [tuple(r) for r in P.first_model_row(part).collect()] == [("c", None, "empirical", 3.0)]
+
+
+def test_lenient_cells_have_no_level_limit(spark):
+    deep = '{"a":' * 40 + '{"n":NaN,"k":1,"k":1.50}' + "}" * 40
+    df = spark.createDataFrame([(0, deep), (1, '{"a":{"b":1}}'), (2, None)], "id int, cell string")
+    got = {r.id: (r.dimension, r.correspondant_value) for r in H.melt_trips(df, ["id"], ["cell"]).collect()}
+    assert got[0][0] == "H2D" and got[0][1].replace("1.50", "1.5") == '{"a":' * 40 + '{"k":1.5,"n":"NaN"}' + "}" * 40
+    assert got[1] == ("H2D", '{"a":{"b":1}}') and got[2] == ("H0D", None)
+
+
+def test_strict_cells_have_a_branch_without_python(spark):
+    df = spark.createDataFrame([(0, '{"a":1}')], "id int, cell string")
+    strict, lenient = H._long(df, ["id"], ["cell"])
+    plans = [rows._jdf.queryExecution().executedPlan().toString() for rows in (strict, lenient)]
+    assert "ArrowEvalPython" not in plans[0] and "ArrowEvalPython" in plans[1]
+    assert plans[0].count("parse_json") <= 1
