@@ -2,8 +2,8 @@
 
 A cell is a scalar or JSON text. It is parsed to a variant, and its levels are opened as rows
 one after the other: a branch of another depth never spoils its neighbours, and no matrix is held
-as a whole beyond its own text. Objects that are no strict JSON, for a bare NaN or a repeated key, take
-a branch of the plan of their own, so no other cell pays for them.
+as a whole beyond its own text. Objects that the parser refuses, for a repeated key, take a branch of
+the plan of their own, so no other cell pays for them.
 """
 
 from __future__ import annotations
@@ -104,9 +104,10 @@ def _braced(cell: Column) -> Column:
 
 
 def _read(cell: Column) -> Column:
-    """The one value of a cell of strict JSON: text after a document makes it no document."""
-    listed = F.try_parse_json(F.concat(F.lit("["), cell, F.lit("]")))
-    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+    """The one value of a cell of JSON, bare NaN and Infinity allowed as text: text after a document makes it no document."""
+    listed = F.from_json(F.concat(F.lit("["), cell, F.lit("]")), "array<variant>", {"allowSingleQuotes": "false"})
+    # within a lambda, so that a cell is parsed once
+    return F.transform(F.array(listed), lambda one: F.when(F.size(one) == 1, one[0]))[0]
 
 
 def _entries(text: Column) -> Column:

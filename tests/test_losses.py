@@ -160,4 +160,4 @@ def test_strict_cells_have_a_branch_without_python(spark):
     strict, lenient = H._long(df, ["id"], ["cell"])
     plans = [rows._jdf.queryExecution().executedPlan().toString() for rows in (strict, lenient)]
     assert "ArrowEvalPython" not in plans[0] and "ArrowEvalPython" in plans[1]
-    assert plans[0].count("parse_json") <= 1
+    assert plans[0].count("from_json") <= 1
