@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drivelaws.llm import minhash, mixing, packing, quality, secrets
-from drivelaws.llm.common import settle, table
+from drivelaws.llm.common import settle, table, unclashed
 from drivelaws.llm.queries import tokenizer_path
 
 ORACLE_SQL = None  # MinHash candidates and tokens can't be said in SQL; tests compare with brute force
@@ -18,7 +18,8 @@ ORACLE_SQL = None  # MinHash candidates and tokens can't be said in SQL; tests c
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.repetition(docs).filter(F.col("quality.kept")).select(*docs.columns)
+    plain, names = unclashed(docs)
+    return quality.repetition(plain, names["text"]).filter(F.col("quality.kept")).select(*names.values()).toDF(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

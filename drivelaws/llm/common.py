@@ -80,6 +80,12 @@ def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame
     return null_safe_join(rows.withColumn("__salt", turn), copies, [*keys, "__salt"]).drop("__salt")
 
 
+def unclashed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under column names that clash with none of an operator's own, and what each column is called there."""
+    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def text_of(column: Column | str = "text") -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.cast("string"), F.lit(""))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded, null_safe_join, settle, size_of, text_key, text_of
+from .common import BROADCAST_BYTES, bounded, null_safe_join, settle, size_of, text_key, text_of, unclashed
 from .components import components
 from .textnp import BASE, Rolling, grams, mix, per_text, text_bytes, words
 
@@ -190,8 +190,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR, crowded: int = CROWDED) -> DataFrame:
     """The rows of ``docs``, one per group of near-duplicates: the one with the smallest key.
 
-    Texts without words are in no group and all stay.
+    Texts without words are in no group and all stay; of rows that repeat key and text one stays. Null keys
+    come last. Other columns, whatever their names, stay as they are. An empty table gives an empty result.
     """
+    docs, names = unclashed(docs)
+    key, text = names[key], names[text]
     rows = grouped(docs, key, text, similar, crowded)
     one = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "t1", "t2")).alias("one")
     chosen = rows.filter("group is not null").groupBy("group").agg(one).select("one.id", "one.t1", "one.t2").withColumn("alone", F.lit(True))
@@ -211,7 +214,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     again = F.col("again").isNotNull() & F.col("__alone")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = marked.filter(again).dropDuplicates(["__id", "__t1", "__t2"])
-    return marked.filter(~again).select(*columns).unionByName(once.select(*columns))
+    return marked.filter(~again).select(*columns).unionByName(once.select(*columns)).toDF(*names)
 
 
 def grouped(docs: DataFrame, key: str, text: str, similar: int, crowded: int) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, null_safe_join, settle, text_of
+from .common import attach, null_safe_join, settle, text_of, unclashed
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
@@ -89,7 +89,13 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
         weights: Sequence[int] = (1, 2, 3), most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """The mixed table itself: every row of ``docs`` as often as the mix takes it, with its own columns."""
+    """The mixed table itself: every row of ``docs`` as often as the mix takes it, with its own columns.
+
+    Null texts have size 0, a null source is a source; rows with the same key fall alike, so do repeated
+    rows. Columns may have any names. An empty table gives an empty mix.
+    """
+    docs, names = unclashed(docs)
+    key, text, source = names[key], names[text], names[source]
     sizes = docs.select(F.col(f"`{source}`").alias("source"), word_count(text).alias("size"))
     targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("size")), weights, most)
     rates = targets.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
@@ -97,4 +103,4 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     marked = docs.withColumn("__source", F.col(f"`{source}`"))
     copied = attach(marked, rates, ["__source"])
     times = copies_of(F.col("__rate"), F.col(f"`{key}`"), seed)
-    return copied.filter(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    return copied.filter(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*columns).toDF(*names)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, null_safe_join, settle, size_of, text_key, text_of
+from .common import BROADCAST_BYTES, null_safe_join, settle, size_of, text_key, text_of, unclashed
 
 # The patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -132,8 +132,11 @@ def masked(text: Column, found: Column, mask: str = "<secret>") -> Column:
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", mask: str = "<secret>") -> DataFrame:
     """The rows of ``docs`` with base spans and live candidates masked in their text; null texts stay null.
 
-    Which candidates are live is decided over the whole table and brought back by text.
+    Which candidates are live is decided over the whole table and brought back by text. Repeated rows are
+    masked alike; columns may have any names; an empty table gives an empty result.
     """
+    docs, names = unclashed(docs)
+    text, owner, repository = names[text], names[owner], names[repository]
     t1, t2 = text_key(F.col(f"`{text}`"))
     read = scan(docs.select(
         F.col(f"`{text}`").alias("__text"), t1.alias("__t1"), t2.alias("__t2"), F.col(f"`{owner}`").cast("string").alias("owner"),
@@ -150,4 +153,4 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
     every = F.concat(found, F.coalesce(F.col("__live"), F.slice(found, 1, 0)))
     told = told.withColumn("__every", every)
     return told.select(*(
-        F.when(F.col(f"`{c}`").isNotNull(), masked(t, F.col("__every"), mask)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+        F.when(F.col(f"`{c}`").isNotNull(), masked(t, F.col("__every"), mask)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns)).toDF(*names)
