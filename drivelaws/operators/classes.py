@@ -22,7 +22,7 @@ from ..functions.normal import probit
 from ..functions.scalars import minmax_clip, plotting_position
 from ..functions.special import beta_shapes
 from .sample import CUSTOMER_PS, GATHER, locate, ols, percentiles, sample_summary, sizes_of
-from .scale import attach, null_safe, settle
+from .scale import attach, null_safe, settle, within
 
 GRID_STEP = 5
 FIT_COLUMNS = ("percentile_1%", "percentile_50%", "percentile_99%")
@@ -63,7 +63,7 @@ def class_histogram(sample: DataFrame, n_max: int, n_min: int = 2, summary: Data
     if summary is None:
         summary = settle(sample_summary(sample))
     spread = summary.filter("data_max > data_min").select("criteria", "n", "data_min", "data_max", "data_mean")
-    bounds = spread.select("criteria", "data_min", (F.col("data_max") - F.col("data_min")).alias("width"))
+    bounds = within(summary, spread.select("criteria", "data_min", (F.col("data_max") - F.col("data_min")).alias("width")))
     slotted = locate(
         attach(sample.select("criteria", "x"), bounds, ["criteria"]), "slot", depth,
         lambda j: F.col("x") >= F.col("data_min") + F.col("width") * table[j],
@@ -145,7 +145,7 @@ def _solve_beta(mean: pd.Series, var: pd.Series, ln_u: pd.Series, ln_rest: pd.Se
 def beta_fit(sample: DataFrame, summary: DataFrame) -> DataFrame:
     """(criteria, alpha, beta) by maximum likelihood on the scaled, clipped sample, with the means
     of ln u and ln(1 - u) that the likelihood is made of."""
-    bounds = summary.filter("data_max > data_min").select("criteria", "data_min", "data_max")
+    bounds = within(summary, summary.filter("data_max > data_min").select("criteria", "data_min", "data_max"))
     u = minmax_clip(F.col("x"), F.col("data_min"), F.col("data_max"))
     stats = attach(sample, bounds, ["criteria"]).select("criteria", u.alias("u")).groupBy("criteria").agg(
         F.avg("u").alias("m"), F.var_pop("u").alias("v"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .classes import DIFF_COLUMNS, EMP_COLUMNS, FIT_COLUMNS, MODEL_COLUMNS
 from .sample import percentiles, sample_summary, sizes_of
-from .scale import attach, null_safe, settle
+from .scale import attach, null_safe, settle, within
 
 # Sample size below which nothing is fitted, the name such rows carry, the default
 # threshold (in percent).
@@ -51,7 +51,7 @@ def gate_small_sample(sample: DataFrame, n_min: int = MIN_SAMPLE, summary: DataF
     summary = settle(sample_summary(sample)) if summary is None else summary
     small = settle(summary.filter((F.col("n") < n_min) | (F.col("data_max") <= F.col("data_min"))).select(
         "criteria", "n", "data_min", "data_max", "data_mean"))
-    rows = attach(sample, small.select("criteria"), ["criteria"])
+    rows = attach(sample, within(small, small.select("criteria")), ["criteria"])
     pct = percentiles(rows, sizes=sizes_of(small))
     nothing = F.lit(None).cast("double")
     return null_safe(small, pct, ["criteria"]).select(

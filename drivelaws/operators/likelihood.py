@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scale import attach, null_safe, settle
+from .scale import attach, null_safe, settle, within
 
 CELLS = 1024
 
@@ -83,7 +83,7 @@ def _tilted_sums(rows: DataFrame, weight: Column, by: list[str]) -> DataFrame:
 def gumbel_mle(sample: DataFrame, summary: DataFrame) -> DataFrame:
     """``(criteria, loc, scale, loglik)``; ``summary`` is settled with n, data_min, data_max, data_mean."""
     spread = summary.filter("data_max > data_min").select("criteria", "n", "data_min", "data_max", "data_mean")
-    bounds = spread.select("criteria", "data_min", (F.col("data_max") - F.col("data_min")).alias("v_high"))
+    bounds = within(summary, spread.select("criteria", "data_min", (F.col("data_max") - F.col("data_min")).alias("v_high")))
 
     def values(groups: DataFrame) -> DataFrame:
         return attach(sample, groups, ["criteria"]).withColumn("v", F.col("x") - F.col("data_min"))
@@ -115,7 +115,7 @@ def weibull_mle(sample: DataFrame, bounds: DataFrame) -> DataFrame:
 
     ``bounds`` is settled: criteria, n, data_min, data_max, shift with data_min > shift.
     """
-    usable = bounds.filter("data_max > data_min")
+    usable = within(bounds, bounds.filter("data_max > data_min"))
     top = F.col("data_max") - F.col("shift")
 
     def values(groups: DataFrame) -> DataFrame:

@@ -123,10 +123,17 @@ def stamp_study(new: DataFrame, stamp: bool = True) -> DataFrame:
 
 
 def merge_studies(old: DataFrame, new: DataFrame, overwrite: bool = False) -> DataFrame:
-    """Population insights: the studies given replace their stored rows, or append."""
-    if overwrite and "Study_ref" in new.columns:
-        return anti_replace(old, new, ["Study_ref"])
-    return append_by_name(old, new)
+    """Population insights: the studies given replace their stored rows, or append.
+
+    A study is known by ``study_key`` where both sides have it, else by its reference; rows that have
+    neither can't replace others.
+    """
+    if not overwrite:
+        return append_by_name(old, new)
+    keys = [k for k in ("study_key", "Study_ref") if k in new.columns and k in old.columns]
+    if not keys:
+        raise ValueError("studies that replace others need study_key or Study_ref")
+    return anti_replace(old, new, keys[:1])
 
 
 def replace_id_cards(old: DataFrame, new: DataFrame, driver: str, vin: str) -> DataFrame:

@@ -10,32 +10,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoints at the shared folder of the session; a temporary one only if none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see; a temporary one only where the session names none (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def bytes_of(settled: DataFrame) -> int:
-    """Bytes of a settled table's rows, measured, not guessed."""
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row."""
     width = F.lit(0)
-    for field in settled.schema.fields:
+    for field in df.schema.fields:
         c, kind = F.col("`" + field.name.replace("`", "``") + "`"), field.dataType.typeName()
         if kind in ("string", "binary"):
             width = width + F.coalesce(F.octet_length(c), F.lit(0)) + 16
@@ -43,7 +40,29 @@ def bytes_of(settled: DataFrame) -> int:
             width = width + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
         else:
             width = width + 16
-    return settled.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return width.cast("long")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, computed once; its bytes are measured in the same job."""
+    spark = df.sparkSession
+    path, seen = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.coalesce(F.sum(_width(df)), F.lit(0)).alias("bytes")).write.parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled.settled_bytes = seen.get["bytes"]
+    return settled
+
+
+def within(settled: DataFrame, derived: DataFrame) -> DataFrame:
+    """``derived``, known to hold at most the rows of a settled table, with as many columns or fewer."""
+    derived.settled_bytes = bytes_of(settled)
+    return derived
+
+
+def bytes_of(settled: DataFrame) -> int:
+    """Bytes of a settled table's rows, measured, not guessed."""
+    known = vars(settled).get("settled_bytes")
+    return (settled.agg(F.sum(_width(settled))).first()[0] or 0) if known is None else known
 
 
 def is_small(settled: DataFrame) -> bool:

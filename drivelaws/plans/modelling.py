@@ -19,7 +19,7 @@ from ..operators.gates import MIN_SAMPLE, THRESHOLD, gate_mrd, gate_small_sample
 from ..operators.projections import keep_existing, rename_clients
 from ..operators.ranking import choose_law, rank_laws, ranking_stats
 from ..operators.sample import GATHER, to_sample
-from ..operators.scale import attach, null_safe, settle
+from ..operators.scale import attach, null_safe, settle, within
 
 
 def model_summary(sample: DataFrame, n_max: int, threshold: float, law: str = "lognormal") -> tuple[DataFrame, DataFrame]:
@@ -57,7 +57,7 @@ def model_sample(sample: DataFrame, n_max: int, choice: str = "auto", threshold:
     parts = [unfitted.withColumn("method", F.lit("empirical")).withColumn("is_best", F.lit(True))]
     summary = settle(fit_for)
     if not summary.isEmpty():
-        rows = attach(sample, summary.select("criteria"), ["criteria"])
+        rows = attach(sample, within(summary, summary.select("criteria")), ["criteria"])
         ranking = rank_laws(rows, stats=summary) if choice == "auto" else summary
         chosen = settle(choose_law(ranking, choice))
         present = {row.loi for row in chosen.select("loi").distinct().collect()}  # at most the six laws
