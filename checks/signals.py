@@ -34,8 +34,8 @@ def win_state_runs(spark, sf):
 
 @query("win_state_runs_hot", RUNS)
 def win_state_runs_hot(spark, sf):
-    """The chunked way meant for trips too large for one task, here for all of them."""
-    return state_runs(on_off(spark, sf), "state", ["ts", "event_id"], ["user_id"], hot_rows=0)
+    """In pieces, as trips too large for one task are read; here nearly all trips have several."""
+    return state_runs(on_off(spark, sf), "state", ["ts", "event_id"], ["user_id"], piece_rows=20)
 
 
 PS = {"P1": 0.01, "P10": 0.1, "P25": 0.25, "P50": 0.5, "P75": 0.75, "P90": 0.9, "P99": 0.99}

@@ -30,25 +30,47 @@ def sequences():
     return out
 
 
-@pytest.mark.parametrize("width, per_chunk, hot_rows", [
-    (1.0, 2, 0), (7.0, 65536, 0), (7.0, 2, 0), (1e9, 65536, 0), (7.0, 2, 25), (1.0, 2, 10**6)])
-def test_equals_state_machine_in_any_chunking(spark, monkeypatch, width, per_chunk, hot_rows):
-    monkeypatch.setattr(R, "RUNS_PER_CHUNK", per_chunk)
+@pytest.mark.parametrize("piece_rows", [1, 2, 3, 7, 25, 10**6])
+def test_equals_state_machine_in_any_pieces(spark, piece_rows):
     cases = sequences()
     rows = [(t, i, v) for t, seq in enumerate(cases) for i, v in enumerate(seq)]
     df = spark.createDataFrame(rows, "trip int, at int, v double")
     got = {}
-    for r in R.state_runs(df, "v", ["at"], ["trip"], chunk_width=width, hot_rows=hot_rows).collect():
+    for r in R.state_runs(df, "v", ["at"], ["trip"], piece_rows=piece_rows).collect():
         got.setdefault(r.trip, []).append((r.start, r.end, r.duree))
     for t, seq in enumerate(cases):
         assert sorted(got.get(t, [])) == state_machine(seq), seq
 
 
+def test_pieces_are_even_though_times_are_not(spark):
+    """Nine tenths of the rows lie in a thousandth of the time, and a third has one and the same time."""
+    times = [(i / 1e4,) for i in range(9000)] + [(float(i),) for i in range(1, 1001)]
+    df = spark.createDataFrame(times, "t double").select(F.lit(1).alias("trip"), "t")
+    placed, cut = R.in_pieces(df, "t", 1000)
+    sizes = [r["count"] for r in placed.groupBy("piece").count().collect()]
+    assert cut.count() == 1 and len(sizes) == 10 and max(sizes) <= 1010
+    tied, _ = R.in_pieces(df.select("trip", F.when(F.col("t") < 0.3, 0.0).otherwise(F.col("t")).alias("t")), "t", 1000)
+    assert tied.groupBy("t").agg(F.count_distinct("piece").alias("n")).filter("n > 1").isEmpty()
+    assert R.in_pieces(df, "t", 10_000)[1] is None
+
+
+def test_times_that_are_null_or_equal(spark):
+    """Null times come first; rows of one time go by the next column, across all pieces alike."""
+    values = [1.0, 0.0, 1.0, 1.0, 0.0, 1.0, 1.0, 1.0, 0.0, 1.0]
+    rows = [(None if i < 3 else i // 2, i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "t int, i int, v double")
+    want = sorted(((r.start, r.end) for r in R.state_runs(df, "v", ["t", "i"]).collect()), key=str)
+    assert len(want) == 2
+    for piece_rows in (1, 2, 4):
+        got = R.state_runs(df, "v", ["t", "i"], piece_rows=piece_rows).collect()
+        assert sorted(((r.start, r.end) for r in got), key=str) == want
+
+
 def test_null_trip_and_no_partition(spark):
     rows = [(None, i, v) for i, v in enumerate([1.0, 1.0, 0.0])] + [("a", i, v) for i, v in enumerate([1.0, 1.0, 0.0])]
     df = spark.createDataFrame(rows, "trip string, at int, v double")
-    for hot_rows in (0, 100):
-        got = R.state_runs(df, "v", ["at"], ["trip"], hot_rows=hot_rows).collect()
+    for piece_rows in (1, 100):
+        got = R.state_runs(df, "v", ["at"], ["trip"], piece_rows=piece_rows).collect()
         assert sorted((str(r.trip), r.start, r.end) for r in got) == [("None", 0, 1), ("a", 0, 1)]
     one = R.state_runs(df.filter("trip = 'a'"), "v", ["at"]).collect()
     assert [(r.start, r.end) for r in one] == [(0, 1)]
