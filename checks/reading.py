@@ -6,6 +6,7 @@ from drivelaws.operators import projections as P
 from drivelaws.operators.kpis import distinct_on
 from drivelaws.operators.merge import left_fold, merge_columns, merge_cycles
 from drivelaws.operators.sample import positive
+from drivelaws.plans.insights import store_cycles
 from drivelaws.sources import read as R
 from drivelaws.sources.store import cut_lineage, write_csv, write_parquet
 
@@ -223,6 +224,47 @@ def join_cycle_merge_keep(spark, sf):
     return merge_cycles(files, stored, ["cycle", "ts"])
 
 
+CYCLE = "'c' || (o_custkey % 4)"
+
+
+def cycle_folder(spark, sf, overwrite):
+    """Files of three cycles with differing columns, merged into a table that holds two of them and a fourth."""
+    o = load(spark, sf, "orders").withColumn("cycle", F.expr(CYCLE))
+    keys = ["cycle", "o_orderkey"]
+    folder = scratch(spark)
+    for c in ("c0", "c1", "c2"):
+        of = o.filter(F.col("cycle") == c)
+        of.select(*keys, F.col("o_totalprice").alias("speed")).write.parquet(f"{folder}/{c}_a.parquet")
+        of.filter("o_orderstatus = 'F'").select(*keys, F.col("o_orderpriority").alias("gear")).write.parquet(f"{folder}/{c}_b.parquet")
+    o.filter("cycle = 'c1'").select(*keys, (F.col("o_totalprice") - 1).alias("speed"), F.col("o_orderstatus").alias("mode")).write.parquet(
+        f"{folder}/c1_c.parquet")
+    store, database = new_store(spark)
+    table = f"{database}.cycles"
+    store.create(o.filter("cycle <> 'c2' AND o_orderdate < timestamp_ntz'1998-01-01'").select(
+        *keys, (F.col("o_totalprice") + 1).alias("speed"), F.col("o_orderpriority").alias("mode")), table, ["cycle"])
+    store_cycles(store, folder, table, "cycle", keys, overwrite)
+    return store.read(table).select(*keys, "speed", "gear", "mode")
+
+
+@query("join_cycle_folder", f"""
+WITH o AS (SELECT *, {CYCLE} AS cycle, o_orderdate < TIMESTAMP '1998-01-01' AS early FROM orders)
+SELECT cycle, o_orderkey, CASE WHEN cycle = 'c3' THEN o_totalprice + 1 ELSE o_totalprice END AS speed,
+  CASE WHEN o_orderstatus = 'F' AND cycle <> 'c3' THEN o_orderpriority END AS gear,
+  CASE WHEN cycle = 'c1' THEN o_orderstatus WHEN early AND cycle <> 'c2' THEN o_orderpriority END AS mode
+FROM o WHERE cycle <> 'c3' OR early""")
+def join_cycle_folder(spark, sf):
+    return cycle_folder(spark, sf, True)
+
+
+@query("join_cycle_folder_keep", f"""
+WITH o AS (SELECT *, {CYCLE} AS cycle, o_orderdate < TIMESTAMP '1998-01-01' AS early FROM orders)
+SELECT cycle, o_orderkey, CASE WHEN cycle = 'c2' THEN o_totalprice ELSE o_totalprice + 1 END AS speed,
+  CASE WHEN o_orderstatus = 'F' AND cycle <> 'c3' THEN o_orderpriority END AS gear, CASE WHEN cycle <> 'c2' THEN o_orderpriority END AS mode
+FROM o WHERE cycle = 'c2' OR early""")
+def join_cycle_folder_keep(spark, sf):
+    return cycle_folder(spark, sf, False)
+
+
 @query("join_outer_merge", """
 SELECT c_custkey, c.c_name, o.orders FROM customer c
 FULL JOIN (SELECT o_custkey AS c_custkey, count(*) AS orders FROM orders GROUP BY 1) o USING (c_custkey)""")

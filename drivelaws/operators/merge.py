@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .kpis import distinct_on
 from .projections import cast_by_name, drop_common, quoted
+from .scale import attach, null_safe, settle
 
 # Key columns of each storage level, by the level's name.
 LEVEL_KEYS = {
@@ -78,6 +79,38 @@ def merge_cycles(files: Sequence[DataFrame], stored: DataFrame | None, keys: Seq
     return merge_columns(stored, merged, keys, prefer="new" if overwrite else "old", how="left")
 
 
+def fold_sources(rows: DataFrame, cycle: str, keys: Sequence[str], source: str) -> DataFrame:
+    """Fold the sources of every cycle, in the order of their names, by one keyed aggregate over all cycles.
+
+    A cycle keeps the rows of its first source, and each column from the first of its sources that has it: that
+    is, has a value of it in the cycle. Keys identify the rows of a source; of repeated ones the largest value stays.
+    """
+    columns = [c for c in rows.columns if c not in (*keys, cycle, source)]
+    at = F.col(quoted([source])[0])
+    held = rows.groupBy(*quoted([cycle, source])).agg(*(F.bool_or(F.col(q).isNotNull()).alias(f"__has{i}") for i, q in enumerate(quoted(columns))), F.count(F.lit(1)))
+    first = settle(held.groupBy(*quoted([cycle])).agg(
+        F.min(at).alias("__first"), *(F.min(F.when(F.col(f"__has{i}"), at)).alias(f"__from{i}") for i in range(len(columns)))))
+    told = attach(rows, first, [cycle])
+    merged = told.groupBy(*quoted([cycle, *(k for k in keys if k != cycle)])).agg(
+        F.bool_or(at == F.col("__first")).alias("__kept"),
+        *(F.max(F.when(at == F.col(f"__from{i}"), F.col(q))).alias(c) for i, (c, q) in enumerate(zip(columns, quoted(columns)))))
+    return merged.filter("__kept").select(*quoted([*keys, *columns]))
+
+
+def merge_cycle_sources(files: DataFrame, stored: DataFrame | None, cycle: str, keys: Sequence[str],
+                        overwrite: bool = False, source: str = "source") -> DataFrame:
+    """The cycles of the files, folded with what is stored of them.
+
+    With ``overwrite`` what is stored is the last source of a cycle: it adds columns to the files' rows. Else it is
+    the first: the files add columns to its rows. A cycle of which nothing is stored is folded from its files alone.
+    """
+    rows = files.withColumn(source, F.concat(F.lit("1/"), F.col(quoted([source])[0])))
+    if stored is not None:
+        known = null_safe(stored, files.select(*quoted([cycle])).distinct(), [cycle], "left_semi")
+        rows = rows.unionByName(known.withColumn(source, F.lit("2/" if overwrite else "0/")), allowMissingColumns=True)
+    return fold_sources(rows, cycle, keys, source)
+
+
 def ranked_union(old: DataFrame, new: DataFrame, keys: Sequence[str], prefer: str = "new") -> DataFrame:
     """Union by name with one row per key, the preferred side's where it has one.
 

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.scalars import study_ref
 from ..operators.kpis import dimension_counts, distinct_on
 from ..operators.merge import (
-    DRIVER_KEYS, LEVEL_KEYS, TRIP_KEYS, merge_level, merge_timeseries, ranked_union, stamp_insights, stamp_study,
+    DRIVER_KEYS, LEVEL_KEYS, TRIP_KEYS, merge_cycle_sources, merge_level, merge_timeseries, ranked_union, stamp_insights, stamp_study,
 )
 from ..operators.projections import cast_by_name, keys_first
 from ..operators.reshape import explode_matrix
 from ..operators.scale import settle
-from ..sources.read import read_slice
+from ..sources.read import read_cycles, read_slice
 from ..sources.store import Store
 
 TABLES = {"TRIP_ID": "trip_insights", "DRIVER_ID": "driver_insights", "PFM": "study_insights", "NDIM": "study_matrix_values"}
@@ -107,6 +107,22 @@ def store_level(new: DataFrame, level: str, table: str, store: Store, overwrite:
         store.create(new, table, [c for c in PARTITIONS_BY_LEVEL[level] if c in new.columns])
 
 
+def store_cycles(store: Store, folder: str, table: str, cycle: str, keys: list[str], overwrite: bool = False) -> None:
+    """Merge the files of all lifetime cycles of a folder into a table with one partition per cycle.
+
+    One scan of the folder, one fold and one write serve all cycles; stored cycles without files are not opened.
+    """
+    files = read_cycles(store.spark, folder, cycle)
+    if files is None:
+        return
+    stored = store.read(table) if store.exists(table) else None
+    merged = merge_cycle_sources(files, stored, cycle, keys, overwrite)
+    if stored is None:
+        store.create(merged, table, [cycle])
+    else:
+        store.replace_slice(merged, table, [cycle])
+
+
 def store_run(store: Store, driver: str, run: str, tables: dict[str, str], data: DataFrame | None = None,
               meta: DataFrame | None = None, info: DataFrame | None = None, overwrite: bool = False) -> None:
     """Persist one run: series, signal metadata and channel list, each replacing its slice."""

@@ -36,6 +36,23 @@ def read_matching(spark: SparkSession, folder: str, token: str) -> DataFrame | N
         raise
 
 
+def read_cycles(spark: SparkSession, folder: str, cycle: str, source: str = "source") -> DataFrame | None:
+    """All files of a folder that are named for the cycle of their rows, as one scan; None if the folder has no files.
+
+    Names hold the cycle and an underscore; a file may also be a folder of part files. ``source`` is the name.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("mergeSchema", "true")
+    try:
+        rows = reader.parquet(folder)
+    except AnalysisException as error:
+        if "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return None
+        raise
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    named = rows.select("*", F.regexp_extract(path, r"([^/]*\.parquet)(/[^/]*)?$", 1).alias(source))
+    return named.filter(F.contains(F.col(source), F.concat(F.col(f"`{cycle}`").cast("string"), F.lit("_"))))
+
+
 def load_run(spark: SparkSession, folder: str, token: str, keys: Sequence[str], **constants) -> DataFrame | None:
     """The files of one run with their constant ids, keys first."""
     files = read_matching(spark, folder, token)
