@@ -39,7 +39,8 @@ def op7_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.secrets(table(spark, sf, "documents"))
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
-        secrets.listed(F.array_sort(F.concat("base", "live"))).alias("spans"), F.size("live").cast("long").alias("n_live"))
+        secrets.listed(F.array_sort(F.concat("base", "live"))).alias("spans"), F.size("owned").cast("long").alias("n_live"),
+        (F.size(F.concat("base", "live")) - F.size("owned")).cast("long").alias("n_copied"))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -1,75 +1,78 @@
 """Secret scans with corpus-wide ownership frequency. DataFrame functions only.
 
-Patterns give spans. Besides the three base kinds, long mixed tokens are candidates: their hashes are
-counted over the corpus by distinct repositories and owners. A candidate that one owner keeps to
-itself looks live and adds a span; one that many share is a copied example and adds none.
+Patterns give spans: three base kinds, and as candidates of the method long unbroken tokens outside
+them. The values of all spans are hashed and counted over the corpus by distinct owners and
+repositories. A value that one owner keeps to itself looks live; one that several owners hold is a
+copied example. Base spans stay whatever the verdict; a candidate adds a span only if it looks live.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, null_safe_join, settle, size_of, text_key, text_of, unclashed
+from .common import BROADCAST_BYTES, SALTS, attach, settle, size_of, text_key, text_of, unclashed
 
 # The patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]{16,})"
 HEX = r"([0-9a-f]{24,})"
-# Candidates of the method: long unbroken tokens that mix capitals, small letters and digits.
+# Candidates of the method: long unbroken tokens that mix capitals, small letters and digits, or that are
+# letters of one case with at least four digits and nothing else.
 TOKEN = r"([A-Za-z0-9+/_=-]{24,})"
+PLAIN, FOUR_DIGITS = r"^([A-Z0-9]+|[a-z0-9]+)$", r"([0-9][^0-9]*){4}"
 LEAST_VALUE = 6
 MOST_OWNERS = 1
-MOST_REPOSITORIES = 2
 BASE_KINDS = ("assign", "access", "hex")
+TOKEN_RANK = len(BASE_KINDS)
+BLOCK = 1024
 
 
-def spans(text: Column, pattern: str, value_group: int) -> Column:
-    """``array<struct<start, end, value>>`` of all leftmost matches, in code points.
+def _candidate(value: Column) -> Column:
+    mixed = value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
+    return mixed | (value.rlike(PLAIN) & value.rlike("[A-Za-z]") & value.rlike(FOUR_DIGITS))
+
+
+def matches(text: Column, rank: int, pattern: str, value_group: int, wanted) -> Column:
+    """``array<struct<rank, i, gap, length, hash>>`` of all leftmost matches; hash is null unless the value is wanted.
 
     The pieces between matches and the matches themselves alternate, so places are running lengths.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     between = F.split(text, pattern, -1)
     # a split's pieces are one more than the matches
-    paired = F.zip_with(F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda gap, m: F.struct(
+    paired = F.zip_with(F.zip_with(F.slice(between, F.lit(1), F.size(whole)), whole, lambda gap, m: F.struct(
         F.length(gap).cast("long").alias("gap"), F.length(m).cast("long").alias("length"))), values,
-        lambda at, v: F.struct(at["gap"].alias("gap"), at["length"].alias("length"), v.alias("value")))
-    none = F.lit(None).cast("array<struct<start:bigint,end:bigint,value:string>>")
-    empty = F.coalesce(none, F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
-    folded = F.aggregate(
-        paired, F.struct(F.lit(0).cast("long").alias("upto"), empty.alias("found")),
-        lambda done, at: F.struct(
-            (done["upto"] + at["gap"] + at["length"]).alias("upto"),
-            F.concat(done["found"], F.array(F.struct(
-                (done["upto"] + at["gap"]).alias("start"), (done["upto"] + at["gap"] + at["length"]).alias("end"),
-                at["value"].alias("value")))).alias("found")))
-    return F.when(text.rlike(pattern), folded["found"]).otherwise(empty)
-
+        lambda at, v: F.struct(at["gap"].alias("gap"), at["length"].alias("length"), F.when(wanted(v), F.sha2(v, 256)).alias("hash")))
+    numbered = F.transform(paired, lambda m, i: F.struct(
+        F.lit(rank).alias("rank"), i.alias("i"), m["gap"].alias("gap"), m["length"].alias("length"), m["hash"].alias("hash")))
+    none = F.array().cast("array<struct<rank:int,i:int,gap:bigint,length:bigint,hash:string>>")
+    return F.when(text.rlike(pattern), numbered).otherwise(none)
 
-def _mixed(value: Column) -> Column:
-    return value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
 
+def scan(t: Column) -> Column:
+    """Matches of all kinds in a text."""
+    always = lambda v: F.lit(True)
+    return F.concat(
+        matches(t, 0, ASSIGN, 2, lambda v: F.length(v) >= LEAST_VALUE), matches(t, 1, ACCESS, 1, always),
+        matches(t, 2, HEX, 1, always), matches(t, TOKEN_RANK, TOKEN, 1, _candidate))
 
-def _ranked(found: Column, rank: int) -> Column:
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
 
+def spans(found: DataFrame, row: str, matched: str) -> DataFrame:
+    """The rows of ``found`` once per span, with ``(rank, start, end, hash)`` in code points, end exclusive.
 
-def base_spans(t: Column) -> Column:
-    """Sorted (start, rank, end) of the base kinds."""
-    assign = F.filter(spans(t, ASSIGN, 2), lambda s: F.length(s["value"]) >= LEAST_VALUE)
-    found = {"assign": assign, "access": spans(t, ACCESS, 1), "hex": spans(t, HEX, 1)}
-    return F.array_sort(F.concat(*(_ranked(found[kind], rank) for rank, kind in enumerate(BASE_KINDS))))
-
-
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with arrays ``__base`` of (start, end, kind) and ``__candidates`` of (start, end, hash)."""
-    t = text_of(F.col(f"`{text}`"))
-    tokens = F.filter(spans(t, TOKEN, 1), lambda s: _mixed(s["value"]))
-    candidates = F.transform(tokens, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
-    return docs.withColumns({"__base": base_spans(t), "__candidates": candidates})
+    Places are running sums over the matches of a kind; a candidate inside a base span is that span's value and
+    left out. Work and memory are linear in the matches of a text, which no text is read for.
+    """
+    each = found.select(*(f"`{c}`" for c in found.columns if c != matched), F.inline(matched))
+    kind = Window.partitionBy(row, "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(kind)).withColumn("start", F.col("end") - F.col("length"))
+    placed = placed.filter(F.col("hash").isNotNull()).drop("i", "gap", "length")
+    before = Window.partitionBy(row).orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.max(F.when(F.col("rank") < TOKEN_RANK, F.col("end"))).over(before)
+    inside = placed.withColumn("__upto", upto)
+    return inside.filter((F.col("rank") < TOKEN_RANK) | F.col("__upto").isNull() | (F.col("__upto") < F.col("end"))).drop("__upto")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -82,32 +85,39 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
 
 
+def judged(each: DataFrame) -> DataFrame:
+    """The spans with ``live``: whether at most ``MOST_OWNERS`` owners hold their value, in however many repositories."""
+    verdicts = settle(ownership(each).select("hash", (F.col("owners") <= MOST_OWNERS).alias("live")))
+    return attach(each, verdicts, ["hash"])
+
+
 def secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id",
             keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(*keep, n_assign, n_access, n_hex, base, live)`` with one row per row of ``docs``.
+    """``(*keep, n_assign, n_access, n_hex, base, live, owned)`` with one row per row of ``docs``.
 
-    ``base`` and ``live`` are arrays of (start, rank, end), sorted; rank numbers the kinds ``assign``,
-    ``access``, ``hex`` and ``token``. Null and empty texts have none. Rows are told apart by an own
-    number, so repeated rows and null keys stay apart; a null owner or repository is one of its own.
-    The texts are read once; what is counted and joined after that holds no text.
+    ``base``, ``live`` and ``owned`` are arrays of (start, rank, end), sorted; rank numbers the kinds ``assign``,
+    ``access``, ``hex`` and ``token``. ``live`` are the spans that the method adds, ``owned`` all spans of either whose
+    value one owner keeps to itself. Null and empty texts have none. Rows are told apart by an own number, so
+    repeated rows and null keys stay apart; a null owner or repository is one of its own. The texts are read
+    once; what is counted and joined after that holds neither text nor values.
     """
     columns = {f"__keep_{i}": F.col(f"`{c}`") for i, c in enumerate(keep)}
-    read = scan(docs.select(
-        *(c.alias(n) for n, c in columns.items()), F.col(f"`{text}`").alias("__text"),
-        F.col(f"`{owner}`").cast("string").alias("__owner"), F.col(f"`{repository}`").cast("string").alias("__repository")), "__text")
-    found = settle(read.drop("__text").withColumn("__row", F.monotonically_increasing_id()))
-    each = found.filter(F.size("__candidates") > 0).select(
-        "__row", F.col("__owner").alias("owner"), F.col("__repository").alias("repository"), F.inline("__candidates"))
-    live = ownership(each).filter((F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES))
-    added = each.join(live.select("hash"), "hash", "left_semi").groupBy("__row").agg(
-        F.collect_list(F.struct("start", F.lit(len(BASE_KINDS)).alias("rank"), "end")).alias("live"))
-    joined = found.join(added, "__row", "left")
-    count = lambda rank: F.size(F.filter("__base", lambda s: s["rank"] == rank)).cast("long")
-    none = F.slice(F.col("__base"), 1, 0)
+    found = settle(docs.select(
+        *(c.alias(n) for n, c in columns.items()), F.monotonically_increasing_id().alias("__row"), scan(text_of(F.col(f"`{text}`"))).alias("__matches"),
+        F.col(f"`{owner}`").cast("string").alias("owner"), F.col(f"`{repository}`").cast("string").alias("repository")))
+    each = settle(spans(found.filter(F.size("__matches") > 0).select("__row", "owner", "repository", "__matches"), "__row", "__matches"))
+    is_base = F.col("rank") < TOKEN_RANK
+    at = F.struct("start", "rank", "end")
+    told = judged(each).groupBy("__row").agg(
+        *(F.count_if(F.col("rank") == rank).alias(f"n_{kind}") for rank, kind in enumerate(BASE_KINDS)),
+        *(F.array_sort(F.collect_list(F.when(chosen, at))).alias(name) for name, chosen in (
+            ("base", is_base), ("live", ~is_base & F.col("live")), ("owned", F.col("live")))))
+    joined = found.select("__row", *columns).join(told, "__row", "left")
+    none = F.array().cast(told.schema["base"].dataType)
     return joined.select(
         *(F.col(n).alias(c) for n, c in zip(columns, keep)),
-        *(count(i).alias(f"n_{kind}") for i, kind in enumerate(BASE_KINDS)),
-        F.col("__base").alias("base"), F.array_sort(F.coalesce("live", none)).alias("live"))
+        *(F.coalesce(f"n_{kind}", F.lit(0).cast("long")).alias(f"n_{kind}") for kind in BASE_KINDS),
+        *(F.coalesce(name, none).alias(name) for name in ("base", "live", "owned")))
 
 
 def listed(found: Column) -> Column:
@@ -117,40 +127,50 @@ def listed(found: Column) -> Column:
         ":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def masked(text: Column, found: Column, mask: str = "<secret>") -> Column:
-    """The text with every span (merged where they overlap) replaced by the mask."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("upto"))
-    cut = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    folded = F.aggregate(F.array_sort(found), state, lambda done, s: F.struct(
-        F.when(s["start"] >= done["upto"], F.concat(done["out"], cut(done["upto"], s["start"]), F.lit(mask)))
-        .otherwise(done["out"]).alias("out"),
-        F.greatest(done["upto"], s["end"]).alias("upto")),
-        lambda done: F.concat(done["out"], cut(done["upto"], F.length(text).cast("long"))))
-    return F.when(F.size(found) > 0, folded).otherwise(text)
+def masked(text: Column, blocks: Column, cuts: Column, mask: str) -> Column:
+    """The text, given also in blocks of ``BLOCK`` code points, with what the cuts name replaced by the mask.
+
+    Cuts are sorted (start, end, upto), ``upto`` the largest end before: overlapping ones get one mask. A piece is
+    taken from its blocks alone, so the work grows with the text and with the cuts, not with their product.
+    """
+    def piece(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / F.lit(BLOCK)).cast("int"), F.floor((b - 1) / F.lit(BLOCK)).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return F.when(b > a, F.substring(near, (a - first * BLOCK + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    pieces = F.transform(cuts, lambda s: F.when(s["start"] >= s["upto"], F.concat(piece(s["upto"], s["start"]), F.lit(mask))).otherwise(""))
+    upto = F.array_max(F.transform(cuts, lambda s: s["end"]))
+    return F.when(F.size(cuts) > 0, F.concat(F.array_join(pieces, ""), piece(upto, F.length(text).cast("long")))).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", mask: str = "<secret>") -> DataFrame:
     """The rows of ``docs`` with base spans and live candidates masked in their text; null texts stay null.
 
-    Which candidates are live is decided over the whole table and brought back by text. Repeated rows are
-    masked alike; columns may have any names; an empty table gives an empty result.
+    Which candidates are live is decided over the whole table; places are brought back by text, so repeated rows
+    are masked alike, and a text that very many rows share is split over salts unless all places are small. Columns
+    may have any names; an empty table gives an empty result.
     """
     docs, names = unclashed(docs)
     text, owner, repository = names[text], names[owner], names[repository]
     t1, t2 = text_key(F.col(f"`{text}`"))
-    read = scan(docs.select(
-        F.col(f"`{text}`").alias("__text"), t1.alias("__t1"), t2.alias("__t2"), F.col(f"`{owner}`").cast("string").alias("owner"),
-        F.col(f"`{repository}`").cast("string").alias("repository")), "__text")
-    each = settle(read.filter(F.size("__candidates") > 0).select("__t1", "__t2", "owner", "repository", F.inline("__candidates")))
-    live = ownership(each).filter((F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES))
-    added = settle(each.join(live.select("hash"), "hash", "left_semi").groupBy("__t1", "__t2").agg(
-        F.collect_set(F.struct("start", F.lit(len(BASE_KINDS)).alias("rank"), "end")).alias("__live")))
-    small = size_of(docs.sparkSession, added.select("__t1", F.explode("__live"))) <= BROADCAST_BYTES
-    based = docs.withColumns({"__t1": t1, "__t2": t2})
-    told = null_safe_join(based, F.broadcast(added) if small else added, ["__t1", "__t2"], "left")
+    found = docs.select(
+        F.monotonically_increasing_id().alias("row"), t1.alias("t1"), t2.alias("t2"), F.col(f"`{owner}`").cast("string").alias("owner"),
+        F.col(f"`{repository}`").cast("string").alias("repository"), scan(text_of(F.col(f"`{text}`"))).alias("matches"))
+    found = settle(found.filter(F.size("matches") > 0))
+    each = settle(spans(found, "row", "matches"))
+    cuts = judged(each).filter((F.col("rank") < TOKEN_RANK) | F.col("live")).select("t1", "t2", "start", "end").distinct()
+    before = Window.partitionBy("t1", "t2").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cuts.withColumn("upto", F.coalesce(F.max("end").over(before), F.lit(0).cast("long")))
+    cuts = settle(placed.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "upto"))).alias("cuts")))
+    spark = docs.sparkSession
+    keyed = docs.withColumns({"t1": t1, "t2": t2})
+    if size_of(spark, cuts.select("t1", F.explode("cuts"))) <= BROADCAST_BYTES:
+        told = keyed.join(F.broadcast(cuts), ["t1", "t2"], "left")
+    else:
+        copies = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        turn = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+        told = keyed.withColumn("salt", turn).join(copies, ["t1", "t2", "salt"], "left")
     t = text_of(F.col(f"`{text}`"))
-    found = base_spans(t)
-    every = F.concat(found, F.coalesce(F.col("__live"), F.slice(found, 1, 0)))
-    told = told.withColumn("__every", every)
-    return told.select(*(
-        F.when(F.col(f"`{c}`").isNotNull(), masked(t, F.col("__every"), mask)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns)).toDF(*names)
+    cut = told.withColumn("blocks", F.when(F.size("cuts") > 0, F.regexp_extract_all(t, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    hidden = F.when(F.col(f"`{text}`").isNotNull(), F.when(F.col("cuts").isNull(), t).otherwise(masked(t, F.col("blocks"), F.col("cuts"), mask)))
+    return cut.select(*(hidden.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns)).toDF(*names)

@@ -6,7 +6,7 @@ from .lexical import LOWER, TERM, UPPER
 from .lm import BIGRAM, BIGRAMS, UNIFORM, UNIGRAM, VOCABULARY
 from .mixing import MOST_COPIES, SEED
 from .quality import GRAM_LIMITS, LEAST_WORDS, LINE_LIMIT, REPEAT_LIMIT
-from .secrets import ACCESS, ASSIGN, HEX, LEAST_VALUE, MOST_OWNERS, MOST_REPOSITORIES, TOKEN
+from .secrets import ACCESS, ASSIGN, HEX, LEAST_VALUE, MOST_OWNERS, TOKEN
 
 SQL: dict[str, str] = {}
 
@@ -101,24 +101,28 @@ def _spans(kind: str, rank: int, pattern: str, group: int, condition: str) -> st
     WHERE {condition}"""
 
 
+TOKEN_RULE = rf"""(regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]'))
+    OR (regexp_full_match(value, '[A-Z0-9]+|[a-z0-9]+') AND regexp_matches(value, '[A-Za-z]') AND length(regexp_replace(value, '[^0-9]', '', 'g')) >= 4)"""
+
+
 SQL["op7_secret_scans"] = rf"""
     WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
     base AS ({_spans("assign", 0, ASSIGN, 2, f"length(value) >= {LEAST_VALUE}")}
         UNION ALL {_spans("access", 1, ACCESS, 1, "true")} UNION ALL {_spans("hex", 2, HEX, 1, "true")}),
-    tokens AS ({_spans("token", 3, TOKEN, 1, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')")}),
-    owned AS (
-        SELECT value FROM tokens JOIN texts USING (doc_id) GROUP BY value
-        HAVING count(DISTINCT source) <= {MOST_OWNERS} AND count(DISTINCT (source, doc_id)) <= {MOST_REPOSITORIES}),
-    live AS (SELECT * FROM tokens WHERE value IN (SELECT value FROM owned)),
-    both_kinds AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM live),
+    tokens AS (
+        SELECT * FROM ({_spans("token", 3, TOKEN, 1, TOKEN_RULE)}) t
+        WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.start <= t.start AND t.stop <= b.stop)),
+    every AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM tokens),
+    owned AS (SELECT value FROM every JOIN texts USING (doc_id) GROUP BY value HAVING count(DISTINCT coalesce('s' || source, '')) <= {MOST_OWNERS}),
+    both_kinds AS (SELECT every.*, owned.value IS NOT NULL AS live FROM every LEFT JOIN owned USING (value)),
     said AS (
         SELECT doc_id, count(*) FILTER (is_base AND rank = 0) AS n_assign, count(*) FILTER (is_base AND rank = 1) AS n_access,
-            count(*) FILTER (is_base AND rank = 2) AS n_hex, count(*) FILTER (NOT is_base) AS n_live,
+            count(*) FILTER (is_base AND rank = 2) AS n_hex, count(*) FILTER (live) AS n_live, count(*) FILTER (is_base AND NOT live) AS n_copied,
             string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank, stop) FILTER (is_base) AS base,
-            string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank, stop) AS spans
+            string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank, stop) FILTER (is_base OR live) AS spans
         FROM both_kinds GROUP BY doc_id)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
     FROM texts LEFT JOIN said USING (doc_id)"""
 
 
