@@ -241,16 +241,16 @@ def gate_small_sample(spark, sf):
     return rounded(rows, ("criteria", "n", "data_min", "data_max", "loi"), 9)
 
 
-def estimate_sql(law: str, params: dict[str, str], quantile: str, marks, points=None) -> str:
+def estimate_sql(law: str, params: dict[str, str], quantile: str, marks, points=None, solved: str = "", known: str = "st") -> str:
     ps = [*CUSTOMERS, *marks]
     grid = points or range(3, len(ps))
     fit = ", ".join(f"{at(quantile, p)} AS q{j}" for j, p in enumerate(ps))
     emp = ", ".join(f"quantile_cont(x, {p!r}) AS e{j}" for j, p in enumerate(ps))
     mse = " + ".join(f"(e{j} - q{j}) * (e{j} - q{j})" for j in grid)
     return f"""
-WITH st AS (SELECT criteria, count(*) AS n, min(x) AS lo, max(x) AS hi, avg(x) AS m, stddev_pop(x) AS sp, stddev_samp(x) AS ss, {emp}
+WITH {solved} st AS (SELECT criteria, count(*) AS n, min(x) AS lo, max(x) AS hi, avg(x) AS m, stddev_pop(x) AS sp, stddev_samp(x) AS ss, {emp}
             FROM ({VALUES}) GROUP BY 1),
-pr AS (SELECT *, {", ".join(f"{e} AS {n}" for n, e in params.items())} FROM st), ft AS (SELECT *, {fit} FROM pr)
+pr AS (SELECT *, {", ".join(f"{e} AS {n}" for n, e in params.items())} FROM {known}), ft AS (SELECT *, {fit} FROM pr)
 SELECT criteria, n, lo AS data_min, hi AS data_max, {sqlsig('m')} AS data_mean, '{law}' AS loi,
   {", ".join(f"{sqlsig(n)} AS {n}" for n in params)},
   {sqlsig('q0')} AS "percentile_1%", {sqlsig('q1')} AS "percentile_50%", {sqlsig('q2')} AS "percentile_99%",
@@ -287,9 +287,30 @@ def est_gamma(spark, sf):
     return E.estimate(values(spark, sf), "gamma")
 
 
-@query("est_weibull")
+def bisected(start: str, low: str, high: str, excess: str, steps: int = 60) -> str:
+    """Tables ``sc`` (values scaled by the largest of their criterion) and ``root``: where the excess, which grows, is 0."""
+    return f"""RECURSIVE sc AS (SELECT criteria, {start} AS v FROM (SELECT *, max(x) OVER w AS hi, min(x) OVER w AS lo FROM ({VALUES}) WINDOW w AS (PARTITION BY criteria))),
+sm AS (SELECT criteria, count(*) AS n, avg(v) AS mv FROM sc GROUP BY 1),
+walk AS (
+    SELECT 0 AS i, criteria, n, mv, CAST({low} AS DOUBLE) AS a, CAST({high} AS DOUBLE) AS b FROM sm
+    UNION ALL
+    SELECT i + 1, criteria, n, mv, CASE WHEN over THEN a ELSE c END, CASE WHEN over THEN c ELSE b END FROM (
+        SELECT i, walk.criteria, n, mv, a, b, (a + b) / 2 AS c, {excess.format(c="((a + b) / 2)")} > 0 AS over
+        FROM walk JOIN sc USING (criteria) WHERE i < {steps} GROUP BY i, walk.criteria, n, mv, a, b)),
+root AS (SELECT criteria, (a + b) / 2 AS c FROM walk WHERE i = {steps})"""
+
+
+# shape of a Weibull law: the mean of ln x, weighed by x ^ c, is by 1 / c above the plain mean
+SHAPE = "(sum(exp({c} * v) * v) / sum(exp({c} * v)) - 1 / {c} - mv)"
+WEIBULL = f"""{bisected("ln(x / hi)", "0.01", "100", SHAPE)},
+wb AS (SELECT criteria, any_value(c) AS shape, any_value(hi) * pow(avg(exp(c * v)), 1 / any_value(c)) AS scale
+       FROM sc JOIN root USING (criteria) JOIN (SELECT criteria, max(x) AS hi FROM ({VALUES}) GROUP BY 1) USING (criteria) GROUP BY 1),"""
+
+
+@query("est_weibull", estimate_sql("weibull", {"beta_shape": "shape", "lambda_scale": "scale"}, LAWS["weibull"][3], MARKS,
+                                   solved=WEIBULL, known="st JOIN wb USING (criteria)"))
 def est_weibull(spark, sf):
-    return E.estimate(values(spark, sf), "weibull")
+    return estimated(spark, sf, "weibull")
 
 
 @query("est_beta")
@@ -321,6 +342,26 @@ def model_choice(spark, sf):
     return R.choose_law(R.rank_laws(values(spark, sf), CLOSED))
 
 
+# scale of a Gumbel law: it grows towards the plain mean less the mean weighed by exp(-v / c); likelihoods are flat at
+# their largest, so a gamma shape by three digits gives all digits of its own
+GUMBEL = bisected("(x - lo) / (hi - lo)", "0.001", "10", "({c} - mv + sum(exp(-v / {c}) * v) / sum(exp(-v / {c})))")
+
+
+@query("rank_iterated_laws", f"""WITH {GUMBEL},
+rg AS (SELECT criteria, max(x) - min(x) AS width FROM ({VALUES}) GROUP BY 1),
+gb AS (SELECT criteria, count(*) AS n, any_value(c) AS c, any_value(width) AS width, avg(v) AS mv, -any_value(c) * ln(avg(exp(-v / c))) AS loc
+       FROM sc JOIN root USING (criteria) JOIN rg USING (criteria) GROUP BY 1),
+gs AS (SELECT criteria, count(*) AS n, avg(x) AS m, avg(ln(x)) AS ml FROM ({VALUES}) GROUP BY 1),
+ks AS (SELECT criteria, n, unnest(range(-9000, 9001)) / 1000.0 AS e, m, ml FROM gs),
+gm AS (SELECT criteria, n, max(n * ((exp(e) - 1) * ml - exp(e) - exp(e) * (ln(m) - e) - lgamma(exp(e)))) AS loglik FROM ks GROUP BY 1, 2),
+lk AS (SELECT criteria, n, 'gumbel' AS law, 2 AS k, -n * ln(c * width) - n * (mv - loc) / c - n AS loglik FROM gb
+       UNION ALL SELECT criteria, n, 'gamma', 2, loglik FROM gm)
+SELECT criteria, law, k, {sqlsig('loglik')} AS loglik, {sqlsig('2 * k - 2 * loglik')} AS aic, {sqlsig('k * ln(n) - 2 * loglik')} AS bic FROM lk""")
+def rank_iterated_laws(spark, sf):
+    """The laws whose likelihood has no closed largest value, but for beta."""
+    return rounded(R.rank_laws(values(spark, sf), ("gamma", "gumbel")).drop("params"), ("criteria", "law", "k"))
+
+
 @query("rank_all_laws")
 def rank_all_laws(spark, sf):
     return R.rank_laws(values(spark, sf))
@@ -342,15 +383,15 @@ SIX = ", ".join(f'{sqlsig(f"q{j}")} AS "percentile_{int(p * 100)}%"' for j, p in
 
 
 @query("model_columns", f"""{SWEEP}
-SELECT criteria, n, class_index, 'exponential' AS loi, 'class' AS method, class_index = best AS is_best, {SIX}, {sqlsig('mrd')} AS "Mean relat diff"
+SELECT criteria, n, class_index, 'exponential' AS loi, 'class' AS method, class_index = best AS is_best, 'success' AS status, {SIX}, {sqlsig('mrd')} AS "Mean relat diff"
 FROM m JOIN gt USING (criteria) WHERE class_index >= 5 AND NOT over
-UNION ALL SELECT criteria, n, NULL, 'exponential', 'estimation', true, {SIX},
+UNION ALL SELECT criteria, n, NULL, 'exponential', 'estimation', true, 'fallback', {SIX},
   {sqlsig('(abs(100 * (q0 - e0) / e0) + abs(100 * (q1 - e1) / e1) + abs(100 * (q2 - e2) / e2)) / 3')} FROM es""")
 def model_columns(spark, sf):
     models = M.model_sample(values(spark, sf), N_MAX, "exponential", threshold=2.0)
-    kept = models.select("criteria", "n", "class_index", "loi", "method", "is_best", "percentile_1%", "percentile_50%",
+    kept = models.select("criteria", "n", "class_index", "loi", "method", "is_best", "status", "percentile_1%", "percentile_50%",
                          "percentile_99%", "Mean relat diff")
-    return rounded(kept, ("criteria", "n", "class_index", "loi", "method", "is_best"))
+    return rounded(kept, ("criteria", "n", "class_index", "loi", "method", "is_best", "status"))
 
 
 @query("model_columns_auto")
@@ -441,10 +482,10 @@ def hist_rmse_closed(spark, sf):
 
 
 @query("model_table_rows", f"""{SWEEP}, mt AS (
-  SELECT criteria, class_index, 'class' AS method, class_index = best AS is_best, lambda_inv, data_mean, r2, q0, q1, q2, e0, e1, e2
+  SELECT criteria, class_index, 'class' AS method, class_index = best AS is_best, 'success' AS status, lambda_inv, data_mean, r2, q0, q1, q2, e0, e1, e2
   FROM m JOIN gt USING (criteria) WHERE class_index >= 5 AND NOT over
-  UNION ALL SELECT criteria, NULL, 'estimation', true, mean, mean, NULL, q0, q1, q2, e0, e1, e2 FROM es)
-SELECT '[USAGE] event values' AS study_title, '{{"table": "events"}}' AS sample_description, criteria, 'exponential' AS loi, class_index, method, is_best,
+  UNION ALL SELECT criteria, NULL, 'estimation', true, 'fallback', mean, mean, NULL, q0, q1, q2, e0, e1, e2 FROM es)
+SELECT '[USAGE] event values' AS study_title, '{{"table": "events"}}' AS sample_description, criteria, 'exponential' AS loi, class_index, method, is_best, status,
   {sqlsig('lambda_inv')} AS lambda_inv, {sqlsig('data_mean')} AS data_mean, {sqlsig('r2')} AS "R2", {sqlsig('q0')} AS "client1%",
   {sqlsig('q1')} AS "client50%", {sqlsig('q2')} AS "client99%", {sqlsig('e0')} AS "sample_client1%", {sqlsig('e1')} AS "sample_client50%",
   {sqlsig('e2')} AS "sample_client99%" FROM mt""")
@@ -453,4 +494,4 @@ def model_table_rows(spark, sf):
     table = M.model_table(models, "[USAGE] event values", {"table": "events"})
     lambda_inv = F.get_json_object("parameters", "$.lambda_inv").cast("double").alias("lambda_inv")
     return rounded(table.select("*", lambda_inv).drop("parameters", "data_min", "data_max"),
-                   ("study_title", "sample_description", "criteria", "loi", "class_index", "method", "is_best"))
+                   ("study_title", "sample_description", "criteria", "loi", "class_index", "method", "is_best", "status"))

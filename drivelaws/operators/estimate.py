@@ -68,7 +68,7 @@ def _params(sample: DataFrame, law: str, stats: DataFrame) -> DataFrame:
         raise ValueError(f"no direct estimate for law {law!r}")
     joined = null_safe(stats, fit, ["criteria"], "left")
     found = F.when(F.col(names[0]).isNotNull(), law_params(law, *(F.col(c) for c in names)))
-    return joined.withColumn("params", found).drop(*names)
+    return joined.withColumn("params", found).drop(*names, "residual")
 
 
 def estimate(sample: DataFrame, law: str, d: float = 0.0, grid_from: int = 0, gather: int = GATHER) -> DataFrame:

@@ -49,12 +49,14 @@ def model_sample(sample: DataFrame, n_max: int, choice: str = "auto", threshold:
     """Model rows of every criterion of a sample.
 
     ``method`` says how a row came about: ``class`` (one row per class count kept, ``is_best`` on
-    the chosen one), ``estimation`` (the gate fell back) or ``empirical`` (too small to fit).
+    the chosen one), ``estimation`` (the gate fell back) or ``empirical`` (too small to fit). ``status`` is the
+    gate's outcome: ``success``, ``fallback``, ``failed`` where it fell back and no estimate was found, so that
+    the class rows stay, or null where nothing was fitted.
     """
     stats = settle(ranking_stats(sample))
     fit_for = stats.filter((F.col("n") >= MIN_SAMPLE) & (F.col("data_max") > F.col("data_min")))
     unfitted = gate_small_sample(sample, summary=stats)
-    parts = [unfitted.withColumn("method", F.lit("empirical")).withColumn("is_best", F.lit(True))]
+    parts = [unfitted.withColumns({"method": F.lit("empirical"), "is_best": F.lit(True), "status": F.lit(None).cast("string")})]
     summary = settle(fit_for)
     if not summary.isEmpty():
         rows = attach(sample, within(summary, summary.select("criteria")), ["criteria"])
@@ -75,14 +77,15 @@ def model_sample(sample: DataFrame, n_max: int, choice: str = "auto", threshold:
         if direct:
             direct = settle(reduce(DataFrame.unionByName, direct).filter(F.col("params").isNotNull()))
             replaced = direct.select("criteria")
-            parts.append(direct.withColumn("method", F.lit("estimation")).withColumn("is_best", F.lit(True)))
+            parts.append(direct.withColumns({"method": F.lit("estimation"), "is_best": F.lit(True), "status": F.lit("fallback")}))
         kept = models if replaced is None else null_safe(models, replaced, ["criteria"], "left_anti")
         best = best_class(kept).select("criteria", "best_class")
         parts.append(
-            null_safe(kept, best, ["criteria"])
+            null_safe(null_safe(kept, best, ["criteria"]), gate, ["criteria"])
             .withColumn("method", F.lit("class"))
             .withColumn("is_best", F.coalesce(F.col("class_index") == F.col("best_class"), F.lit(False)))
-            .drop("best_class")
+            .withColumn("status", F.when(F.col("use_fallback"), "failed").otherwise("success"))
+            .drop("best_class", "use_fallback")
         )
     return reduce(DataFrame.unionByName, parts)
 
@@ -102,7 +105,7 @@ def model_table(models: DataFrame, study: str, description: dict) -> DataFrame:
     """Model rows as stored: study, sample description, law, JSON parameters, customers."""
     columns = ["criteria", "data_min", "data_max", "data_mean", "loi", "parameters", "class_index", "R2",
                "percentile_1%", "percentile_50%", "percentile_99%",
-               "percentile_1%_emp", "percentile_50%_emp", "percentile_99%_emp", "method", "is_best"]
+               "percentile_1%_emp", "percentile_50%_emp", "percentile_99%_emp", "method", "is_best", "status"]
     full = models.withColumn("parameters", F.coalesce(params_json(F.col("params")), F.lit("{}")))
     kept = rename_clients(keep_existing(full, columns))
     return kept.select(
