@@ -73,12 +73,12 @@ TEXT = """'{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_natio
 
 @query("agg_data_size", f"SELECT count(*) AS rows, CAST(sum(length({TEXT})) AS BIGINT) AS bytes FROM customer")
 def agg_data_size(spark, sf):
-    return Z.data_size(load(spark, sf, "customer"))
+    return Z.data_size(load(spark, sf, "customer"), by="text")
 
 
 @query("agg_data_size_assumed", "SELECT count(*) AS rows, count(*) * (8 + 50 + 8 + 8 + 50) AS bytes FROM customer")
 def agg_data_size_assumed(spark, sf):
-    return Z.data_size(load(spark, sf, "customer"), measure=False)
+    return Z.data_size(load(spark, sf, "customer"), by="width")
 
 
 @query("suggest_partitions", f"""
@@ -88,5 +88,5 @@ SELECT rows, bytes, {sqlsig('bytes / 1073741824.0')} AS size_gb, 100 AS executor
 FROM (SELECT count(*) AS rows, CAST(sum(length({TEXT})) AS BIGINT) AS bytes FROM customer)""")
 def suggest_partitions(spark, sf):
     conf = {"spark.executor.instances": "100", "spark.executor.cores": "4", "spark.executor.memory": "32g"}
-    report = Z.suggest_partitions(load(spark, sf, "customer"), conf)
+    report = Z.suggest_partitions(load(spark, sf, "customer"), conf, by="text")
     return report.withColumn("size_gb", sig("size_gb"))
