@@ -18,6 +18,8 @@ DATA_BLOCK = 8192
 QUERY_BLOCK = 4096
 LEAF = 96
 CHILDREN = 12
+# Rows that a query leaf meets in one product: a pair that can't be pruned costs little more than the product.
+PRODUCT = 4096
 
 
 class Node:
@@ -67,63 +69,102 @@ class Best:
         self.k = k
         self.scores = np.full((queries, k), -np.inf)
         self.at = np.full((queries, k), -1, np.int64)
+        self.met = 0  # pairs whose score was worked out
 
     def worst(self, rows: np.ndarray) -> float:
         return float(self.scores[rows, -1].min())
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
         """``scores[i, j]`` of query ``rows[i]`` and data row ``at[j]``; equal scores go by smaller id."""
-        use = np.flatnonzero((scores >= self.scores[rows, -1][:, None]).any(1))
-        if not len(use):
+        self.met += scores.size
+        floor = self.scores[rows, -1]
+        hits = scores >= floor[:, None]
+        if hits.sum() > 4 * self.k * len(rows) and scores.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            hits = scores >= floor[:, None]
+        hits &= scores > -np.inf
+        i, j = np.nonzero(hits)
+        if not len(i):
             return
-        rows, scores = rows[use], scores[use]
-        every = np.concatenate([self.scores[rows], scores], axis=1)
-        where = np.concatenate([self.at[rows], np.broadcast_to(at, scores.shape)], axis=1)
-        order = np.lexsort((np.where(where >= 0, ids[where], np.iinfo(np.int64).max), -every), axis=1)[:, :self.k]
-        self.scores[rows] = np.take_along_axis(every, order, 1)
-        self.at[rows] = np.take_along_axis(where, order, 1)
+        row = np.concatenate([np.repeat(np.arange(len(rows)), self.k), i])
+        score = np.concatenate([self.scores[rows].ravel(), scores[i, j]])
+        where = np.concatenate([self.at[rows].ravel(), at[j]])
+        order = np.lexsort((np.where(where >= 0, ids[where], np.iinfo(np.int64).max), -score, row))
+        n = np.bincount(row, minlength=len(rows))
+        order = order[(np.cumsum(n) - n)[:, None] + np.arange(self.k)]
+        self.scores[rows] = score[order]
+        self.at[rows] = where[order]
+
+
+class Forest:
+    """A tree's nodes as arrays, so that one query node meets many of them in one product."""
+
+    def __init__(self, root: Node):
+        nodes, self.below = [root], []
+        for node in nodes:  # grows while it is read
+            self.below.append(np.arange(len(nodes), len(nodes) + len(node.children)))
+            nodes += node.children
+        self.centers = np.array([n.center for n in nodes])
+        self.radii, self.norms = np.array([n.radius for n in nodes]), np.array([n.norm for n in nodes])
+        self.rows = [n.rows for n in nodes]
+
+    def most(self, q: Node, nodes: np.ndarray) -> np.ndarray:
+        """Upper bounds of the scores between the points below ``q`` and those below each of the nodes."""
+        radii = self.radii[nodes]
+        most = self.centers[nodes] @ q.center + q.radius * self.norms[nodes] + radii * q.norm + q.radius * radii
+        return most + 1e-9 * np.abs(most) + 1e-6  # room for rounding, so that nothing equal is pruned
+
+    def opened(self, nodes: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.below[i] if len(self.below[i]) else nodes[k:k + 1] for k, i in enumerate(nodes.tolist())])
 
 
 def dual_search(queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, data_rows: np.ndarray, ids: np.ndarray, k: int) -> Best:
     """Best rows of ``data`` for every query, whose own row takes no part."""
     best = Best(len(queries), k)
-    tops = cover_tree(queries, np.arange(len(queries))), cover_tree(data, np.arange(len(data)))
-
-    def bounds(q: Node, nodes: list[Node]) -> np.ndarray:
-        centers = np.array([d.center for d in nodes])
-        radii, norms = np.array([d.radius for d in nodes]), np.array([d.norm for d in nodes])
-        most = centers @ q.center + q.radius * norms + radii * q.norm + q.radius * radii
-        return most + 1e-9 * np.abs(most) + 1e-6  # room for rounding, so that nothing equal is pruned
-
-    def leaf(q: Node, nodes: list[Node]) -> None:
-        while nodes:
-            most = bounds(q, nodes)
-            order = np.argsort(-most, kind="stable")
-            deeper: list[Node] = []
-            for i in order.tolist():
-                if most[i] < best.worst(q.rows):
-                    break
-                if nodes[i].children:
-                    deeper += nodes[i].children
-                else:
-                    scores = queries[q.rows] @ data[nodes[i].rows].T
-                    scores[query_rows[q.rows][:, None] == data_rows[nodes[i].rows][None, :]] = -np.inf
-                    best.offer(q.rows, scores, nodes[i].rows, ids)
-            nodes = deeper
-
-    def visit(q: Node, nodes: list[Node]) -> None:
-        worst = best.worst(q.rows)
-        nodes = [d for d, most in zip(nodes, bounds(q, nodes)) if most >= worst]
-        if not nodes:
+    top, forest = cover_tree(queries, np.arange(len(queries))), Forest(cover_tree(data, np.arange(len(data))))
+    by_row = np.argsort(data_rows)
+    own = by_row[np.minimum(np.searchsorted(data_rows, query_rows, sorter=by_row), len(data) - 1)]
+    own = np.where(data_rows[own] == query_rows, own, -1)
+    column = np.full(len(data) + 1, -1)  # of a data row in the product at hand; the last entry stands for none
+    longest = np.sqrt((queries ** 2).sum(1).max() * (data ** 2).sum(1).max())
+    exact = np.float32 if longest < 2 ** 24 else np.float64  # no sum of whole products is longer
+    left, right = queries.astype(exact), data.astype(exact)
+
+    def meet(q: Node, at: np.ndarray) -> None:
+        scores = left[q.rows] @ right[at].T
+        column[at] = np.arange(len(at))
+        mine = column[own[q.rows]]
+        scores[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
+        column[at] = -1
+        best.offer(q.rows, scores, at, ids)
+
+    def leaf(q: Node, nodes: np.ndarray) -> None:
+        """The best bounds first, so many leaves a product as hold ``PRODUCT`` rows; what is left is pruned in between."""
+        while any(len(forest.below[i]) for i in nodes.tolist()):
+            nodes = forest.opened(nodes)
+            nodes = nodes[forest.most(q, nodes) >= best.worst(q.rows)]
+        most = forest.most(q, nodes)
+        order = np.argsort(-most, kind="stable")
+        nodes, most = nodes[order], most[order]
+        first = PRODUCT // 8  # a smaller product for the first thresholds
+        while len(nodes):
+            n = int(np.searchsorted(np.cumsum([len(forest.rows[i]) for i in nodes.tolist()]), first)) + 1
+            meet(q, np.concatenate([forest.rows[i] for i in nodes[:n].tolist()]))
+            nodes, most, first = nodes[n:], most[n:], PRODUCT
+            keep = most >= best.worst(q.rows)
+            nodes, most = nodes[keep], most[keep]
+
+    def visit(q: Node, nodes: np.ndarray) -> None:
+        nodes = nodes[forest.most(q, nodes) >= best.worst(q.rows)]
+        if not len(nodes):
             return
         if not q.children:
             leaf(q, nodes)
             return
-        below = [c for d in nodes for c in (d.children or [d])]
         for child in q.children:
-            visit(child, below)
+            visit(child, forest.opened(nodes))
 
-    visit(tops[0], [tops[1]])
+    visit(top, np.zeros(1, np.int64))
     return best
 
 

@@ -118,6 +118,13 @@ def test_dual_tree_prunes_and_stays_exact():
     for q in range(200):
         order = np.lexsort((np.arange(3000), -scores[q]))[:7]
         assert best.at[q].tolist() == order.tolist()
+    data = np.floor(rng.normal(0, 40, (60, 64))[rng.integers(0, 60, 8000)] + rng.normal(0, 1, (8000, 64)))
+    rows = np.arange(8000)
+    best = topk.dual_search(data[::4], rows[::4], data, rows, rows, 20)
+    assert best.met < 0.5 * 2000 * 8000
+    scores = data[::4] @ data.T
+    scores[np.arange(2000), rows[::4]] = -np.inf
+    assert np.array_equal(best.scores, -np.sort(-scores, axis=1)[:, :20])
 
 
 def test_classifier_on_held_out_rows(spark):
