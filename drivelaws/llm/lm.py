@@ -3,6 +3,10 @@
 A target and a background bigram model share vocabulary, smoothing and the set of bigrams kept. A
 document's score is the mean over its tokens of target loss minus background loss: the lower, the
 more it reads like the target.
+
+The models grow with the corpus, so no task holds them whole: documents are dealt into blocks, a block
+counts its own words and bigrams, the counts meet by word or bigram, and what the whole corpus has of
+each returns to the blocks that hold it. A block then scores its documents with its slice of both models.
 """
 
 from __future__ import annotations
@@ -11,145 +15,139 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, bounded, null_safe_join, settle, size_of, text_of
-from .textnp import Rolling, per_text, text_bytes, words
+from .textnp import BASE, Rolling, mix, per_text, text_bytes, words
 
-# A word is in the vocabulary from one in so many tokens on, so it has at most as many words; a bigram
-# is kept likewise. Both thus have a size that no corpus exceeds; rarer bigrams back off.
-VOCABULARY = 100_000
-BIGRAMS = 1_000_000
+# A word is in the vocabulary, and a bigram in both models, from so many occurrences in all documents on.
+LEAST = 2
 # Weights of bigram, unigram and uniform probability.
 BIGRAM, UNIGRAM, UNIFORM = 0.5, 0.4, 0.1
-PENDING = 400_000
+BLOCK_BYTES = 16 << 20
+# Keys are 63 bits of a hash and a last bit that tells bigrams (1) from words (0). Two even keys stand for
+# the begin of a text, which is a context, and for all tokens.
+BEGIN, TOTAL = -2, -4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Keys of the words, of the words before them and of both as a bigram; index of each word's text; number of texts."""
     data, starts = text_bytes(column)
     data = _LOWER[data]
     begin, end, of = words(data, starts)
-    return Rolling(data).ranges(begin, end).view(np.int64), of, len(starts) - 1
+    word = Rolling(data).ranges(begin, end) & ~np.uint64(1)
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    first = np.ones(len(word), bool)
+    first[1:] = of[1:] != of[:-1]
+    before[first] = np.int64(BEGIN).astype(np.uint64)
+    pair = mix(before * np.uint64(BASE) + word) | np.uint64(1)
+    return word.view(np.int64), before.view(np.int64), pair.view(np.int64), of, len(starts) - 1
 
 
 class Tally:
-    """Counts of keys, all and within the target, kept small by merging."""
+    """Counts of keys in one block, all and within the target."""
 
-    def __init__(self):
+    def __init__(self, block: int):
+        self.block = block
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, wanted: np.ndarray) -> None:
-        self._put(keys, np.ones(len(keys), np.int64), wanted.astype(np.int64))
 
-    def _put(self, keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> None:
+    def put(self, keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> None:
         distinct, at = np.unique(keys, return_inverse=True)
-        self.parts.append((distinct, np.bincount(at, n, len(distinct)).astype(np.int64), np.bincount(at, wanted, len(distinct)).astype(np.int64)))
-        self.size += len(distinct)
+        self.parts.append((distinct, *(np.bincount(at, x, len(distinct)).astype(np.int64) for x in (n, wanted))))
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts, self.parts, self.size = self.parts, [], 0
-        self._put(*(np.concatenate(p) for p in zip(*parts)))
-        return self.parts[0]
+    def add(self, batch: pa.RecordBatch) -> None:
+        word, _, pair, of, n = keys_of(batch.column("text"))
+        wanted = batch.column("wanted").to_numpy(zero_copy_only=False)
+        spoken = per_text(of, None, n) > 0
+        once = np.ones(len(word), np.int64)
+        for keys in (word, pair):
+            self.put(keys, once, wanted[of])
+        self.put(np.array([BEGIN, TOTAL]), np.array([spoken.sum(), len(word)]), np.array([(spoken & wanted).sum(), wanted[of].sum()]))
 
     def batch(self) -> pa.RecordBatch:
-        keys, n, wanted = self.merged()
-        self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(wanted)], ["key", "n", "target"])
+        parts, self.parts = self.parts, []
+        self.put(*(np.concatenate(p) for p in zip(*parts)))
+        keys, n, wanted = self.parts[0]
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), self.block)), pa.array(n), pa.array(wanted)],
+                                          ["key", "block", "n", "target"])
+
+
+def _blocks(rows: DataFrame, kind: str) -> DataFrame:
+    """The rows, settled, with the number of a block of about ``BLOCK_BYTES`` of text; a longer text ends its block."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = held + np.cumsum(lengths)
+            held += int(lengths.sum())
+            block = pa.array(first + (ends - lengths) // BLOCK_BYTES)
+            yield pa.RecordBatch.from_arrays([block, *batch.columns], ["block", "id", "text", "wanted"])
+
+    return settle(rows.select("id", "text", "wanted").mapInArrow(number, f"block long, id {kind}, text string, wanted boolean"))
 
 
-def _counted(rows: DataFrame, keys_of) -> DataFrame:
-    """``(key, n, target)``: counts over all rows and over target rows, summed in tasks before the shuffle."""
+def _slices(blocks: DataFrame) -> DataFrame:
+    """``(block, key, n, target, leads)``, settled: counts over all documents of the block's keys; one row of a key leads."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for batch in bounded(batches, "text"):
-            keys, of = keys_of(batch.column("text"))
-            tally.add(keys, batch.column("wanted").to_numpy(zero_copy_only=False)[of])
-            if tally.size > 2 * PENDING:
-                tally.merged()
-                if tally.size > PENDING:
+        tally = None
+        for batch in batches:
+            at = batch.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)] if len(at) else []
+            for low, high in zip(edges, edges[1:]):
+                if tally is not None and tally.block != at[low]:
                     yield tally.batch()
-        if tally.parts:
+                    tally = None
+                tally = tally or Tally(int(at[low]))
+                for piece in bounded([batch.slice(low, high - low)], "text"):
+                    tally.add(piece)
+        if tally is not None:
             yield tally.batch()
 
-    each = rows.mapInArrow(run, "key long, n long, target long")
-    return each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+    counted = blocks.select("block", "text", "wanted").mapInArrow(run, "key long, block long, n long, target long")
+    place = Window.partitionBy("key").orderBy("block")
+    whole = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = counted.select("block", "key", F.sum("n").over(whole).alias("n"), F.sum("target").over(whole).alias("target"),
+                            (F.row_number().over(place) == 1).alias("leads"))
+    return settle(summed.filter((F.col("n") >= LEAST) | F.col("key").isin(BEGIN, TOTAL)))
 
 
 class Models:
-    """Both models over one vocabulary; id 0 is every other word, the last id is the begin of a text."""
-
-    def __init__(self, vocabulary: np.ndarray, unigrams: np.ndarray, totals: tuple[int, int], texts: tuple[int, int]):
-        self.vocabulary, self.size = vocabulary, len(vocabulary) + 1
-        self.unigrams, self.totals = unigrams, totals  # counts by id for (all, target)
-        self.contexts = [np.append(u, t).astype(float) for u, t in zip(unigrams, texts)]
-        self.codes, self.pairs = np.zeros(0, np.int64), np.zeros((2, 0))
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
-
-    def bigrams(self, ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        first = np.ones(len(ids), bool)
-        first[1:] = of[1:] != of[:-1]
-        before[first] = self.size
-        return before, before * (self.size + 1) + ids
-
-    def losses(self, ids: np.ndarray, before: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
+    """A block's slice of both models. ``size`` is that of the whole vocabulary, other words counting as one;
+    ``known`` the tokens within it, of all documents and of the target."""
+
+    def __init__(self, counts: pa.Table, size: int, known: tuple[int, int]):
+        # a block whose rows were read in two tasks has its keys twice
+        self.keys, at = np.unique(counts["key"].to_numpy(), return_index=True)
+        self.counts = [counts[c].to_numpy()[at].astype(float) for c in ("n", "target")]
+        self.size = size
+        total = self.find(np.array([TOTAL]))
+        self.totals = [c[total[0]] for c in self.counts]
+        self.others = [t - k for t, k in zip(self.totals, known)]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of every key, -1 for one that is not in the models."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
         """Loss of every token under the background model and under the target model."""
-        at = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
-        known = self.codes[at] == codes if len(self.codes) else np.zeros(len(codes), bool)
+        word, before, pair = self.find(word), self.find(before), self.find(pair)
         out = []
-        for k in range(2):
-            pair = np.where(known, self.pairs[k][at], 0.0) if len(self.codes) else np.zeros(len(codes))
-            context = self.contexts[k][before]
-            p = BIGRAM * np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)
-            p += UNIGRAM * (self.unigrams[k][ids] / max(self.totals[k], 1)) + UNIFORM / self.size
+        for counts, total, others in zip(self.counts, self.totals, self.others):
+            context = np.where(before >= 0, counts[before], 0.0)
+            both = np.where(pair >= 0, counts[pair], 0.0)
+            p = BIGRAM * np.divide(both, context, out=np.zeros(len(both)), where=context > 0)
+            p += UNIGRAM * (np.where(word >= 0, counts[word], others) / max(total, 1)) + UNIFORM / self.size
             out.append(-np.log(p))
         return out
 
 
-def _ordered(counts: DataFrame) -> np.ndarray:
-    """Rows of a table of bounded size, by key."""
-    table = counts.select("key", "n", "target").toArrow()
-    rows = np.stack([c.to_numpy().astype(np.int64) for c in table.columns], axis=1)
-    return rows[np.argsort(rows[:, 0])]
-
-
-def train(rows: DataFrame) -> Models:
-    """Models of ``(text, wanted)``: background over all rows, target over the wanted ones."""
-    def word_keys(column):
-        hashes, of, _ = word_hashes(column)
-        return hashes, of
-
-    counts = settle(_counted(rows, word_keys))
-    sums = counts.agg(F.sum("n"), F.sum("target")).first()
-    totals = int(sums[0] or 0), int(sums[1] or 0)
-    common = counts.filter(F.col("n") * VOCABULARY >= totals[0])
-    known = _ordered(common)
-    unigrams = np.stack([np.concatenate([[totals[k] - known[:, k + 1].sum()], known[:, k + 1]]) for k in range(2)])
-    spoken = rows.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).agg(F.count(F.lit(1)), F.count_if("wanted")).first()
-    models = Models(known[:, 0].copy(), unigrams, totals, (spoken[0], spoken[1]))
-
-    shared = rows.sparkSession.sparkContext.broadcast(models)
-
-    def pair_keys(column):
-        hashes, of, _ = word_hashes(column)
-        return shared.value.bigrams(shared.value.ids(hashes), of)[1], of
-
-    pairs = settle(_counted(rows, pair_keys).filter(F.col("n") * BIGRAMS >= totals[0]))
-    found = _ordered(pairs)
-    models.codes, models.pairs = found[:, 0].copy(), found[:, 1:].T.astype(float)
-    return models
-
-
 def marked(spark: SparkSession, docs: DataFrame, target_keys: DataFrame, key: str) -> DataFrame:
     """The rows with ``wanted``: whether their key is among the target's."""
     keys = settle(target_keys.select(F.col(f"`{key}`").alias("__key")).distinct().withColumn("wanted", F.lit(True)))
@@ -161,26 +159,33 @@ def marked(spark: SparkSession, docs: DataFrame, target_keys: DataFrame, key: st
 def score(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_tokens, target_loss, background_loss, score)`` with one row per row of ``docs``.
 
-    Losses are means per token. Texts without words, null or empty, have losses and score 0. Null
-    keys are in the target only if the target names a null key; repeated rows count and score each.
-    With an empty target its model is uniform smoothing alone.
+    Losses are means per token. A word or bigram is in the models from ``LEAST`` occurrences on, at any
+    size of the corpus; rarer words count as one, rarer bigrams back off. Texts without words, null or
+    empty, have losses and score 0. Null keys are in the target only if the target names a null key;
+    repeated rows count and score each; an empty table gives no rows; other columns take no part. With
+    an empty target its model is uniform smoothing alone. Words are told apart by 63 bits.
     """
     rows = marked(docs.sparkSession, docs.select(F.col(f"`{key}`").alias("id"), text_of(F.col(f"`{text}`")).alias("text")),
                   target_keys.select(F.col(f"`{key}`").alias("id")), "id")
-    models = docs.sparkSession.sparkContext.broadcast(train(rows))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
-            hashes, of, n = word_hashes(batch.column("text"))
-            ids = models.value.ids(hashes)
-            before, codes = models.value.bigrams(ids, of)
-            background, target = models.value.losses(ids, before, codes)
+    kind = docs.schema[key].dataType.simpleString()
+    blocks = _blocks(rows, kind)
+    slices = _slices(blocks)
+    vocabulary = slices.filter(F.col("leads") & (F.col("key") % 2 == 0) & ~F.col("key").isin(BEGIN, TOTAL))
+    entries, *known = (x or 0 for x in vocabulary.agg(F.count(F.lit(1)), F.sum("n"), F.sum("target")).first())
+    types = {"n_tokens": pa.int64(), "target_loss": pa.float64(), "background_loss": pa.float64(), "score": pa.float64()}
+
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        models = Models(counts, entries + 1, tuple(known))
+        out = []
+        for batch in bounded(texts.select(["id", "text"]).to_batches(), "text"):
+            word, before, pair, of, n = keys_of(batch.column("text"))
+            background, target = models.losses(word, before, pair)
             count = per_text(of, None, n)
             over = np.maximum(count, 1)
             sums = [np.bincount(of, x, n) / over for x in (target, background, target - background)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count), *(pa.array(s) for s in sums)],
-                                             ["id", "n_tokens", "target_loss", "background_loss", "score"])
+            out.append(pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count), *(pa.array(s) for s in sums)], ["id", *types]))
+        return pa.Table.from_batches(out)
 
-    kind = docs.schema[key].dataType.simpleString()
-    scored = rows.select("id", "text").mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    scored = blocks.select("block", "id", "text").groupBy("block").cogroup(slices.select("block", "key", "n", "target").groupBy("block"))
+    scored = scored.applyInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
     return scored.withColumnRenamed("id", key)

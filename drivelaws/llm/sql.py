@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .lexical import LOWER, TERM, UPPER
-from .lm import BIGRAM, BIGRAMS, UNIFORM, UNIGRAM, VOCABULARY
+from .lm import BIGRAM, LEAST, UNIFORM, UNIGRAM
 from .mixing import MOST_COPIES, SEED
 from .quality import GRAM_LIMITS, LEAST_WORDS, LINE_LIMIT, REPEAT_LIMIT
 from .secrets import ACCESS, ASSIGN, HEX, LEAST_VALUE, MOST_OWNERS, TOKEN
@@ -167,23 +167,20 @@ SQL["op6_lm_scoring"] = rf"""
     spoken AS (SELECT doc_id, wanted, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM listed),
     totals AS (SELECT count(*) AS n, count(*) FILTER (wanted) AS t FROM spoken),
     texts AS (SELECT count(*) AS n, count(*) FILTER (wanted) AS t FROM listed WHERE len(words) > 0),
-    vocabulary AS (SELECT word FROM spoken GROUP BY word HAVING count(*) * {VOCABULARY} >= (SELECT n FROM totals)),
-    size AS (SELECT count(*) + 1 AS v FROM vocabulary),
-    tokens AS (
-        SELECT doc_id, wanted, i, coalesce(v.word, '<other words>') AS word,
-            lag(coalesce(v.word, '<other words>'), 1, '<begin of text>') OVER (PARTITION BY doc_id ORDER BY i) AS before
-        FROM spoken s LEFT JOIN vocabulary v ON s.word = v.word),
-    unigrams AS (SELECT word, count(*) AS n, count(*) FILTER (wanted) AS t FROM tokens GROUP BY word),
-    contexts AS (SELECT word AS before, n, t FROM unigrams UNION ALL SELECT '<begin of text>', n, t FROM texts),
-    bigrams AS (
-        SELECT before, word, count(*) AS n, count(*) FILTER (wanted) AS t FROM tokens GROUP BY before, word
-        HAVING count(*) * {BIGRAMS} >= (SELECT n FROM totals)),
+    unigrams AS (SELECT word, count(*) AS n, count(*) FILTER (wanted) AS t FROM spoken GROUP BY word HAVING count(*) >= {LEAST}),
+    size AS (SELECT count(*) + 1 AS v, coalesce(sum(n), 0) AS n, coalesce(sum(t), 0) AS t FROM unigrams),
+    contexts AS (SELECT word AS before, n, t FROM unigrams UNION ALL SELECT NULL, n, t FROM texts),
+    tokens AS (SELECT doc_id, wanted, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM spoken),
+    bigrams AS (SELECT before, word, count(*) AS n, count(*) FILTER (wanted) AS t FROM tokens GROUP BY before, word HAVING count(*) >= {LEAST}),
+    rates AS (
+        SELECT b.before, b.word, b.n / c.n AS n, CASE WHEN c.t > 0 THEN b.t / c.t ELSE 0 END AS t
+        FROM bigrams b JOIN contexts c ON b.before IS NOT DISTINCT FROM c.before),
     losses AS (
         SELECT doc_id,
-            -ln({BIGRAM} * CASE WHEN c.t > 0 THEN coalesce(b.t, 0) / c.t ELSE 0 END
-                + {UNIGRAM} * (u.t / greatest((SELECT t FROM totals), 1)) + {UNIFORM} / (SELECT v FROM size)) AS target,
-            -ln({BIGRAM} * coalesce(b.n, 0) / c.n + {UNIGRAM} * (u.n / (SELECT n FROM totals)) + {UNIFORM} / (SELECT v FROM size)) AS background
-        FROM tokens JOIN unigrams u USING (word) JOIN contexts c USING (before) LEFT JOIN bigrams b USING (before, word))
+            -ln({BIGRAM} * coalesce(r.t, 0) + {UNIGRAM} * (coalesce(u.t, totals.t - size.t) / greatest(totals.t, 1)) + {UNIFORM} / v) AS target,
+            -ln({BIGRAM} * coalesce(r.n, 0) + {UNIGRAM} * (coalesce(u.n, totals.n - size.n) / totals.n) + {UNIFORM} / v) AS background
+        FROM tokens k CROSS JOIN totals CROSS JOIN size LEFT JOIN unigrams u ON k.word = u.word
+            LEFT JOIN rates r ON k.word = r.word AND k.before IS NOT DISTINCT FROM r.before)
     SELECT doc_id, len(any_value(words)) AS n_tokens, round(coalesce(avg(target), 0), 6) AS target_loss,
         round(coalesce(avg(background), 0), 6) AS background_loss, round(coalesce(avg(target - background), 0), 6) AS score
     FROM listed LEFT JOIN losses USING (doc_id) GROUP BY doc_id"""

@@ -167,6 +167,20 @@ def test_language_model_edges(docs, none, spark):
     assert lm.score(docs, target.filter("false")).count() == docs.count()
 
 
+def test_language_model_blocks(spark, monkeypatch):
+    """Scores don't depend on the blocks; what stands in two documents is known to the models at any size of the corpus."""
+    texts = [" ".join(f"w{i * 1000 + j}" for j in range(60)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[7]])], "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(7,), (8,)], "doc_id long")
+    whole = {r["doc_id"]: tuple(r) for r in lm.score(docs, target).collect()}
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    assert {r["doc_id"]: tuple(r) for r in lm.score(docs, target).collect()} == whole
+    assert whole[7][1:] == whole[300][1:] and whole[7][3] < min(w[3] for i, w in whole.items() if i not in (7, 300))
+    p = 0.5 * 2 / 2 + 0.4 * 2 / (301 * 60) + 0.1 / 61
+    first = 0.5 * 2 / 301 + 0.4 * 2 / (301 * 60) + 0.1 / 61
+    assert abs(whole[7][3] + (59 * np.log(p) + np.log(first)) / 60) < 1e-12
+
+
 def test_classifier_edges(docs, none, spark):
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, None), (None, 1), (7, 0)], "doc_id long, quality int")
     out = classifier.classify(docs, labels).collect()
