@@ -5,8 +5,8 @@ document's score is the mean over its tokens of target loss minus background los
 more it reads like the target.
 
 The models grow with the corpus, so no task holds them whole: documents are dealt into blocks, a block
-counts its own words and bigrams, the counts meet by word or bigram, and what the whole corpus has of
-each returns to the blocks that hold it. A block then scores its documents with its slice of both models.
+counts its own words and bigrams, the counts meet in ranges of their keys, and what the whole corpus has
+of each returns to the blocks that hold it. A block then scores its documents with its slice of both models.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, bounded, null_safe_join, settle, size_of, text_of
@@ -28,9 +28,11 @@ LEAST = 2
 # Weights of bigram, unigram and uniform probability.
 BIGRAM, UNIGRAM, UNIFORM = 0.5, 0.4, 0.1
 BLOCK_BYTES = 16 << 20
-# Keys are 63 bits of a hash and a last bit that tells bigrams (1) from words (0). Two even keys stand for
-# the begin of a text, which is a context, and for all tokens.
-BEGIN, TOTAL = -2, -4
+# The counts of the corpus are summed in so many ranges of keys for each block, and at least in so many.
+RANGES, LEAST_RANGES = 8, 64
+# Keys are 63 bits of a hash and a last bit that tells bigrams (1) from words (0). The two last even keys
+# stand for all tokens and for the begin of a text, which is a context.
+TOTAL, BEGIN = np.uint64(2 ** 64 - 4), np.uint64(2 ** 64 - 2)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -45,9 +47,28 @@ def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     before[1:] = word[:-1]
     first = np.ones(len(word), bool)
     first[1:] = of[1:] != of[:-1]
-    before[first] = np.int64(BEGIN).astype(np.uint64)
+    before[first] = BEGIN
     pair = mix(before * np.uint64(BASE) + word) | np.uint64(1)
-    return word.view(np.int64), before.view(np.int64), pair.view(np.int64), of, len(starts) - 1
+    return word, before, pair, of, len(starts) - 1
+
+
+def pack(keys: np.ndarray, n: np.ndarray, target: np.ndarray) -> bytes:
+    """Ascending keys as differences and their counts, by place of byte, so that what is zero lies together."""
+    rows = np.stack([np.diff(keys, prepend=np.uint64(0)), n.astype(np.uint64), target.astype(np.uint64)])
+    return rows.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, counts and target counts one after another, and how many there are in each."""
+    parts = [np.frombuffer(b, np.uint8).reshape(3, 8, -1).transpose(0, 2, 1).copy().view(np.uint64)[..., 0] for b in packed]
+    keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    return keys, *(np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2)), np.array([p.shape[1] for p in parts])
+
+
+def summed(keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, place of each key among them, sums of both counts."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, at, *(np.bincount(at, x, len(distinct)).astype(np.int64) for x in (n, wanted))
 
 
 class Tally:
@@ -58,8 +79,8 @@ class Tally:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def put(self, keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> None:
-        distinct, at = np.unique(keys, return_inverse=True)
-        self.parts.append((distinct, *(np.bincount(at, x, len(distinct)).astype(np.int64) for x in (n, wanted))))
+        distinct, _, *sums = summed(keys, n, wanted)
+        self.parts.append((distinct, *sums))
 
     def add(self, batch: pa.RecordBatch) -> None:
         word, _, pair, of, n = keys_of(batch.column("text"))
@@ -70,12 +91,15 @@ class Tally:
             self.put(keys, once, wanted[of])
         self.put(np.array([BEGIN, TOTAL]), np.array([spoken.sum(), len(word)]), np.array([(spoken & wanted).sum(), wanted[of].sum()]))
 
-    def batch(self) -> pa.RecordBatch:
-        parts, self.parts = self.parts, []
-        self.put(*(np.concatenate(p) for p in zip(*parts)))
-        keys, n, wanted = self.parts[0]
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), self.block)), pa.array(n), pa.array(wanted)],
-                                          ["key", "block", "n", "target"])
+    def batch(self, ranges: int) -> pa.RecordBatch:
+        """One row per range of keys: the block's counts in it."""
+        self.put(*(np.concatenate(p) for p in zip(*self.parts)))
+        keys, n, wanted = self.parts[-1]
+        cuts = [0, *np.searchsorted(keys, np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)).tolist(), len(keys)]
+        held = [(i, low, high) for i, (low, high) in enumerate(zip(cuts, cuts[1:])) if high > low]
+        entries = pa.array([pack(keys[low:high], n[low:high], wanted[low:high]) for _, low, high in held], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in held], pa.int64()), pa.array([self.block] * len(held), pa.int64()), entries],
+                                          ["range", "block", "entries"])
 
 
 def _blocks(rows: DataFrame, kind: str) -> DataFrame:
@@ -93,7 +117,12 @@ def _blocks(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def _slices(blocks: DataFrame) -> DataFrame:
-    """``(block, key, n, target, leads)``, settled: counts over all documents of the block's keys; one row of a key leads."""
+    """``(block, entries, words, n, target)``, settled: packed counts over all documents of the block's keys.
+
+    The last three are what a range of keys adds to the vocabulary, said in one of its rows.
+    """
+    ranges = max(LEAST_RANGES, RANGES * blocks.agg(F.count_distinct("block")).first()[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = None
         for batch in batches:
@@ -101,20 +130,30 @@ def _slices(blocks: DataFrame) -> DataFrame:
             edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)] if len(at) else []
             for low, high in zip(edges, edges[1:]):
                 if tally is not None and tally.block != at[low]:
-                    yield tally.batch()
+                    yield tally.batch(ranges)
                     tally = None
                 tally = tally or Tally(int(at[low]))
                 for piece in bounded([batch.slice(low, high - low)], "text"):
                     tally.add(piece)
         if tally is not None:
-            yield tally.batch()
-
-    counted = blocks.select("block", "text", "wanted").mapInArrow(run, "key long, block long, n long, target long")
-    place = Window.partitionBy("key").orderBy("block")
-    whole = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = counted.select("block", "key", F.sum("n").over(whole).alias("n"), F.sum("target").over(whole).alias("target"),
-                            (F.row_number().over(place) == 1).alias("leads"))
-    return settle(summed.filter((F.col("n") >= LEAST) | F.col("key").isin(BEGIN, TOTAL)))
+            yield tally.batch(ranges)
+
+    def count(parts: pa.Table) -> pa.Table:
+        keys, *counts, sizes = unpack(parts["entries"].to_pylist())
+        distinct, at, n, target = summed(keys, *counts)
+        shared = (n >= LEAST) | (distinct >= TOTAL)
+        vocabulary = shared & (distinct % np.uint64(2) == 0) & (distinct < TOTAL)
+        entries = []
+        for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
+            mine = at[end - size:end]
+            mine = mine[shared[mine]]
+            entries.append(pack(distinct[mine], n[mine], target[mine]))
+        adds = [[int(x)] + [0] * (len(entries) - 1) for x in (vocabulary.sum(), n[vocabulary].sum(), target[vocabulary].sum())]
+        return pa.table([parts["block"], pa.array(entries, pa.binary()), *(pa.array(x, pa.int64()) for x in adds)],
+                        ["block", "entries", "words", "n", "target"])
+
+    counted = blocks.select("block", "text", "wanted").mapInArrow(run, "range long, block long, entries binary")
+    return settle(counted.groupBy("range").applyInArrow(count, "block long, entries binary, words long, n long, target long"))
 
 
 class Models:
@@ -123,11 +162,12 @@ class Models:
 
     def __init__(self, counts: pa.Table, size: int, known: tuple[int, int]):
         # a block whose rows were read in two tasks has its keys twice
-        self.keys, at = np.unique(counts["key"].to_numpy(), return_index=True)
-        self.counts = [counts[c].to_numpy()[at].astype(float) for c in ("n", "target")]
+        keys, *both, _ = unpack(counts["entries"].to_pylist())
+        self.keys, at = np.unique(keys, return_index=True)
+        self.counts = [c[at].astype(float) for c in both]
         self.size = size
-        total = self.find(np.array([TOTAL]))
-        self.totals = [c[total[0]] for c in self.counts]
+        total = self.find(np.array([TOTAL]))[0]
+        self.totals = [c[total] for c in self.counts]
         self.others = [t - k for t, k in zip(self.totals, known)]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -170,8 +210,7 @@ def score(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: st
     kind = docs.schema[key].dataType.simpleString()
     blocks = _blocks(rows, kind)
     slices = _slices(blocks)
-    vocabulary = slices.filter(F.col("leads") & (F.col("key") % 2 == 0) & ~F.col("key").isin(BEGIN, TOTAL))
-    entries, *known = (x or 0 for x in vocabulary.agg(F.count(F.lit(1)), F.sum("n"), F.sum("target")).first())
+    entries, *known = (x or 0 for x in slices.agg(F.sum("words"), F.sum("n"), F.sum("target")).first())
     types = {"n_tokens": pa.int64(), "target_loss": pa.float64(), "background_loss": pa.float64(), "score": pa.float64()}
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
@@ -186,6 +225,6 @@ def score(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: st
             out.append(pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count), *(pa.array(s) for s in sums)], ["id", *types]))
         return pa.Table.from_batches(out)
 
-    scored = blocks.select("block", "id", "text").groupBy("block").cogroup(slices.select("block", "key", "n", "target").groupBy("block"))
+    scored = blocks.select("block", "id", "text").groupBy("block").cogroup(slices.select("block", "entries").groupBy("block"))
     scored = scored.applyInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
     return scored.withColumnRenamed("id", key)
