@@ -53,16 +53,20 @@ def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def pack(keys: np.ndarray, n: np.ndarray, target: np.ndarray) -> bytes:
-    """Ascending keys as differences and their counts, by place of byte, so that what is zero lies together."""
+    """How many, then ascending keys as differences and their counts, compressed by place of byte, where most are zero."""
     rows = np.stack([np.diff(keys, prepend=np.uint64(0)), n.astype(np.uint64), target.astype(np.uint64)])
-    return rows.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes()
+    places = rows.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes()
+    return len(keys).to_bytes(8, "little") + pa.Codec("zstd").compress(places, asbytes=True)
 
 
 def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, counts and target counts one after another, and how many there are in each."""
-    parts = [np.frombuffer(b, np.uint8).reshape(3, 8, -1).transpose(0, 2, 1).copy().view(np.uint64)[..., 0] for b in packed]
+    codec = pa.Codec("zstd")
+    sizes = [int.from_bytes(b[:8], "little") for b in packed]
+    places = [np.frombuffer(codec.decompress(b[8:], 24 * n, asbytes=True), np.uint8) for b, n in zip(packed, sizes)]
+    parts = [p.reshape(3, 8, n).transpose(0, 2, 1).copy().view(np.uint64)[..., 0] for p, n in zip(places, sizes)]
     keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    return keys, *(np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2)), np.array([p.shape[1] for p in parts])
+    return keys, *(np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2)), np.array(sizes)
 
 
 def summed(keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
