@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -24,16 +24,26 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_matching(spark: SparkSession, folder: str, token: str) -> DataFrame | None:
     """All parquet files of a folder whose name holds the token, as one scan; None if there are none.
 
+    A file may also be a folder of part files, known by its own name, and files may lie in partitions of the folder.
     Columns are united by name: a file without one gives nulls.
     """
-    reader = spark.read.option("pathGlobFilter", "*.parquet").option("mergeSchema", "true")
-    pattern = "".join(f"[{c}]" if c in "*?[{" else c for c in token)
-    try:
-        return reader.option("pathGlobFilter", f"*{pattern}*.parquet").parquet(folder)
-    except AnalysisException as error:
-        if "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+    pattern = "*" + "".join(f"[{c}]" if c in "*?[{" else c for c in token) + "*.parquet"
+
+    def found(read: Callable[[], DataFrame]) -> DataFrame | None:
+        try:
+            return read()
+        except AnalysisException as error:
+            if error.getCondition() in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+                return None
+            raise
+
+    base = folder.rstrip("/")
+    named = found(lambda: spark.read.option("mergeSchema", "true").parquet(f"{base}/{pattern}"))
+    parts = found(lambda: spark.read.option("mergeSchema", "true").option("basePath", folder).option("pathGlobFilter", pattern).parquet(f"{base}/*=*"))
+    scans = [scan for scan in (named, parts) if scan is not None]
+    if not scans:  # an error if there is no such folder
+        spark.read.schema("none int").option("recursiveFileLookup", "true").parquet(folder)
+    return union_evolving(scans) if scans else None
 
 
 def read_cycles(spark: SparkSession, folder: str, cycle: str, source: str = "source") -> DataFrame | None:

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from drivelaws.functions import scalars as X
@@ -194,6 +195,23 @@ def test_readers(spark, tmp_path):
     assert not R.table_exists(spark, "no_such_table")
 
 
+def test_files_that_are_folders_of_part_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    spark.range(4).withColumn("b", F.lit("z")).repartition(2).write.parquet(str(folder / "t_1_gear.parquet"))
+    spark.range(5).write.parquet(str(folder / "t_2_gear.parquet"))
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "x"))
+    part = next((tmp_path / "x").glob("*.parquet")).read_bytes()
+    (folder / "t_1_speed.parquet").write_bytes(part)
+    (folder / "c=7").mkdir()
+    (folder / "c=7" / "t_1_rest.parquet").write_bytes(part)
+    got = R.read_matching(spark, str(folder), "t_1")
+    assert sorted(got.columns) == ["b", "c", "id"] and got.count() == 10
+    assert got.filter("b = 'z'").count() == 4 and got.filter("c = 7").count() == 3
+    assert R.read_matching(spark, str(folder), "t_9") is None
+    with pytest.raises(AnalysisException):
+        R.read_matching(spark, str(tmp_path / "nowhere"), "t_1")
+
+
 def test_latin1_registry(spark, tmp_path):
     (tmp_path / "freq.csv").write_bytes("Signal;Frequence\nétat;10\n".encode("ISO-8859-1"))
     assert [tuple(r) for r in R.read_registry(spark, str(tmp_path / "freq.csv"), R.LATIN).collect()] == [("état", "10")]
