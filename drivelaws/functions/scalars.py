@@ -82,6 +82,16 @@ def safe_cast(value: Column, kind: str) -> Column:
     return F.when(text.rlike(NUMBER) | text.isin("true", "false"), value.try_cast(kind))
 
 
+def number_json(x: Column) -> Column:
+    """JSON text of a double: all digits in place from 1e-4 to below 1e16, an exponent elsewhere; NaN and infinity in quotes."""
+    text = x.cast("string")
+    placed = F.regexp_replace(x.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    powers = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit(".0E"), F.lit("E")), r"E(\d)", "e+$1"), r"E-(\d+)$", "e-$1")
+    powers = F.regexp_replace(powers, r"e-(\d)$", "e-0$1")
+    return (F.when(x.isNull(), F.lit("null")).when(~text.rlike("[0-9]"), F.concat(F.lit('"'), text, F.lit('"')))
+            .when(~F.contains(text, F.lit("E")), text).when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), placed).otherwise(powers))
+
+
 def stats_json(low: Column, high: Column, mean: Column) -> Column:
     """``[min,max,mean]`` as JSON text; ``[]`` if any value present is not a number."""
     cols = (low, high, mean)
@@ -90,7 +100,7 @@ def stats_json(low: Column, high: Column, mean: Column) -> Column:
     for raw, number in zip(cols, numbers):
         bad = raw.isNotNull() & number.isNull()
         broken = bad if broken is None else broken | bad
-    return F.when(broken, F.lit("[]")).otherwise(F.to_json(F.array(*numbers)))
+    return F.when(broken, F.lit("[]")).otherwise(F.concat(F.lit("["), F.concat_ws(",", *map(number_json, numbers)), F.lit("]")))
 
 
 def study_date(text: Column) -> Column:

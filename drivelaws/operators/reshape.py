@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import as_number
+from ..functions.scalars import as_number, number_json
 from .projections import quoted
 
 NONE = "none"
@@ -266,6 +266,12 @@ def explode_matrix(df: DataFrame, json_col: str, ref: str, label: str) -> DataFr
     return _united((named(df, _read(cell)), odd), opened)
 
 
+def _quoted(text: Column) -> Column:
+    """Text as JSON."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
 def wrap_matrix(long: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Long rows back to one JSON text per (Study_ref, Criteria_label): the inverse of
     ``explode_matrix``. ``bounds`` gives axes and bins per study and label; H0D rows have no matrix.
@@ -280,11 +286,14 @@ def wrap_matrix(long: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     twice = F.raise_error(F.concat_ws("/", F.lit("a cell is given more than once:"), *keys, *classes))
     nested = cells.groupBy(*keys, *classes).agg(F.count(F.lit(1)).alias("times"), F.max("Correspondant_value").alias("inner"))
     nested = nested.withColumn("inner", F.when(F.col("times") > 1, twice.cast("double")).otherwise(F.col("inner"))).drop("times")
+    nested = nested.withColumn("inner", number_json(F.col("inner").cast("double")))
     for name in ("ClassC", "ClassB", "ClassA"):
         above = {"ClassC": ["ClassA", "ClassB"], "ClassB": ["ClassA"], "ClassA": []}[name]
         entries = F.array_sort(F.collect_list(F.struct(F.col(name).alias("k"), F.col("inner").alias("v"))),
                                lambda x, y: F.when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0))
-        nested = nested.groupBy(*keys, *above).agg(F.map_from_entries(entries).alias("inner"))
+        fields = F.transform(F.col("entries"), lambda e: F.concat(_quoted(e["k"]), F.lit(":"), e["v"]))
+        nested = nested.groupBy(*keys, *above).agg(entries.alias("entries")).withColumn(
+            "inner", F.concat(F.lit("{"), F.concat_ws(",", fields), F.lit("}"))).drop("entries")
     if bounds is not None:
         nested = nested.join(bounds, keys, "left")
 
@@ -292,9 +301,9 @@ def wrap_matrix(long: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
         given = F.col(name) if bounds is not None and name in bounds.columns else F.lit(None).cast("string")
         return F.coalesce(given, F.lit(default)).alias(name)
 
-    wrapped = F.struct(field("x_axis", "unknown"), field("y_axis", "unknown"), field("x_bins", ""),
-                       field("y_bins", ""), F.col("inner").alias("matrix"))
-    return nested.select(*keys, F.to_json(wrapped).alias("dfmatrix"))
+    header = F.to_json(F.struct(field("x_axis", "unknown"), field("y_axis", "unknown"), field("x_bins", ""), field("y_bins", "")))
+    wrapped = F.concat(F.rtrim(header, F.lit("}")), F.lit(',"matrix":'), F.col("inner"), F.lit("}"))
+    return nested.select(*keys, wrapped.alias("dfmatrix"))
 
 
 def parse_bins(spec: Column) -> Column:

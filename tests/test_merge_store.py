@@ -221,3 +221,12 @@ def test_kpis_hot_and_cold_agree(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("s"), F.col("id").alias("t"), (F.col("id") * 7 % 101).cast("double").alias("v"))
     plain = rows(signal_kpis(df, ["s"], "v", ["t"]))
     assert rows(signal_kpis(df, ["s"], "v", ["t"], gather=10)) == plain and len(plain) == 3
+
+
+def test_large_and_small_numbers_in_json(spark):
+    values = [1.8e7, -2.5e8, 123456789.125, 9999999999999998.0, 1e16, 1.5e300, 1e7, 9999999.0, 0.001, 1.2345678901234567e-4, 1e-5, 1.25e-7, 2.5e-100, 0.0, -0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.s for r in df.select("v", X.stats_json(F.col("v"), F.lit(None), F.lit("2e7")).alias("s")).collect()]
+    assert got == [f"[{json.dumps(v)},null,20000000.0]" for v in values]
+    odd = spark.createDataFrame([(float("nan"), float("-inf"))], "a double, b double")
+    assert odd.select(X.stats_json(F.col("a"), F.col("b"), F.col("b")).alias("s")).first().s == '["NaN","-Infinity","-Infinity"]'

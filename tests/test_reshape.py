@@ -109,3 +109,12 @@ def test_parse_bins(spark):
     df = spark.createDataFrame([("min=-90;max=10410;step=50",), ("min=1;max=x",), ("",)], "s string")
     got = [tuple(r.b) for r in df.select(H.parse_bins(F.col("s")).alias("b")).collect()]
     assert got == [(-90.0, 10410.0, 50.0), (1.0, None, None), (None, None, None)]
+
+
+def test_wrapped_matrix_text(spark):
+    columns = "Study_ref string, Criteria_label string, ClassA string, ClassB string, ClassC string, Correspondant_value double"
+    cells = [("s", "l", 'a"é\n', "x", "1", 1.8e7), ("s", "l", 'a"é\n', "x", "2", None), ("s", "l", 'a"é\n', "y", "1", 0.5)]
+    bounds = spark.createDataFrame([("s", "l", "rpm", "{0}")], "Study_ref string, Criteria_label string, x_axis string, y_bins string")
+    text = H.wrap_matrix(spark.createDataFrame(cells, columns), bounds).first().dfmatrix
+    assert text == ('{"x_axis":"rpm","y_axis":"unknown","x_bins":"","y_bins":"{0}","matrix":'
+                    '{"a\\"é\\n":{"x":{"1":18000000.0,"2":null},"y":{"1":0.5}}}}')
