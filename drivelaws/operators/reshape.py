@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from functools import reduce
+from json.encoder import encode_basestring_ascii
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,10 +78,12 @@ class _Number(str):
 
 def _strict_json(value) -> str:
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{_strict_json(v)}" for k, v in value.items()) + "}"
+        return "{" + ",".join(f"{encode_basestring_ascii(k)}:{_strict_json(v)}" for k, v in value.items()) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(_strict_json, value)) + "]"
-    return str(value) if isinstance(value, _Number) else json.dumps(value)
+    if isinstance(value, str):
+        return str(value) if isinstance(value, _Number) else encode_basestring_ascii(value)
+    return json.dumps(value)
 
 
 @F.pandas_udf(T.StringType())
@@ -238,32 +241,28 @@ def matrix_boundaries(wrapper: Column) -> Column:
 def explode_matrix(df: DataFrame, json_col: str, ref: str, label: str) -> DataFrame:
     """Three-level matrices to long rows; branches that are no map and leaves that are no number
     are left out."""
-    wrapper, cell = F.col("wrapper"), F.col(quoted([json_col])[0])
-
-    def opened(rows: DataFrame) -> DataFrame:
-        # the header becomes text before the levels open, so no cell carries the document
-        level = rows.select(
-            "Study_ref", "Criteria_label", matrix_boundaries(wrapper).alias("Dimensions_boudaries"),
-            F.try_variant_get(wrapper, "$.matrix", "variant").alias("value"))
-        kept = ["Study_ref", "Criteria_label", "Dimensions_boudaries"]
-        for name in ("ClassA", "ClassB", "ClassC"):
-            # entries of an array have no key and are no branch
-            level = _open(level, F.col("value"), name, "leaf").filter(F.col(name).isNotNull())
-            kept.append(name)
-            level = level.select(*kept, F.col("__leaf").alias("value"), "leaf")
-        return level.select(*kept, _number(F.col("leaf")).alias("Correspondant_value")).filter(
-            F.col("Correspondant_value").isNotNull()).select(
-            "Study_ref", "Criteria_label",
-            class_dimension(F.col("ClassA"), F.col("ClassB"), F.col("ClassC")).alias("Dimension"),
-            "Dimensions_boudaries", "ClassA", "ClassB", "ClassC", "Correspondant_value",
-        )
-
-    def named(rows: DataFrame, parsed: Column) -> DataFrame:
-        return rows.select(F.col(quoted([ref])[0]).alias("Study_ref"), F.col(quoted([label])[0]).alias("Criteria_label"), parsed.alias("wrapper"))
-
-    # what the strict reader refuses has no branch to open there, so it need not be filtered out
-    odd = named(df.filter(_braced(cell) & _read(cell).isNull()), F.try_parse_json(lenient_text(cell)))
-    return _united((named(df, _read(cell)), odd), opened)
+    cell = F.col("cell")
+    rows = df.select(F.col(quoted([ref])[0]).alias("Study_ref"), F.col(quoted([label])[0]).alias("Criteria_label"),
+                     F.col(quoted([json_col])[0]).alias("cell")).withColumn("parsed", _read(cell))
+    wrapper = F.col("parsed")
+    # the header becomes text before the levels open, so no cell carries the document
+    kept = ["Study_ref", "Criteria_label", "Dimensions_boudaries"]
+    # in one pass: the lenient reader is given nulls for the cells that need none
+    given = rows.withColumn("odd", F.when(wrapper.isNull() & _braced(cell), cell))
+    level = given.withColumn("parsed", F.coalesce("parsed", F.try_parse_json(lenient_text("odd")))).select(
+        *kept[:2], matrix_boundaries(wrapper).alias(kept[2]), F.try_variant_get(wrapper, "$.matrix", "variant").alias("value"))
+    for name in ("ClassA", "ClassB", "ClassC"):
+        # entries of an array have no key and are no branch
+        level = _open(level, F.col("value"), name, "leaf").filter(F.col(name).isNotNull())
+        kept.append(name)
+        level = level.select(*kept, F.col("__leaf").alias("value"), "leaf")
+    # through a generator, so that a number is read once and not again by the filter
+    numbers = level.select(*kept, F.explode(F.array(_number(F.col("leaf")))).alias("Correspondant_value"))
+    return numbers.filter(F.col("Correspondant_value").isNotNull()).select(
+        "Study_ref", "Criteria_label",
+        class_dimension(F.col("ClassA"), F.col("ClassB"), F.col("ClassC")).alias("Dimension"),
+        "Dimensions_boudaries", "ClassA", "ClassB", "ClassC", "Correspondant_value",
+    )
 
 
 def _quoted(text: Column) -> Column:

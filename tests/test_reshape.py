@@ -118,3 +118,14 @@ def test_wrapped_matrix_text(spark):
     text = H.wrap_matrix(spark.createDataFrame(cells, columns), bounds).first().dfmatrix
     assert text == ('{"x_axis":"rpm","y_axis":"unknown","x_bins":"","y_bins":"{0}","matrix":'
                     '{"a\\"é\\n":{"x":{"1":18000000.0,"2":null},"y":{"1":0.5}}}}')
+
+
+def test_matrix_cells_are_parsed_and_read_once(spark):
+    rows = [("s", "c", '{"matrix":{"A":{"B":{"n":NaN,"k":1,"k":"2","t":true,"x":"12f"}}}}'), ("t", "c", '{"matrix":{"A":{"B":{"k":"\\u00e9"}}}}'),
+            ("u", "c", '{"matrix":{"A":{"B":{"k":3}}}}'), ("v", "c", '{"matrix":{"A":{"B":{"k":3}}')]
+    got = H.explode_matrix(spark.createDataFrame(rows, "ref string, label string, m string"), "m", "ref", "label")
+    assert sorted((r.Study_ref, r.ClassC, str(r.Correspondant_value)) for r in got.collect()) == [
+        ("s", "k", "2.0"), ("s", "n", "nan"), ("s", "t", "1.0"), ("u", "k", "3.0")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # a leaf becomes text once, not again for each place that looks at the number
+    assert plan.count("from_json") == 1 and plan.count("StructsToJsonEvaluator") == 1
