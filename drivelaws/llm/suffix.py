@@ -88,21 +88,26 @@ def sort_suffixes(at: np.ndarray, ahead: np.ndarray, depth: int) -> np.ndarray:
     keys = ahead[out]
     fresh = np.ones(len(out), bool)
     fresh[1:] = keys[1:] != keys[:-1]
+    open_at = np.arange(len(out))
     for step in range(8, depth, 8):
-        tied = ~fresh
-        tied[:-1] |= ~fresh[1:]
-        open_at = np.flatnonzero(tied)
+        first = fresh[open_at]
+        tied = ~first
+        tied[:-1] |= ~first[1:]
+        open_at, first = open_at[tied], first[tied]
         if not len(open_at):
             break
-        group = np.cumsum(fresh[open_at])
         part = out[open_at]
         keys = ahead[part + step]
-        order = np.lexsort((keys, group))
-        out[open_at] = part[order]
-        keys, was = keys[order], fresh[open_at]
-        apart = keys[1:] != keys[:-1]
-        fresh[open_at[1:][apart]] = True
-        fresh[open_at[was]] = True
+        apart = np.flatnonzero((keys[1:] != keys[:-1]) & ~first[1:])
+        # copies mostly go on alike, so few groups need their order changed
+        group = np.cumsum(first) - 1
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[apart]] = True
+        chosen = np.flatnonzero(mixed[group])
+        order = np.lexsort((keys[chosen], group[chosen]))
+        out[open_at[chosen]] = part[chosen][order]
+        keys = keys[chosen][order]
+        fresh[open_at[chosen[1:][keys[1:] != keys[:-1]]]] = True
     return out
 
 
