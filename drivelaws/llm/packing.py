@@ -27,6 +27,8 @@ NEARLY_FULL = 2
 FAN_IN = 8
 ITEMS_PER_TASK = 250_000
 CACHED_WORDS = 600_000
+# Words repeat more often within larger batches.
+BATCH_BYTES = 4 << 20
 PIECE = "struct<key:bigint,piece:int,start:bigint,length:bigint,crc:bigint>"
 
 # The tokenizer folds case and drops white space before it merges, so a text's ids are those of its words in turn.
@@ -121,18 +123,21 @@ class WordIds:
             self.young.add(part, counts, np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each word of the batch is looked up once, however often it stands there."""
         split = [split_words(t) for t in texts]
-        words = list(chain.from_iterable(split))
+        coded = pa.array(chain.from_iterable(split), pa.large_string()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
         at = self.young.places(words)
         missing = np.flatnonzero(at < 0).tolist()
-        fresh = {words[i] for i in missing}
+        fresh = [words[i] for i in missing]
         if len(self.young.index) + len(fresh) > self.most // 2:
-            self.old, self.young, missing, fresh = self.young, Generation(), list(range(len(words))), set(words)
-        known = sorted(fresh.intersection(self.old.index))
-        self.young.add(known, *self.old.gather(self.old.places(known)))
-        self.learn(sorted(fresh.difference(known)))
-        at[missing] = self.young.places([words[i] for i in missing])
-        counts, ids = self.young.gather(at)
+            self.old, self.young, missing, fresh = self.young, Generation(), list(range(len(words))), words
+        before = self.old.places(fresh)
+        known = np.flatnonzero(before >= 0).tolist()
+        self.young.add([fresh[i] for i in known], *self.old.gather(before[known]))
+        self.learn([fresh[i] for i in np.flatnonzero(before < 0).tolist()])
+        at[missing] = self.young.places(fresh)
+        counts, ids = self.young.gather(at[coded.indices.to_numpy()])
         upto = np.append(0, np.cumsum(counts))[np.cumsum([0, *map(len, split)])].tolist()
         return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(upto[:-1], upto[1:])]
 
@@ -153,7 +158,7 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_state(f"words:{tokenizer}", lambda: WordIds(tokenizer))
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", BATCH_BYTES):
             keys, rows = batch.column("key").to_pylist(), []
             for k, ids in zip(keys, words.encode(batch.column("text").to_pylist())):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
