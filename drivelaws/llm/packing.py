@@ -10,10 +10,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,19 +27,17 @@ END_ID = 0
 NEARLY_FULL = 2
 FAN_IN = 8
 ITEMS_PER_TASK = 250_000
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 # Words repeat more often within larger batches.
 BATCH_BYTES = 4 << 20
 PIECE = "struct<key:bigint,piece:int,start:bigint,length:bigint,crc:bigint>"
 
 # The tokenizer folds case and drops white space before it merges, so a text's ids are those of its words in turn.
 _WORD = re.compile(r"[^ \t\n\r]+")
-# White space to str.split, which is faster, but not here.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # A full stop or comma between a letter and white space is a part of its own to the tokenizer.
 _STOP = re.compile(r"[.,](?=[ \t\n\r]|$)(?<=[a-zß-öø-ÿ][.,])")
 _SPECIAL = "<|"
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWER = bytes(32 if b in b"\t\n\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORD_END = "</w>"
 
 
@@ -71,11 +70,19 @@ class Generation:
         return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
 
-def split_words(text: str) -> list[str]:
-    """The words, stops apart, A to Z lower-cased unless the text may name special tokens, which are told by case."""
-    if _SPECIAL not in text:
-        text = _STOP.sub(r" \g<0>", text.encode().translate(_LOWER).decode())
-    return _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
+def spaced(text: str) -> str:
+    """The words with blanks between, stops apart, A to Z lower-cased unless the text may name special tokens, which are told by case."""
+    if _SPECIAL in text:
+        return " ".join(_WORD.findall(text))
+    return _STOP.sub(r" \g<0>", text.encode().translate(_LOWER).decode())
+
+
+def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in turn, and where each text's begin (one more: the end). Arrow splits, no word is an object of Python."""
+    split = pc.split_pattern(pa.array(map(spaced, texts), pa.large_string()), " ")
+    words, starts = split.values, split.offsets.to_numpy()
+    some = pc.greater(pc.binary_length(words), 0)
+    return words.filter(some), np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))[starts]
 
 
 class WordIds:
@@ -124,8 +131,8 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each word of the batch is looked up once, however often it stands there."""
-        split = [split_words(t) for t in texts]
-        coded = pa.array(chain.from_iterable(split), pa.large_string()).dictionary_encode()
+        words, starts = split_words(texts)
+        coded = words.dictionary_encode()
         words = coded.dictionary.to_pylist()
         at = self.young.places(words)
         missing = np.flatnonzero(at < 0).tolist()
@@ -138,7 +145,7 @@ class WordIds:
         self.learn([fresh[i] for i in np.flatnonzero(before < 0).tolist()])
         at[missing] = self.young.places(fresh)
         counts, ids = self.young.gather(at[coded.indices.to_numpy()])
-        upto = np.append(0, np.cumsum(counts))[np.cumsum([0, *map(len, split)])].tolist()
+        upto = np.append(0, np.cumsum(counts))[starts].tolist()
         return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(upto[:-1], upto[1:])]
 
 
@@ -274,4 +281,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, spare: int = NEARLY_FULL,
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    return pack(settle(tokenize(docs, tokenizer, key, text, capacity)), capacity)
+    # a little less than is encoded at once, so that no batch is cut again
+    return pack(settle(tokenize(docs, tokenizer, key, text, capacity), BATCH_BYTES * 7 // 8), capacity)
